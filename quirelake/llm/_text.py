@@ -141,13 +141,18 @@ def shingles(words: Words, k: int, h: np.ndarray | None = None) -> tuple[np.ndar
 
 def distinct_by_text(h: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text and the offsets of the texts in them."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    if len(h):
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(n_texts + 1))
+    if not len(h):
+        return h, np.zeros(n_texts + 1, np.int64)
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+    h = h.copy()
+    bounds = np.searchsorted(doc, np.arange(n_texts + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
 def large_binary(parts: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import line_dedup, packing, records, url_templates
+from quirelake.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, records, toxicity, url_templates, vector_dedup
 
 #: The tokenizer file is a parameter; it is never copied here.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,11 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -33,14 +46,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), TOKENIZER, 2048), 2048)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(records.write_records(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
+    "op4_vector_dedup": op4_vector_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_language_id": op9_language_id,
     "op10_records": op10_records,
 }
 
