@@ -4,12 +4,16 @@ Texts and templates become runs of word-shingle hashes (five words; words are le
 each template size a text is read in overlapping windows, and windows whose MinHash bands (one value each) equal a
 template's are candidates; exact containment of the template's shingles in the window verifies them.
 
-* A template of fewer than ``LONG`` shingles must be there whole (containment 0.8 of so few leaves no shingle out). It is
-  looked for in windows of its own size at every place: window and template are equal sets, so every band agrees.
-* Longer templates share windows of two blocks of ``LONG`` * 2**i shingles, one block apart, with a block no shorter than
-  the template, so one window holds the whole of it. At containment 0.8 the Jaccard similarity is at least
-  ``least_similarity`` (1/6 or more), so ``BANDS`` bands miss it with a chance under 0.001, and a verbatim copy, at 1/4 or
-  more, with one under 1e-4. Minima of a window are those of its two blocks, so a block is hashed once.
+* A template of fewer than ``LONG`` shingles must be there whole (containment 0.8 of so few leaves no shingle out). Its
+  windows have its own size and start at every place: window and template are equal sets, so every band agrees.
+* Longer templates have windows of two blocks of ``LONG`` * 2**i shingles, one block apart, with a block no shorter than
+  the template, so one window holds the whole of it. The Jaccard similarity is at least ``least_similarity``: a verbatim
+  copy has 1/4 or more and is missed by all ``BANDS`` bands with a chance under 1e-4, one at containment 0.8 has 0.19 or
+  more and is missed with one under 0.001.
+
+A window can share a template's minimum under an order only if it holds that very shingle. So a text's shingles are
+first probed for the templates' minima, and the bands are computed for the windows around those places only; that
+leaves out no window whose bands would agree.
 
 Defined results: null and short texts match nothing; a text that holds a template several times is reported once with
 its first place and best containment; repeated rows are each reported (once for equal ids); a null id is reported as
@@ -46,12 +50,6 @@ def shingle_hashes(text: Column) -> Column:
     return F.get(F.transform(F.array(words), all_of), F.lit(0))  # the words are made once
 
 
-def _band(h: Column, j: int) -> Column:
-    """The j-th order of hashes; a fixed bit pattern, as the hashes are well mixed."""
-    pattern = (0x9E3779B97F4A7C15 * (2 * j + 1)) & (1 << 64) - 1
-    return h.bitwiseXOR(F.lit(pattern - (1 << 64) if pattern >> 63 else pattern))
-
-
 def least_similarity(n: int, block: int) -> float:
     """Least Jaccard similarity of a template of n shingles, 0.8 of them in a window of two blocks, and that window."""
     need = -(-4 * n // 5)
@@ -76,49 +74,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
     """(doc_id, license, containment, first_word): licences found in each text."""
     spark = docs.sparkSession
     table = template_table(spark, templates or TEMPLATES)
-    own = docs.select(F.col(doc_id).alias("doc_id"), shingle_hashes(F.coalesce(F.col(text), F.lit(""))).alias("h")).filter(F.size("h") > 0)
-    places = F.array()
-    kinds = []
-    # short templates: the MinHash of a window of n shingles at every place, under one order; equal sets agree in all
-    for n in sorted({t["n"] for t in table if not t["block"]}):
-        minima = {min(t["shingles"]): t for t in table if not t["block"] and t["n"] == n}
-
-        def smallest(h: Column, i: Column, n: int = n) -> Column:
-            rest = [F.get(F.col("h"), i + j) for j in range(1, n)]
-            return F.least(h, *rest) if rest else h
-
-        at = F.filter(F.transform("h", lambda h, i, n=n, f=smallest: F.struct(f(h, i).alias("m"), i.cast("int").alias("at"))), lambda x, ms=minima: x["m"].isin(*ms))
-        kinds.append(F.transform(at, lambda x, n=n: F.struct(F.lit(n).alias("kind"), x["at"].alias("at"), F.lit(n).alias("size"))))
-    blocks = sorted({t["block"] for t in table if t["block"]})
-    columns = {}
-    for block in blocks:
-        mine = [t for t in table if t["block"] == block]
-        starts = F.sequence(F.lit(0), F.floor((F.size("h") - 1) / block).cast("int"))
-        columns[f"starts{block}"] = starts
-        # per block the places where it holds a template's minimum under some order: a window has that minimum only if a block of it has
-        hits = None
-        for j in range(BANDS):
-            wanted = sorted({min(t["shingles"], key=lambda x, j=j: _ordered(x, j)) for t in mine})
-            wanted = [_ordered(x, j) for x in wanted]
-            low = F.transform(F.col(f"starts{block}"), lambda b, j=j, block=block: F.array_min(F.transform(F.slice("h", b * block + 1, 2 * block), lambda x: _band(x, j))))
-            found = F.filter(F.transform(low, lambda m, i, w=wanted: F.when(m.isin(*w), i)), lambda i: i.isNotNull())
-            hits = found if hits is None else F.array_union(hits, found)
-        kinds.append(F.transform(hits, lambda b, block=block: F.struct(F.lit(block).alias("kind"), (b * block).alias("at"), F.lit(2 * block).alias("size"))))
-    for name, column in columns.items():
-        own = own.withColumn(name, column)
-    places = F.concat(*kinds) if kinds else F.array().cast("array<struct<kind:int,at:int,size:int>>")
-    candidates = own.select("doc_id", "h", F.explode(places).alias("p")).select("doc_id", F.col("p.kind").alias("kind"), F.col("p.at").alias("at"), F.slice("h", F.col("p.at") + 1, F.col("p.size")).alias("window"))
-    rows = [(t["license"], t["block"] or t["n"], t["shingles"]) for t in table]
-    known = spark.createDataFrame(rows, "license string, kind int, shingles array<long>")
+    rows = []
+    for t in table:
+        size, step = (2 * t["block"], t["block"]) if t["block"] else (t["n"], 1)
+        for j in range(BANDS if t["block"] else 1):
+            least = min(t["shingles"], key=lambda x, j=j: _ordered(x, j))
+            rows.append((t["license"], size, step, t["shingles"], _pattern(j), least))
     # the templates are a parameter, so this side is small by its making
-    met = candidates.join(F.broadcast(known), "kind")
+    bands = F.broadcast(spark.createDataFrame(rows, "license string, size int, step int, shingles array<long>, pattern long, least long"))
+    minima = sorted({r[-1] for r in rows}) or [0]
+    own = docs.select(F.col(doc_id).alias("doc_id"), shingle_hashes(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(*minima), i)), lambda i: i.isNotNull())
+    met = own.select("doc_id", "h", F.explode(hits).alias("hit")).withColumn("least", F.get("h", F.col("hit"))).join(bands, "least")
+    low = F.greatest(F.ceil((F.col("hit") - F.col("size") + 1) / F.col("step")), F.lit(0)).cast("int")
+    starts = F.transform(F.sequence(low, F.floor(F.col("hit") / F.col("step")).cast("int")), lambda k: k * F.col("step"))
+    windows = met.withColumn("at", F.explode(starts)).select("doc_id", "license", "shingles", "pattern", "least", "at", F.slice("h", F.col("at") + 1, F.col("size")).alias("window"))
+    agree = F.array_min(F.transform("window", lambda x: x.bitwiseXOR(F.col("pattern")))) == F.col("least").bitwiseXOR(F.col("pattern"))
     share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    verified = met.withColumn("containment", share).filter(F.col("containment") >= min_containment)
+    verified = windows.filter(agree).withColumn("containment", share).filter(F.col("containment") >= min_containment)
     return verified.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
 
 
-def _ordered(x: int, j: int) -> int:
-    """The value of _band as a signed 64-bit integer."""
-    pattern = (0x9E3779B97F4A7C15 * (2 * j + 1)) & (1 << 64) - 1
-    value = (x & (1 << 64) - 1) ^ pattern
+def _pattern(j: int) -> int:
+    """The j-th order of hashes is by their exclusive or with this bit pattern, as the hashes are well mixed."""
+    value = (0x9E3779B97F4A7C15 * (2 * j + 1)) & (1 << 64) - 1
     return value - (1 << 64) if value >> 63 else value
+
+
+def _ordered(x: int, j: int) -> int:
+    return x ^ _pattern(j)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, records, toxicity, url_templates, vector_dedup
+from quirelake.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, records, toxicity, url_templates, vector_dedup
 
 #: The tokenizer file is a parameter; it is never copied here.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,10 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_vector_dedup": op4_vector_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
