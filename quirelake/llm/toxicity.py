@@ -27,7 +27,7 @@ from quirelake.llm._text import Words, mix, slices, utf8
 from quirelake.llm.language_id import held_out
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, TRAIN_WINDOWS = 1200, 8
+SAMPLE, TRAIN_WINDOWS = 1000, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 CHAR_GRAM = 4
@@ -233,15 +233,42 @@ def gradients(p: Params, x: np.ndarray, tape: dict, d_logit: np.ndarray) -> tupl
     return g, d_x
 
 
+def inputs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_inputs of many texts, made a hundred texts at a time to save memory, and the texts' bounds."""
+    sizes, word, grams, counts = [], [], [], []
+    for at in range(0, len(texts), 100):
+        words = Words(*utf8(pa.array(texts[at : at + 100], pa.string())))
+        if not len(words.starts):
+            sizes.append(np.diff(words.bounds))
+            continue
+        w, g, u = word_inputs(words)
+        sizes.append(np.diff(words.bounds))
+        word.append(w.astype(np.int32))
+        grams.append(g.astype(np.int32))
+        counts.append(np.diff(u))
+    none = [np.zeros(0, np.int32)]
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(word or none), np.concatenate(grams or none), np.concatenate([[0], np.cumsum(np.concatenate(counts or none))])
+
+
+def sample_logits(p: Params, bounds: np.ndarray, word: np.ndarray, grams: np.ndarray, upto: np.ndarray, first: np.ndarray, length: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Logits of all windows of the sample, fifty texts at a time."""
+    out = np.zeros(len(first), np.float32)
+    for d in range(0, len(bounds) - 1, 50):
+        e = min(d + 50, len(bounds) - 1)
+        a, b, v, w = bounds[d], bounds[e], of[d], of[e]
+        if w > v:
+            out[v:w] = all_logits(p, embed(p, word[a:b], grams[upto[a] : upto[b]], upto[a : b + 1] - upto[a]), first[v:w] - a, length[v:w])
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
     """Adam on the loss of texts; a text's logit is a smooth maximum over its windows."""
     y = np.array(labels, np.float32)
     if not (y == 1).any() or not (y == 0).any():
         return None
     rng = np.random.default_rng(seed)
-    words = Words(*utf8(pa.array(texts, pa.string())))
-    word, grams, upto = word_inputs(words)
-    first, length, text = windows(words.bounds)
+    bounds, word, grams, upto = inputs_of(texts)
+    first, length, text = windows(bounds)
     if not len(first):
         return None
     of = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -262,8 +289,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
     for turn in range(rounds):
         if turn and turn % (rounds // 6) == 0:
             # the windows that score highest are those that decide: they take half of each text's places from here on
-            x = embed(p, word, grams, upto)
-            rank = all_logits(p, x, first, length)
+            rank = sample_logits(p, bounds, word, grams, upto, first, length, of)
         chosen = np.concatenate([rng.choice(ones, BATCH // 2), rng.choice(zeros, BATCH // 2)])
         picked, owner = [], []
         for j, d in enumerate(chosen.tolist()):
@@ -301,7 +327,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
             p[k] -= (RATE * min(1.0, 2 - 2 * turn / rounds) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     p["scale"] = np.array([1.0, 0.0])
     if len(kept):
-        logit = all_logits(p, embed(p, word, grams, upto), first, length)
+        logit = sample_logits(p, bounds, word, grams, upto, first, length, of)
         top = np.array([logit[of[d] : of[d + 1]].max() for d in kept])
         p["scale"] = scaled(top, y[kept])
     return p
