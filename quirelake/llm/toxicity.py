@@ -27,11 +27,11 @@ from quirelake.llm._text import Words, mix, slices, utf8
 from quirelake.llm.language_id import held_out
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, TRAIN_WINDOWS = 1000, 8
+SAMPLE, TRAIN_WINDOWS = 1400, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 CHAR_GRAM = 4
-EPOCHS, RATE, BATCH = 5, 0.02, 48
+EPOCHS, RATE, BATCH, DROP = 6, 0.02, 48, 0.3
 THRESHOLD = 0.7
 
 Params = dict[str, np.ndarray]
@@ -308,6 +308,11 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
         spans = np.repeat(upto[:-1][ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         own, own_upto = grams[spans], np.concatenate([[0], np.cumsum(sizes)])
         x = embed(p, word[ids], own, own_upto)
+        # some words are hidden, and some seen by their characters alone, so that no single rare word decides
+        live = np.ones(x.shape, np.float32)
+        live[rng.random(len(x)) < DROP / 3] = 0
+        live[rng.random(len(x)) < DROP, :EMBED] = 0
+        x *= live
         tape: dict = {}
         logit = window_logits(p, x, place, length[w], tape)
         top = np.full(BATCH, -1e9)
@@ -317,6 +322,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
         pooled = np.bincount(owner, weight * logit, BATCH)
         error = sigmoid(pooled) - y[chosen]
         g, d_x = gradients(p, x, tape, (weight * error[owner] / BATCH).astype(np.float32))
+        d_x *= live
         each = np.repeat(d_x[:, EMBED:] / sizes[:, None], sizes, axis=0)
         g["word"] = np.stack([np.bincount(word[ids], d_x[:, c], WORD_BUCKETS) for c in range(EMBED)], axis=1)
         g["char"] = np.stack([np.bincount(own, each[:, c], CHAR_BUCKETS) for c in range(EMBED)], axis=1)
