@@ -4,10 +4,12 @@
    the smallest id stands for it.
 2. Sets of like size are cut by a hash of the shingles into more segments than they can differ in shingles, so two
    similar sets agree wholly in one segment at least (pigeonhole). A row for each segment, with a hash of its
-   shingles, is all that is shuffled; sets with an empty segment add their prefix shingles under its number, as
-   agreeing on nothing says nothing. Common shingles make no two sets meet unless a whole segment is alike.
-3. Sets that share a segment are tied to the smallest there, which is linear in the rows, and the connected
-   components of these ties are blocks: similar sets are always in one block.
+   shingles, is all that is shuffled. Agreeing on an empty segment says nothing: sets of few segments add their prefix
+   shingles under an empty segment's number; of many segments several agree, and the chance that all those are empty
+   is below that of a hash collision. Common shingles make no two sets meet unless a whole segment is alike.
+3. Sets that share a segment are tied to the smallest there, and the connected components of these ties are blocks:
+   similar sets are always in one block. A task ties what it has met itself and passes on one row for each segment it
+   knows, so a group of copies of any size is spread over all tasks.
 4. In a block the whole sets go into a prefix tree, frequent shingles first. A set walks the tree with the overlap it
    shares so far; subtrees are pruned by set size, by the overlap that the remaining lengths allow, and where all
    sets below are already in its component. A union-find over the links gives the components.
@@ -38,6 +40,10 @@ PART_SHINGLES = 4_000_000
 PART_SETS = 2_000
 #: Size classes grow by this; the segments of a class are enough for its largest sets.
 GROWTH = 1.6
+#: Up to so many segments an empty one is backed by prefix shingles.
+FEW_SEGMENTS = 32
+#: Signatures that a task gathers before it ties and passes them on.
+GATHER = 1_000_000
 
 
 def text_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +101,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarr
         tag = mix(cls[who][owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
         out.append(mix(total[filled] + tag[filled]))
         of.append(who[owner[filled]])
-        for empty in np.flatnonzero(~filled).tolist():
+        for empty in np.flatnonzero(~filled & (count[owner] <= FEW_SEGMENTS)).tolist():
             i = int(who[owner[empty]])
             prefix = int(sizes[i]) - -(-int(sizes[i]) * t.numerator // t.denominator) + 1
             out.append(mix(h[bounds[i] : bounds[i] + prefix] ^ mix(tag[empty : empty + 1] + np.uint64(1))))
@@ -105,33 +111,66 @@ def signatures(h: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarr
     return np.concatenate(out), np.concatenate(of)
 
 
-def _summaries(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """A row (id, n, p0, p1) for each text, and rows (p0, signature) for each set that a task meets anew. p0 is
-    only a 64-bit name there: two sets under one name would share a block, no more."""
+def _texts(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, p0, p1) of each text: its set's size and the two sums that stand for the set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        names = ["id", "n", "p0", "p1", "signature"]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             h, bounds = text_sets(batch, k)
             p0, p1 = _prints(h, bounds)
-            sizes = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(p0), pa.array(p1), pa.nulls(len(sizes), pa.int64())], names=names)
-            new = np.zeros(len(sizes), bool)
-            for i, key in enumerate(p0.tolist()):
-                if key not in seen:
-                    seen.add(key)
-                    new[i] = True
-            if len(seen) > 2_000_000:  # bounds memory; a set may then give its rows again
-                seen = set()
-            sizes = np.where(new, sizes, 0)
-            h = h[np.repeat(new, np.diff(bounds))]
-            signature, of = signatures(h, np.concatenate([[0], np.cumsum(sizes)]), t)
-            none = pa.nulls(len(of), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(of), batch.column("id").type), none, pa.array(p0[of]), none, pa.array(signature.view(np.int64))], names=names)
-
-    return docs.select("id", "text").mapInArrow(summarise, f"id {kind}, n long, p0 long, p1 long, signature long")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(p0), pa.array(p1)], names=["id", "n", "p0", "p1"])
+
+    return docs.select("id", "text").mapInArrow(summarise, f"id {kind}, n long, p0 long, p1 long")
+
+
+def _tied(signature: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct signatures, the least name of each, names that share one with a lesser name, those lesser names)."""
+    order = np.lexsort((name, signature))
+    signature, name = signature[order], name[order]
+    new = np.ones(len(signature), bool)
+    new[1:] = signature[1:] != signature[:-1]
+    least = name[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([name, least], axis=1)[name != least], axis=0)
+    return signature[new], name[new], pairs[:, 0], pairs[:, 1]
+
+
+def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(a, b): names (p0) of sets that share a segment, each tied to the least name there. p0 is only a 64-bit name:
+    two sets under one would share a block, no more."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed() -> pa.RecordBatch:
+            signature, name, a, b = _tied(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            # a tie travels as two rows under a signature of its own
+            own = mix(mix(a.view(np.uint64)) + b.view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signature, own, own]).view(np.int64)), pa.array(np.concatenate([name, a, b]))], names=["signature", "name"])
+
+        for batch in slices(batches, "text", 1 << 20):
+            h, bounds = text_sets(batch, k)
+            p0, _ = _prints(h, bounds)
+            _, first = np.unique(p0, return_index=True)
+            sizes = np.zeros(len(p0), np.int64)
+            sizes[first] = np.diff(bounds)[first]
+            signature, of = signatures(h[np.repeat(sizes > 0, np.diff(bounds))], np.concatenate([[0], np.cumsum(sizes)]), t)
+            held.append((signature, p0[of]))
+            if sum(len(x) for x, _ in held) > GATHER:
+                yield passed()
+                held = []
+        if held:
+            yield passed()
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            table = pa.Table.from_batches(some)
+            _, _, a, b = _tied(table.column("signature").to_numpy(), table.column("name").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = docs.filter("id is not null").select("text").mapInArrow(gather, "signature long, name long")
+    return rows.repartition("signature").mapInArrow(tie, "a long, b long")
 
 
 class Node:
@@ -251,14 +290,10 @@ def _join_parts(docs: DataFrame, parts: DataFrame, k: int, t: Fraction) -> DataF
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), most: int = PART_SHINGLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id that links reach."""
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    summaries = written(_summaries(own, k, threshold), "summaries")
-    texts = summaries.filter("signature is null").select("id", "n", "p0", "p1")
+    texts = written(_texts(own, k), "texts")
     classes = texts.filter("id is not null and n > 0").groupBy("n", "p0", "p1").agg(F.min("id").alias("rep"))
     classes = written(classes, "classes")
-    rows = summaries.filter("signature is not null").select("signature", "p0")
-    pivots = rows.groupBy("signature").agg(F.min("p0").alias("pivot"), F.max("p0").alias("other")).filter("pivot <> other").select("signature", "pivot")
-    ties = rows.join(pivots, "signature").filter("p0 <> pivot").select(F.col("p0").alias("a"), F.col("pivot").alias("b")).distinct()
-    blocks = components(ties).select(F.col("id").alias("p0"), F.col("component_id").alias("block"))
+    blocks = components(_ties(own, k, threshold)).select(F.col("id").alias("p0"), F.col("component_id").alias("block"))
     members = written(classes.join(blocks, "p0").groupBy(F.col("rep").alias("id"), "block").agg(F.max("n").alias("n")), "members")
     weights = members.groupBy("block").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
     parts = F.greatest(F.ceil(F.col("shingles") / F.lit(most)), F.ceil(F.col("sets") / F.lit(PART_SETS))).cast("long")
