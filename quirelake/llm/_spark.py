@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,28 +34,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task may join; more are contracted first.
+FEW_EDGES = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) of every node in an undirected edge list; component_id is the smallest id reachable.
 
-    Each round maps every node to its smallest neighbour and contracts the graph along that map, so the edges
-    shrink to nothing in a few rounds. All steps are joins and map-side combined aggregates; hubs need no
-    neighbour lists. An empty edge list gives an empty result; loops and repeated edges are harmless.
+    While there are more than FEW_EDGES edges, a round maps every node to its smallest neighbour and contracts the
+    graph along that map. All steps are joins and map-side combined aggregates; hubs need no neighbour lists. What is
+    left, of bounded size, is joined by a union-find in one task. An empty edge list gives an empty result; loops and
+    repeated edges are harmless. Ids are long.
     """
-    shared_dir(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while not pairs.isEmpty():
+    maps = []
+    while n := pairs.count():
+        if n <= FEW_EDGES:
+            maps.append(written(pairs.coalesce(1).mapInArrow(_joined, "node long, to long"), "step"))
+            break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")), "step")
-        if labels is None:
-            labels = step.select(F.col("node").alias("id"), F.col("to").alias("component_id"))
-        else:
-            labels = labels.join(step, F.col("component_id") == F.col("node"), "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
-        labels = written(labels, "labels")
+        maps.append(step)
         left = pairs.join(step.withColumnRenamed("to", "x"), F.col("a") == F.col("node")).select("x", "b")
         right = left.join(step.withColumnRenamed("to", "y"), F.col("b") == F.col("node")).select("x", "y").filter("x <> y")
         pairs = written(right.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    if labels is None:
+    if not maps:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
+    labels = maps[0].select(F.col("node").alias("id"), F.col("to").alias("component_id"))
+    for step in maps[1:]:
+        labels = labels.join(step, F.col("component_id") == F.col("node"), "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
     return labels
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(x) for x in parent], pa.int64())], names=["node", "to"])

@@ -282,7 +282,8 @@ def _join_parts(docs: DataFrame, parts: DataFrame, k: int, t: Fraction) -> DataF
                         b.append(rows[j]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    with_sets = docs.join(parts, "id").select("part", "id", "text").mapInArrow(sets, f"part string, id {kind}, grams binary")
+    # by a merge join at every size: which side is small depends on how many texts have partners
+    with_sets = docs.hint("merge").join(parts, "id").select("part", "id", "text").mapInArrow(sets, f"part string, id {kind}, grams binary")
     grouped = with_sets.groupBy("part").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
     return grouped.select("members").mapInArrow(link, f"a {kind}, b {kind}")
 
