@@ -115,8 +115,8 @@ def parse_file_name(name: Column) -> Column:
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
     publishers = "|".join(PUBLISHERS)
     one = rf"(?U)^[^_]+_{_YEAR}{_TERM}?_([^_]+)_(\d+)_([^_]+)_({publishers})$"
-    two = rf"(?U)^[^_]+_{_YEAR}_第([12])學期_([^_]+)_([^_]+)_([^_]+年級)_([^_]+)$"
-    three = rf"(?U)^[^_]+_{_YEAR}_([^_]+)_([^_]+)_([^_]+年級)_([^_]+)$"
+    two = rf"(?U)^[^_]+_{_YEAR}_第([12])學期_([^_]+)_([^_]+)_([^_]+年級)_([^_]+?)(?:_(?:解答|答案))?$"
+    three = rf"(?U)^[^_]+_{_YEAR}_([^_]+)_([^_]+)_([^_]+年級)_([^_]+?)(?:_(?:解答|答案))?$"
     fields = ["school_year", "school_term", "exam_type", "fileid", "school_name", "version", "grade", "subject"]
     none = F.lit(None).cast("string")
 
@@ -124,11 +124,10 @@ def parse_file_name(name: Column) -> Column:
         return F.struct(*[given.get(f, none).alias(f) for f in fields])
 
     term = F.when(F.regexp_extract(stem, two, 2) == "1", "上學期").otherwise("下學期")
-    subject = lambda c: F.regexp_replace(c, "_?(解答|答案)$", "")
     return (
         F.when(stem.rlike(one), made(school_year=found(stem, one, 1), school_term=found(stem, one, 2), exam_type=found(stem, one, 3), fileid=found(stem, one, 4), school_name=found(stem, one, 5), version=found(stem, one, 6)))
-        .when(stem.rlike(two), made(school_year=found(stem, two, 1), school_term=term, exam_type=found(stem, two, 3), school_name=found(stem, two, 4), grade=found(stem, two, 5), subject=subject(found(stem, two, 6))))
-        .when(stem.rlike(three), made(school_year=found(stem, three, 1), exam_type=found(stem, three, 2), school_name=found(stem, three, 3), grade=found(stem, three, 4), subject=subject(found(stem, three, 5))))
+        .when(stem.rlike(two), made(school_year=found(stem, two, 1), school_term=term, exam_type=found(stem, two, 3), school_name=found(stem, two, 4), grade=found(stem, two, 5), subject=found(stem, two, 6)))
+        .when(stem.rlike(three), made(school_year=found(stem, three, 1), exam_type=found(stem, three, 2), school_name=found(stem, three, 3), grade=found(stem, three, 4), subject=found(stem, three, 5)))
         .otherwise(made(school_year=found(stem, r"(?<!\d)(10[0-9]|11[0-5])(?!\d)")))
     )
 

@@ -30,7 +30,7 @@ def normalise_county(county: Column) -> Column:
 def core_token(name: Column) -> Column:
     """What is left of a school's name without county, 立 and the longest ending; null if shorter than two characters."""
     rest = F.regexp_replace(F.coalesce(name, F.lit("")), r"^.{2}[市縣]", "")
-    rest = F.when(F.startswith(rest, F.lit("立")), F.expr("substring(x, 2)") if False else F.regexp_replace(rest, "^立", "")).otherwise(rest)
+    rest = F.regexp_replace(rest, "^立", "")
     longest = sorted(SUFFIXES, key=len, reverse=True)
     rest = F.regexp_replace(rest, "(" + "|".join(longest) + ")$", "")
     return F.when(F.length(rest) >= 2, rest)

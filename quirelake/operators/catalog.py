@@ -12,14 +12,21 @@ from quirelake.functions import names, schools
 SKIP = ["#recycle", "@eadir", "cap_exam", "ceec", "其他x"]
 KEYS = ["school_name", "school_year", "school_term", "exam_type", "grade", "subject", "version", "county"]
 FACETS = ["school_year", "grade", "subject", "exam_type", "school_term", "version"]
-NEWEST = [F.desc_nulls_last("mtime"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_suppkey")]
+
+
+def newest() -> list[Column]:
+    """Newest first, in a total order."""
+    return [F.desc_nulls_last("mtime"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_suppkey")]
+
 
 
 def build_catalog(listing: DataFrame) -> DataFrame:
     """Listing rows (rel_path, size_kb, mtime, ...) to catalogue rows with ids, parsed fields, title and flags. One pass, no shuffle."""
     rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP))
-    rows = rows.withColumn("filename", names.file_name(F.col("rel_path"))).withColumn("at", names.layout(F.col("rel_path"))).filter("at is not null")
-    rows = rows.withColumn("of", names.parse_file_name(F.col("filename")))
+    rows = rows.withColumn("filename", names.file_name(F.col("rel_path")))
+    # a generator keeps the optimiser from copying the parsers into every column that reads a field of theirs
+    parsed = F.struct(names.layout(F.col("rel_path")).alias("at"), names.parse_file_name(F.col("filename")).alias("of"))
+    rows = rows.select("*", F.explode(F.array(parsed)).alias("x")).select(*rows.columns, "x.at", "x.of").filter("at is not null")
     parts = F.split("rel_path", "/")
     dump = F.col("at.layout") == "dump"
     blank = names.blank_to_null
@@ -46,6 +53,7 @@ def build_catalog(listing: DataFrame) -> DataFrame:
         "size_kb",
         "mtime",
     )
+    out = out.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
     titled = names.title(*[F.col(c) for c in ("school_name", "school_year", "school_term", "exam_type", "grade", "subject", "version")])
     return out.withColumn("title", titled).withColumn("is_paper", (F.col("paper_or_daan") == "paper").cast("int")).withColumn("has_school", F.col("school_name").isNotNull().cast("int")).withColumn("has_school_name", (F.coalesce(F.length("school_name"), F.lit(0)) > 4).cast("int"))
 
@@ -58,13 +66,13 @@ def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def upsert(current: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Newest row per paper_id, then per rel_path; a batch row beats a current one of the same key; others stay."""
     both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    by = [F.desc("_new"), *(order or NEWEST)]
+    by = [F.desc("_new"), *(order or newest())]
     return newest_per(newest_per(both, ["paper_id"], by), ["rel_path"], [*by, F.asc("paper_id")]).drop("_new")
 
 
 def catalog(listing: DataFrame) -> DataFrame:
     """The catalogue of a full scan: newest row of each path."""
-    return newest_per(build_catalog(listing), ["paper_id"], NEWEST)
+    return newest_per(build_catalog(listing), ["paper_id"], newest())
 
 
 def matches(filters: dict[str, str], keyword: str | None = None) -> Column:
@@ -78,12 +86,14 @@ def matches(filters: dict[str, str], keyword: str | None = None) -> Column:
     return out
 
 
-PAGE_ORDER = [F.asc("county"), F.desc("school_year"), F.asc("exam_type"), F.asc("grade"), F.asc("subject"), F.asc("paper_id")]
+def page_order() -> list[Column]:
+    return [F.asc("county"), F.desc("school_year"), F.asc("exam_type"), F.asc("grade"), F.asc("subject"), F.asc("paper_id")]
+
 
 
 def page(rows: DataFrame, number: int, per_page: int, order: list[Column] | None = None) -> DataFrame:
     """One page of a result in a total order: a top-k, not a full sort."""
-    return rows.orderBy(*(order or PAGE_ORDER)).offset((number - 1) * per_page).limit(per_page)
+    return rows.orderBy(*(order or page_order())).offset((number - 1) * per_page).limit(per_page)
 
 
 def pair_groups(rows: DataFrame) -> DataFrame:
