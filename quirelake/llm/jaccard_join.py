@@ -260,15 +260,23 @@ def _insert(root: Node, own: np.ndarray, i: int, find) -> None:
         node, at = child, at + same
 
 
-def _join_parts(docs: DataFrame, parts: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Links (a, b) that span the components within each part; ``parts``: (id, part). One row a part gathers the
-    sets of its documents, of which a part has at most PART_SHINGLES (or two parts' worth)."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, grams): the sets of the documents that have a candidate, written once; texts move once."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             h, bounds = text_sets(batch, k)
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), large_binary(h, bounds)], names=["part", "id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), large_binary(h, bounds)], names=["id", "grams"])
+
+    # by a merge join at every size: which side is small depends on how many texts have partners
+    return written(docs.hint("merge").join(ids.distinct(), "id").select("id", "text").mapInArrow(sets, f"id {kind}, grams binary"), "sets")
+
+
+def _join_parts(sets: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
+    """Links (a, b) that span the components within each part; ``parts``: (id, part). One row a part gathers its
+    sets, of which a part has at most PART_SHINGLES shingles (or two parts' worth)."""
+    kind = sets.schema["id"].dataType.simpleString()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,9 +290,7 @@ def _join_parts(docs: DataFrame, parts: DataFrame, k: int, t: Fraction) -> DataF
                         b.append(rows[j]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    # by a merge join at every size: which side is small depends on how many texts have partners
-    with_sets = docs.hint("merge").join(parts, "id").select("part", "id", "text").mapInArrow(sets, f"part string, id {kind}, grams binary")
-    grouped = with_sets.groupBy("part").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
+    grouped = sets.join(parts, "id").groupBy("part").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
     return grouped.select("members").mapInArrow(link, f"a {kind}, b {kind}")
 
 
@@ -300,10 +306,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     parts = F.greatest(F.ceil(F.col("shingles") / F.lit(most)), F.ceil(F.col("sets") / F.lit(PART_SETS))).cast("long")
     members = members.join(weights.select("block", parts.alias("parts")), "block")
     salted = F.concat_ws("/", "block", F.pmod(F.xxhash64("id"), F.col("parts")))
-    links = written(_join_parts(own, members.select("id", salted.alias("part")), k, threshold), "links")
+    sets = _sets_of(own, members.select("id"), k)
+    links = written(_join_parts(sets, members.select("id", salted.alias("part")), threshold), "links")
     large = members.filter("parts > 1")
     if not large.isEmpty():
-        links = _join_large(own, written(large, "large"), links, k, threshold, most)
+        links = _join_large(sets, written(large, "large"), links, threshold, most)
 
     found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     # an id's class, then the component of the class: both tables are keyed by id
@@ -313,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     return merged.select("id", "n", "component_id").unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _join_large(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, t: Fraction, most: int) -> DataFrame:
+def _join_large(sets: DataFrame, large: DataFrame, links: DataFrame, t: Fraction, most: int) -> DataFrame:
     """More links for blocks in several parts: among one set of each component, then between all parts of a block
     that is still in several components."""
     for last in (False, True):
@@ -332,7 +339,7 @@ def _join_large(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, t:
             other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
             pair = open_.select("id", "block", mine.alias("mine"), other.alias("other"))
             parts = pair.select("id", F.concat_ws("/", "block", F.lit("pair"), F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
-        links = written(links.unionByName(_join_parts(docs, parts, k, t)), "links")
+        links = written(links.unionByName(_join_parts(sets, parts, t)), "links")
     return links
 
 

@@ -78,9 +78,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     wider = F.regexp_replace("template", r"/[^/*][^/]*((/\*)*)$", "/*$1")
     named = named.withColumn("wider", wider)
     per = named.groupBy("host", "wider", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
-    pooled = per.groupBy("host", "wider").agg(F.sum("n_labels").alias("all_labels"), F.sum("n_good").alias("all_good"))
+    pooled = per.groupBy("host", "wider").agg(F.sum("n_labels").alias("all_labels"), F.sum("n_good").alias("all_good"), F.count("*").alias("siblings"))
     share, mean = F.col("n_good") / F.greatest("n_labels", F.lit(1)), F.col("all_good") / F.greatest("all_labels", F.lit(1))
-    alike = (F.col("n_labels") == 0) | ((share - mean) * (share - mean) * F.col("n_labels") <= F.lit(Z2) * mean * (1 - mean))
+    alike = (F.col("siblings") > 1) & ((F.col("n_labels") == 0) | ((share - mean) * (share - mean) * F.col("n_labels") <= F.lit(Z2) * mean * (1 - mean)))
     merged = written(per.join(pooled, ["host", "wider"]).select("host", "template", "n_labels", "n_good", F.when(alike, F.col("wider")).otherwise(F.col("template")).alias("final")), "merged")
     total = merged.agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).select(F.when(F.col("n") > 0, F.col("g") / F.col("n")).otherwise(F.lit(1.0)).alias("prior"))  # one row
     purity = (
