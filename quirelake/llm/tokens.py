@@ -21,7 +21,7 @@ _ENCODERS: dict[str, Encoder] = {}
 class Encoder:
     """Keeps the ids of the parts seen so far in sorted arrays, at most ``keep`` parts; past that it starts anew."""
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
