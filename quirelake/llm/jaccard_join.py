@@ -13,8 +13,9 @@
 4. In a block the whole sets go into a prefix tree, frequent shingles first. A set walks the tree with the overlap it
    shares so far; subtrees are pruned by set size, by the overlap that the remaining lengths allow, and where all
    sets below are already in its component. A union-find over the links gives the components.
-5. A block of more than ``most`` shingles or PART_SETS sets is dealt into parts, each joined alone; then one set for each component is
-   joined among them, and only while a block still has several components, all pairs of its parts are joined.
+5. A block of more than ``most`` shingles or PART_SETS sets is blocked anew by the rarest shingles of its sets. What
+   is still larger is dealt into parts, each joined alone; then one set for each component is joined among them, and
+   only while a block still has several components, all pairs of its parts are joined.
 
 Defined results: null or wordless text has an empty set and no links; shorter texts than the shingle have their whole
 sequence as one; repeated rows are equal sets; a repeated doc_id gets a row for each of its rows; a null doc_id
@@ -30,6 +31,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.llm._spark import components, written
@@ -135,6 +137,14 @@ def _tied(signature: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return signature[new], name[new], pairs[:, 0], pairs[:, 1]
 
 
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = [b for b in batches if b.num_rows]
+    if some:
+        table = pa.Table.from_batches(some)
+        _, _, a, b = _tied(table.column("signature").to_numpy(), table.column("name").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """(a, b): names (p0) of sets that share a segment, each tied to the least name there. p0 is only a 64-bit name:
     two sets under one would share a block, no more."""
@@ -162,15 +172,8 @@ def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
         if held:
             yield passed()
 
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if some:
-            table = pa.Table.from_batches(some)
-            _, _, a, b = _tied(table.column("signature").to_numpy(), table.column("name").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
     rows = docs.filter("id is not null").select("text").mapInArrow(gather, "signature long, name long")
-    return rows.repartition("signature").mapInArrow(tie, "a long, b long")
+    return rows.repartition("signature").mapInArrow(_tie, "a long, b long")
 
 
 class Node:
@@ -301,16 +304,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     classes = texts.filter("id is not null and n > 0").groupBy("n", "p0", "p1").agg(F.min("id").alias("rep"))
     classes = written(classes, "classes")
     blocks = components(_ties(own, k, threshold)).select(F.col("id").alias("p0"), F.col("component_id").alias("block"))
-    members = written(classes.join(blocks, "p0").groupBy(F.col("rep").alias("id"), "block").agg(F.max("n").alias("n")), "members")
-    weights = members.groupBy("block").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
-    parts = F.greatest(F.ceil(F.col("shingles") / F.lit(most)), F.ceil(F.col("sets") / F.lit(PART_SETS))).cast("long")
-    members = members.join(weights.select("block", parts.alias("parts")), "block")
-    salted = F.concat_ws("/", "block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    members = classes.join(blocks, "p0").groupBy(F.col("rep").alias("id"), "block").agg(F.max("n").alias("n"))
+    members = written(_dealt(members, most), "members")
     sets = _sets_of(own, members.select("id"), k)
-    links = written(_join_parts(sets, members.select("id", salted.alias("part")), threshold), "links")
+    links = written(_join_parts(sets, _parts(members.filter("parts = 1")), threshold), "links")
     large = members.filter("parts > 1")
     if not large.isEmpty():
-        links = _join_large(sets, written(large, "large"), links, threshold, most)
+        large = written(_dealt(_tighter(sets, large.select("id", "n"), threshold), most), "large")
+        links = written(links.unionByName(_join_parts(sets, _parts(large), threshold)), "links")
+        large = large.filter("parts > 1")
+        if not large.isEmpty():
+            links = _join_large(sets, large, links, threshold, most)
 
     found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     # an id's class, then the component of the class: both tables are keyed by id
@@ -320,6 +324,59 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     return merged.select("id", "n", "component_id").unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """Adds ``parts`` to (id, block, n): into how many parts the block is dealt."""
+    parts = F.greatest(F.ceil(F.sum("n") / F.lit(most)), F.ceil(F.count("*") / F.lit(PART_SETS))).cast("long")
+    return members.join(members.groupBy("block").agg(parts.alias("parts")), "block").select("id", "block", "n", "parts")
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """(id, part): each block's sets dealt into its parts."""
+    return members.select("id", F.concat_ws("/", "block", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("part"))
+
+
+def _tighter(sets: DataFrame, large: DataFrame, t: Fraction) -> DataFrame:
+    """Smaller blocks (id, block, n) for the sets of large ones, by their rarest shingles.
+
+    Shingles are counted over these sets; one that a single set holds links nothing. A set of n with r shared
+    shingles has a link only if it shares one of its r - ceil(t * n) + 1 rarest, so passages that many texts share
+    count only where little else is in a text. Sets meet within a size class and the next, and a set's place in each
+    class is a node of its own: blocks do not grow together over sizes."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                grams = [np.frombuffer(g.as_py(), np.int64) for g in some.column("grams")]
+                counts = np.array([len(g) for g in grams])
+                chosen = np.repeat(np.arange(some.num_rows), counts)
+                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(chosen)), some.column("n").take(pa.array(chosen)), pa.array(np.concatenate(grams))], names=["id", "n", "gram"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        table = pa.Table.from_batches(some).combine_chunks()
+        _, which, count = np.unique(table.column("gram").to_numpy(), return_inverse=True, return_counts=True)
+        held = count[which]
+        table = table.append_column("held", pa.array(held, pa.int64())).filter(pa.array(held > 1))
+        yield from table.to_batches(max_chunksize=50_000)
+
+    grams = sets.join(large.select("id", "n"), "id").mapInArrow(rows, f"id {kind}, n long, gram long")
+    shared = grams.repartition("gram").mapInArrow(counted, f"id {kind}, n long, gram long, held long")
+    need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - F.lit(1e-9))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
+    keys = shared.select("id", "n", "gram", rank.alias("rank"), F.count("*").over(W.partitionBy("id")).alias("r")).filter(F.col("rank") <= F.col("r") - need + 1)
+    # classes are a little wider than 1 / t, so the partners of a set are in its own class or a neighbour
+    size_class = F.floor(F.log("n") / F.lit(1.0001 * max(math.log(t.denominator / t.numerator), 1e-3)))
+    placed = keys.select("id", "n", "gram", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    nodes = written(placed.select("id", "n", F.xxhash64("id", "class").alias("name"), F.xxhash64("gram", "class").alias("signature")), "places")
+    ties = nodes.select("signature", "name").repartition("signature").mapInArrow(_tie, "a long, b long")
+    found = components(ties).select(F.col("id").alias("name"), F.col("component_id").alias("block"))
+    return nodes.select("id", "n", "name").distinct().join(found, "name").select("id", "block", "n").distinct()
+
+
 def _join_large(sets: DataFrame, large: DataFrame, links: DataFrame, t: Fraction, most: int) -> DataFrame:
     """More links for blocks in several parts: among one set of each component, then between all parts of a block
     that is still in several components."""
@@ -330,15 +387,13 @@ def _join_large(sets: DataFrame, large: DataFrame, links: DataFrame, t: Fraction
         if open_.isEmpty():
             return links
         if not last:
-            heads = open_.filter("id = component_id")
-            weights = heads.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / F.lit(most)), F.ceil(F.count("*") / F.lit(PART_SETS))).cast("long").alias("groups"))
-            part = F.concat_ws("/", "block", F.lit("heads"), F.pmod(F.xxhash64("id"), F.col("groups")))
-            parts = heads.join(weights, "block").select("id", part.alias("part"))
+            heads = open_.groupBy("block", "component_id").agg(F.min(F.struct("id", "n")).alias("head")).select("head.id", "block", "head.n")
+            parts = _parts(_dealt(heads, most))
         else:
             mine = F.pmod(F.xxhash64("id"), F.col("parts"))
             other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
             pair = open_.select("id", "block", mine.alias("mine"), other.alias("other"))
-            parts = pair.select("id", F.concat_ws("/", "block", F.lit("pair"), F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
+            parts = pair.select("id", F.concat_ws("/", "block", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
         links = written(links.unionByName(_join_parts(sets, parts, t)), "links")
     return links
 
