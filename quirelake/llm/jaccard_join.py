@@ -263,23 +263,24 @@ def _insert(root: Node, own: np.ndarray, i: int, find) -> None:
         node, at = child, at + same
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, grams): the sets of the documents that have a candidate, written once; texts move once."""
+def _sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, block, n, parts, grams): the members with their sets, written once; texts move once."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             h, bounds = text_sets(batch, k)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), large_binary(h, bounds)], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "block", "n", "parts")), large_binary(h, bounds)], names=["id", "block", "n", "parts", "grams"])
 
     # by a merge join at every size: which side is small depends on how many texts have partners
-    return written(docs.hint("merge").join(ids.distinct(), "id").select("id", "text").mapInArrow(sets, f"id {kind}, grams binary"), "sets")
+    rows = docs.hint("merge").join(members, "id").select("id", "block", "n", "parts", "text")
+    return written(rows.mapInArrow(sets, f"id {kind}, block long, n long, parts long, grams binary"), "sets")
 
 
-def _join_parts(sets: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
-    """Links (a, b) that span the components within each part; ``parts``: (id, part). One row a part gathers its
-    sets, of which a part has at most PART_SHINGLES shingles (or two parts' worth)."""
-    kind = sets.schema["id"].dataType.simpleString()
+def _join_parts(parts: DataFrame, t: Fraction) -> DataFrame:
+    """Links (a, b) that span the components within each part; ``parts``: (id, part, grams). One row a part gathers
+    its sets, of which a part has at most PART_SHINGLES shingles (or two parts' worth)."""
+    kind = parts.schema["id"].dataType.simpleString()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +294,7 @@ def _join_parts(sets: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
                         b.append(rows[j]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    grouped = sets.join(parts, "id").groupBy("part").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
+    grouped = parts.groupBy("part").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
     return grouped.select("members").mapInArrow(link, f"a {kind}, b {kind}")
 
 
@@ -305,13 +306,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     classes = written(classes, "classes")
     blocks = components(_ties(own, k, threshold)).select(F.col("id").alias("p0"), F.col("component_id").alias("block"))
     members = classes.join(blocks, "p0").groupBy(F.col("rep").alias("id"), "block").agg(F.max("n").alias("n"))
-    members = written(_dealt(members, most), "members")
-    sets = _sets_of(own, members.select("id"), k)
-    links = written(_join_parts(sets, _parts(members.filter("parts = 1")), threshold), "links")
-    large = members.filter("parts > 1")
-    if not large.isEmpty():
-        large = written(_dealt(_tighter(sets, large.select("id", "n"), threshold), most), "large")
-        links = written(links.unionByName(_join_parts(sets, _parts(large), threshold)), "links")
+    sets = _sets_of(own, _dealt(members, most), k)
+    links = written(_join_parts(_parts(sets.filter("parts = 1")), threshold), "links")
+    sets = sets.filter("parts > 1").select("id", "n", "grams")
+    if not sets.isEmpty():
+        large = written(_dealt(_tighter(sets, threshold), most), "large")
+        links = written(links.unionByName(_join_parts(_parts(large, sets), threshold)), "links")
         large = large.filter("parts > 1")
         if not large.isEmpty():
             links = _join_large(sets, large, links, threshold, most)
@@ -330,12 +330,13 @@ def _dealt(members: DataFrame, most: int) -> DataFrame:
     return members.join(members.groupBy("block").agg(parts.alias("parts")), "block").select("id", "block", "n", "parts")
 
 
-def _parts(members: DataFrame) -> DataFrame:
-    """(id, part): each block's sets dealt into its parts."""
-    return members.select("id", F.concat_ws("/", "block", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("part"))
+def _parts(members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(id, part, grams): each block's sets dealt into its parts; ``sets`` has the grams where ``members`` has not."""
+    rows = members if sets is None else members.join(sets.select("id", "grams"), "id")
+    return rows.select("id", F.concat_ws("/", "block", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("part"), "grams")
 
 
-def _tighter(sets: DataFrame, large: DataFrame, t: Fraction) -> DataFrame:
+def _tighter(sets: DataFrame, t: Fraction) -> DataFrame:
     """Smaller blocks (id, block, n) for the sets of large ones, by their rarest shingles.
 
     Shingles are counted over these sets; one that a single set holds links nothing. A set of n with r shared
@@ -351,7 +352,7 @@ def _tighter(sets: DataFrame, large: DataFrame, t: Fraction) -> DataFrame:
                 grams = [np.frombuffer(g.as_py(), np.int64) for g in some.column("grams")]
                 counts = np.array([len(g) for g in grams])
                 chosen = np.repeat(np.arange(some.num_rows), counts)
-                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(chosen)), some.column("n").take(pa.array(chosen)), pa.array(np.concatenate(grams))], names=["id", "n", "gram"])
+                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(chosen)), pa.array(np.concatenate(grams))], names=["id", "gram"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [b for b in batches if b.num_rows]
@@ -363,11 +364,12 @@ def _tighter(sets: DataFrame, large: DataFrame, t: Fraction) -> DataFrame:
         table = table.append_column("held", pa.array(held, pa.int64())).filter(pa.array(held > 1))
         yield from table.to_batches(max_chunksize=50_000)
 
-    grams = sets.join(large.select("id", "n"), "id").mapInArrow(rows, f"id {kind}, n long, gram long")
-    shared = grams.repartition("gram").mapInArrow(counted, f"id {kind}, n long, gram long, held long")
+    grams = sets.select("id", "grams").mapInArrow(rows, f"id {kind}, gram long")
+    shared = grams.repartition("gram").mapInArrow(counted, f"id {kind}, gram long, held long")
     need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - F.lit(1e-9))
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
-    keys = shared.select("id", "n", "gram", rank.alias("rank"), F.count("*").over(W.partitionBy("id")).alias("r")).filter(F.col("rank") <= F.col("r") - need + 1)
+    ranked = shared.select("id", "gram", rank.alias("rank"), F.count("*").over(W.partitionBy("id")).alias("r"))
+    keys = ranked.join(sets.select("id", "n"), "id").filter(F.col("rank") <= F.col("r") - need + 1)
     # classes are a little wider than 1 / t, so the partners of a set are in its own class or a neighbour
     size_class = F.floor(F.log("n") / F.lit(1.0001 * max(math.log(t.denominator / t.numerator), 1e-3)))
     placed = keys.select("id", "n", "gram", F.explode(F.array(size_class, size_class + 1)).alias("class"))
@@ -388,13 +390,14 @@ def _join_large(sets: DataFrame, large: DataFrame, links: DataFrame, t: Fraction
             return links
         if not last:
             heads = open_.groupBy("block", "component_id").agg(F.min(F.struct("id", "n")).alias("head")).select("head.id", "block", "head.n")
-            parts = _parts(_dealt(heads, most))
+            parts = _parts(_dealt(heads, most), sets)
         else:
             mine = F.pmod(F.xxhash64("id"), F.col("parts"))
             other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
             pair = open_.select("id", "block", mine.alias("mine"), other.alias("other"))
-            parts = pair.select("id", F.concat_ws("/", "block", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
-        links = written(links.unionByName(_join_parts(sets, parts, t)), "links")
+            part = F.concat_ws("/", "block", F.least("mine", "other"), F.greatest("mine", "other"))
+            parts = pair.select("id", part.alias("part")).join(sets.select("id", "grams"), "id")
+        links = written(links.unionByName(_join_parts(parts, t)), "links")
     return links
 
 

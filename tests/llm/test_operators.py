@@ -84,6 +84,24 @@ def test_jaccard_join_parts_of_large_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 3, Fraction(9, 10))
 
 
+def test_jaccard_join_blocks_of_shared_passages(spark, monkeypatch):
+    """Texts that share passages fall in one block; only those alike as a whole are linked."""
+    monkeypatch.setattr(jaccard_join, "PART_SETS", 3)
+    rng = np.random.default_rng(5)
+    passages = [[f"p{p}x{i}" for i in range(60)] for p in range(3)]
+    texts = []
+    for g in range(12):
+        base = [f"v{j}" for j in rng.integers(0, 5000, int(rng.integers(20, 120)))] + passages[g % 3]
+        for c in range(4):
+            w = list(base)
+            for _ in range(2 * c):
+                w[int(rng.integers(len(w)))] = "edit%d" % rng.integers(100000)
+            texts.append(" ".join(w))
+    texts = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts), 5, Fraction(4, 5)).collect()}
+    assert got == brute_components(texts, 5, Fraction(4, 5))
+
+
 def test_jaccard_join_odd_rows(spark):
     rows = jaccard_join.jaccard_components(docs_of(spark, ODD)).collect()
     assert len(rows) == len(ODD)
