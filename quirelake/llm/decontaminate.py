@@ -1,10 +1,11 @@
-"""Operator 3: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 3: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 One pass over the texts finds every place where a text has a word n-gram of any test item and cuts the passages
-around these places. Document frequencies of the items' n-grams over all documents then name each item's rarer
-half as its seeds, which join passages to items; passages and items are aligned word by word (match +2, mismatch
-or gap -1), so edited, reordered and paraphrased copies score too. The score is the best local alignment as a share
-of the item's own; a pair at ``min_score`` or more is a leak.
+around these places. Each n-gram of an item is a seed, common or rare, so a passage meets every item with which it
+shares one. A pair whose passage holds too few of the item's words to reach ``min_score`` is dropped, which loses
+nothing; the others are aligned word by word (match +2, mismatch or gap -1), so edited, reordered and paraphrased
+copies score too. The score is the best local alignment as a share of the item's own; a pair at ``min_score`` or
+more is a leak. A copy that keeps no run of GRAM words of its item shares no n-gram with it and is not seen.
 
 Words are compared without case (ASCII and Latin-1 letters) and without punctuation at their ends.
 
@@ -20,15 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.llm._spark import written
 from quirelake.llm._text import Words, shingles, slices, utf8
 
 GRAM = 3
-#: Share of an item's n-grams, rarest first, that are seeds.
-SEED_SHARE = 0.5
 MIN_SCORE = 0.5
 #: n-grams of a block of items: 8 bytes each in every task.
 BLOCK_GRAMS = 2_000_000
@@ -173,11 +171,7 @@ def _leaks_of(own: DataFrame, grams: DataFrame, reach: int, min_score: float) ->
         known = np.zeros(1, np.uint64)
     passages = written(_passages(own, known, max(reach, GRAM)), "passages")
     hits = passages.select("doc_id", "of", "start", F.explode("hits").alias("hit")).select("doc_id", "of", "start", "hit.gram", "hit.place")
-    frequency = hits.groupBy("gram").agg(F.count_distinct("doc_id", "of").alias("df"))
-    ranked = grams.join(frequency, "gram", "left").withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram", "at")))
-    ranked = ranked.withColumn("n", F.count("*").over(W.partitionBy("item_id")))
-    seeds = ranked.filter(F.col("rank") <= F.ceil(F.col("n") * F.lit(SEED_SHARE))).select("gram", "item_id", "at")
-    pairs = hits.join(seeds, "gram").groupBy("doc_id", "of", "start", "item_id")
+    pairs = hits.join(grams.select("gram", "item_id", "at"), "gram").groupBy("doc_id", "of", "start", "item_id")
     pairs = pairs.agg(F.min(F.col("place") - F.col("at")).alias("low"), F.max(F.col("place") - F.col("at")).alias("high"))
     bodies = grams.groupBy("item_id").agg(F.first("words").alias("item"))
     key = F.struct("doc_id", "of", "start")
@@ -188,13 +182,20 @@ def _leaks_of(own: DataFrame, grams: DataFrame, reach: int, min_score: float) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            items, texts, shifts = [], [], []
-            for low, high, item, words in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "item", "words")), strict=True):
+            rows, items, texts, shifts = [], [], [], []
+            for i, (low, high, item, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "high", "item", "words")), strict=True)):
                 item, words = np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64)
                 a = max(0, low - len(item))
+                near = words[a : high + 2 * len(item)]
+                if np.isin(item, near).sum() / len(item) < min_score:  # all its matches would not do
+                    continue
+                rows.append(i)
                 items.append(item)
-                texts.append(words[a : high + 2 * len(item)])
+                texts.append(near)
                 shifts.append(a)
+            if not rows:
+                continue
+            batch = batch.take(pa.array(rows))
             best, end = np.zeros(len(items)), np.zeros(len(items), np.int64)
             order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(texts[i])))
             at = 0

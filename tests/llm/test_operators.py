@@ -264,6 +264,18 @@ def test_leaks_exact_and_edited(spark):
     assert decontaminate.find_leaks(docs_of(spark, []), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("step", [4, 5])
+@pytest.mark.parametrize("exact", [False, True])
+def test_leaks_with_many_words_replaced(spark, step, exact):
+    """Copies that lost half of the item's n-grams or more, alone or beside an exact copy."""
+    w = [f"term{i}" for i in range(40)]
+    edited = " ".join([f"n{j}" for j in range(30)] + [x if (j + 1) % step else f"other{j}" for j, x in enumerate(w)])
+    docs = [(1, edited), (3, "term1 term2 term3 " * 20)] + [(2, " ".join(w))] * exact
+    found = {r.doc_id: r.score for r in decontaminate.find_leaks(docs_of(spark, docs), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()}
+    kept = 40 - 40 // step
+    assert set(found) == ({1, 2} if exact else {1}) and found[1] == (2 * kept - (40 // step - 1)) / 80
+
+
 def test_alignment_equals_a_plain_table():
     rng = np.random.default_rng(5)
     for _ in range(30):
