@@ -1,6 +1,6 @@
 """Operator 2: URL filter by a path-template tree and list rules. DataFrame functions only.
 
-For each host a tree of path segments grows level by level: a segment becomes ``*`` if it looks like an id, or if its
+For each host a tree of path segments grows level by level, as deep as its paths go: a segment becomes ``*`` if it looks like an id, or if its
 place in the tree takes many different values for few pages each. A template whose share of good labels does not
 differ significantly from that of all templates that differ from it in its last fixed segment only, is merged with
 them. A template is rejected if its labelled purity, smoothed towards that of all labelled pages, is too low.
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from quirelake.llm._spark import written
 from quirelake.llm.line_dedup import ascii_lower
 
-#: Levels of the tree; what is deeper stays together in the last segment.
-DEPTH = 4
 #: A place in the tree with so many values, and at most this many pages for each, is variable.
 MIN_VALUES, MAX_PAGES_EACH = 5, 2
 #: Looks like an id: has a digit and no letters beyond a-f, with an optional file ending.
@@ -50,22 +48,31 @@ def longest_rule(host_: Column, path_: Column, rules: list[tuple[str, str]]) ->
 
 
 def path_templates(paths: DataFrame) -> DataFrame:
-    """Adds template to rows (host, path, n, ...) with distinct (host, path)."""
+    """Adds template to rows (host, path, n, ...) with distinct (host, path).
+
+    One level a round, until no path has a further segment. A place with fewer than MIN_VALUES paths can have no
+    variable place below it, so its paths are finished at once: the rounds follow shared prefixes, not the longest path.
+    """
     other = [c for c in paths.columns if c not in ("host", "path")]
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    more = F.size("segments") > DEPTH
-    last = F.array_join(F.slice("segments", DEPTH, F.greatest(F.size("segments"), F.lit(1))), "/")
-    rows = paths.withColumn("segments", segments).select("host", "path", *other, F.when(more, F.concat(F.slice("segments", 1, DEPTH - 1), F.array(last))).otherwise(F.col("segments")).alias("segments"), F.lit("").alias("template"))
-    for k in range(DEPTH):
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(ID_LIKE), "*").otherwise(s))
+    rows = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
+    named = rows.filter(F.size("segments") == 0).select("host", "path", *other, "template")
+    rows, k = rows.filter(F.size("segments") > 0), 0
+    while True:
         rows = rows.withColumn("segment", F.get("segments", F.lit(k)))
-        rows = rows.withColumn("segment", F.when(F.col("segment").rlike(ID_LIKE), "*").otherwise(F.col("segment")))
-        nodes = rows.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        places = nodes.groupBy("host", "template").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"))
-        variable = places.filter((F.col("n_values") >= MIN_VALUES) & (F.col("n") <= MAX_PAGES_EACH * F.col("n_values"))).select("host", "template", F.lit(True).alias("variable"))
-        rows = rows.join(variable, ["host", "template"], "left")
-        part = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.coalesce("variable", F.lit(False)), "*").otherwise(F.col("segment"))))
-        rows = rows.select("host", "path", *other, "segments", F.concat("template", part).alias("template"))
-    return rows.select("host", "path", *other, "template")
+        nodes = rows.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        places = nodes.groupBy("host", "template").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"), F.sum("paths").alias("paths"))
+        is_variable = (F.col("n_values") >= MIN_VALUES) & (F.col("n") <= MAX_PAGES_EACH * F.col("n_values"))
+        open_ = places.filter(F.col("paths") >= MIN_VALUES).select("host", "template", is_variable.alias("variable"))
+        rows = rows.join(open_, ["host", "template"], "left")
+        rest = F.array_join(F.slice("segments", k + 1, F.size("segments")), "/")
+        part = F.when(F.col("variable").isNull(), rest).when(F.col("variable"), "*").otherwise(F.col("segment"))
+        done = F.col("variable").isNull() | (F.size("segments") == k + 1)
+        rows = written(rows.select("host", "path", *other, "segments", F.concat("template", F.lit("/"), part).alias("template"), done.alias("done")), "level")
+        named = named.unionByName(rows.filter("done").select("host", "path", *other, "template"))
+        rows, k = rows.filter("not done").drop("done"), k + 1
+        if rows.isEmpty():
+            return named
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -73,7 +80,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     own = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     marks = labels.select(F.col("page_id").alias("page_id"), F.col("good").cast("int").alias("good")).filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     counted = own.join(marks, "page_id", "left").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("good").alias("n_labels"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"))
-    # the tree is read three times; written once, it is grown once
+    # the templates are read three times; written once, they are put together once
     named = written(path_templates(written(counted, "paths")), "templates")
     wider = F.regexp_replace("template", r"/[^/*][^/]*((/\*)*)$", "/*$1")
     named = named.withColumn("wider", wider)

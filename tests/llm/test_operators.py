@@ -308,6 +308,19 @@ def test_url_rules_and_templates(spark):
     assert got[100].verdict == got[119].verdict == "block" and got[119].template == "/p/*"
 
 
+def test_url_templates_below_the_third_level(spark):
+    """Good and bad sections at the fourth level, ids and names far below, and one path of very many segments."""
+    names = ["".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(40)]
+    urls = [f"http://h.net/a/b/c/{kind}/{n}" for n in names for kind in ("casino", "docs")]
+    urls += [f"http://deep.net/a/b/c/d/e/{i}f/{n}/end" for i, n in enumerate(names)] + ["http://deep.net/" + "/".join(["x"] * 300)]
+    labels = [(i, i % 2 == 1) for i in range(60)]
+    got = {r.page_id: r for r in url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"), []).collect()}
+    assert len(got) == len(urls)
+    assert {(r.template, r.verdict) for i, r in got.items() if i < 80} == {("/a/b/c/casino/*", "block"), ("/a/b/c/docs/*", "allow")}
+    assert {r.template for i, r in got.items() if 80 <= i < 120} == {"/a/b/c/d/e/*/*/end"}
+    assert got[120].verdict == "allow"
+
+
 def test_language_id_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
