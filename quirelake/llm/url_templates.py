@@ -1,13 +1,14 @@
 """Operator 2: URL filter by a path-template tree and list rules. DataFrame functions only.
 
 For each host a tree of path segments grows level by level, as deep as its paths go: a segment becomes ``*`` if it looks like an id, or if its
-place in the tree takes many different values for few pages each. A template whose share of good labels does not
-differ significantly from that of all templates that differ from it in its last fixed segment only, is merged with
-them. A template is rejected if its labelled purity, smoothed towards that of all labelled pages, is too low.
+place in the tree takes many different values for few distinct urls each; how often a url is repeated does not count.
+A template whose share of good labels does not differ significantly from that of all templates that differ from it in
+one fixed segment only, is merged with them: at its last fixed segment, or at one before that where there are
+MIN_VALUES templates or more; of several such segments at the one with most templates, and so on while any merge. A template is rejected if its labelled purity, smoothed towards that of all labelled pages, is too low.
 List rules go first: the longest rule that fits decides.
 
-Defined results: a null url or one without ``://`` has empty host and path and shares the template of these; repeated
-urls weigh as often as they come; repeated labels of a page count as good only if all are good; null labels count
+Defined results: a null url or one without ``://`` has empty host and path and shares the template of these; labels of
+repeated urls weigh as often as they come; repeated labels of a page count as good only if all are good; null labels count
 as none; without any labels the prior purity is 1, so nothing is rejected; an empty table stays empty.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from quirelake.llm._spark import written
 from quirelake.llm.line_dedup import ascii_lower
 
-#: A place in the tree with so many values, and at most this many pages for each, is variable.
+#: A place in the tree with so many values, and at most this many distinct urls for each, is variable.
 MIN_VALUES, MAX_PAGES_EACH = 5, 2
 #: Looks like an id: has a digit and no letters beyond a-f, with an optional file ending.
 ID_LIKE = r"^[0-9a-fA-F_-]*[0-9][0-9a-fA-F_-]*(\.[a-z0-9]+)?$"
@@ -75,20 +76,39 @@ def path_templates(paths: DataFrame) -> DataFrame:
             return named
 
 
+def merge_round(groups: DataFrame) -> DataFrame:
+    """(host, final, wider): the templates ``final`` of (host, final, n_labels, n_good) that join others as ``wider``."""
+    parts = F.split("final", "/")
+    size = F.size("parts")
+    places = F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.get("parts", i) != "*")
+    split = groups.withColumn("parts", parts).withColumn("places", F.when(size > 1, places).otherwise(F.array().cast("array<int>")))
+    # place 0 is the template itself: what is merged already stays in the pool
+    each = split.withColumn("place", F.explode(F.concat(F.array(F.lit(0)), "places")))
+    wider = F.array_join(F.concat(F.slice("parts", 1, F.col("place")), F.array(F.lit("*")), F.slice("parts", F.col("place") + 2, size)), "/")
+    each = each.select("host", "final", "n_labels", "n_good", "place", (F.col("place") == F.array_max("places")).alias("last"), F.when(F.col("place") == 0, F.col("final")).otherwise(wider).alias("wider"))
+    pooled = each.groupBy("host", "wider").agg(F.sum("n_labels").alias("all_labels"), F.sum("n_good").alias("all_good"), F.count("*").alias("siblings"))
+    pooled = pooled.filter("siblings > 1")
+    share, mean = F.col("n_good") / F.greatest("n_labels", F.lit(1)), F.col("all_good") / F.greatest("all_labels", F.lit(1))
+    alike = (F.col("n_labels") == 0) | ((share - mean) * (share - mean) * F.col("n_labels") <= F.lit(Z2) * mean * (1 - mean))
+    fits = each.filter("place > 0").join(pooled, ["host", "wider"]).filter(alike & (F.col("last") | (F.col("siblings") >= MIN_VALUES)))
+    return fits.groupBy("host", "final").agg(F.max(F.struct("siblings", "place", "wider"))["wider"].alias("wider"))
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) per page. ``labels``: (page_id, good boolean)."""
-    own = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    own = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.col(url).alias("url"))
     marks = labels.select(F.col("page_id").alias("page_id"), F.col("good").cast("int").alias("good")).filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    counted = own.join(marks, "page_id", "left").groupBy("host", "path").agg(F.count("*").alias("n"), F.count("good").alias("n_labels"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"))
+    by_url = own.join(marks, "page_id", "left").groupBy("host", "path", "url").agg(F.count("good").alias("n_labels"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"))
+    counted = by_url.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
     # the templates are read three times; written once, they are put together once
     named = written(path_templates(written(counted, "paths")), "templates")
-    wider = F.regexp_replace("template", r"/[^/*][^/]*((/\*)*)$", "/*$1")
-    named = named.withColumn("wider", wider)
-    per = named.groupBy("host", "wider", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
-    pooled = per.groupBy("host", "wider").agg(F.sum("n_labels").alias("all_labels"), F.sum("n_good").alias("all_good"), F.count("*").alias("siblings"))
-    share, mean = F.col("n_good") / F.greatest("n_labels", F.lit(1)), F.col("all_good") / F.greatest("all_labels", F.lit(1))
-    alike = (F.col("siblings") > 1) & ((F.col("n_labels") == 0) | ((share - mean) * (share - mean) * F.col("n_labels") <= F.lit(Z2) * mean * (1 - mean)))
-    merged = written(per.join(pooled, ["host", "wider"]).select("host", "template", "n_labels", "n_good", F.when(alike, F.col("wider")).otherwise(F.col("template")).alias("final")), "merged")
+    per = named.groupBy("host", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
+    merged = written(per.withColumn("final", F.col("template")), "merged")
+    while True:  # each round takes a fixed segment from the templates that merge
+        joins = written(merge_round(merged.groupBy("host", "final").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))), "joins")
+        if joins.isEmpty():
+            break
+        merged = written(merged.join(joins, ["host", "final"], "left").select("host", "template", "n_labels", "n_good", F.coalesce("wider", "final").alias("final")), "merged")
     total = merged.agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).select(F.when(F.col("n") > 0, F.col("g") / F.col("n")).otherwise(F.lit(1.0)).alias("prior"))  # one row
     purity = (
         merged.groupBy("host", "final").agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).join(F.broadcast(total)).select("host", "final", ((F.col("g") + F.lit(PRIOR_WEIGHT) * F.col("prior")) / (F.col("n") + F.lit(PRIOR_WEIGHT))).alias("purity"))

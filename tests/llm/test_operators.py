@@ -321,6 +321,19 @@ def test_url_templates_below_the_third_level(spark):
     assert got[120].verdict == "allow"
 
 
+@pytest.mark.parametrize("crawls", [1, 3])
+@pytest.mark.parametrize("pages", [["spam", "about"], ["spam", "about", "photos"]])
+def test_url_templates_over_names_whatever_the_copies(spark, crawls, pages):
+    """A name in the middle of a path is pooled over, also in repeated crawls, with more pages a name and a hot url."""
+    names = ["".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(60)]
+    urls = [f"http://h.net/user/{n}/{page}" for n in names for page in pages] * crawls + ["http://h.net/user/hot/about"] * 500 * (crawls > 1)
+    labelled = [(i, not u.endswith("spam")) for i, u in enumerate(urls) if u.split("/")[4] in names[:30]]
+    rows = url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(labelled, "page_id long, good boolean"), []).collect()
+    assert len(rows) == len(urls)
+    assert all((r.verdict == "block") == r.path.endswith("spam") for r in rows)
+    assert {r.template for r in rows if r.path.endswith("spam")} == {"/user/*/spam"}
+
+
 def test_language_id_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
