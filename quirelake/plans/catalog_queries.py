@@ -69,7 +69,7 @@ _KEYS = "school_name, school_year, school_term, exam_type, grade, subject, versi
 
 @query(CATALOG_SQL + "SELECT paper_id, rel_path, county, level, grade, subject, school_year, school_term, exam_type, fileid, school_name, version, paper_or_daan, size_kb, mtime FROM catalog")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P3-P8, P11, IO3, W2: listing to catalogue."""
+    """P1, P3-P8 in part, P11, IO3, W2: listing to catalogue; the README names what is missing of P5 and P7."""
     return catalog(spark, sf_dir).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
 
 
