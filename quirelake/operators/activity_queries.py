@@ -85,13 +85,13 @@ def total_history(events: DataFrame, keep: int = 90) -> DataFrame:
 
 @query(f"WITH {_AUDIT} SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) FILTER (action = 'search') AS searches, count(*) FILTER (action IN ('download', 'batch_download')) AS downloads, count(DISTINCT user_id) AS users FROM audit GROUP BY ROLLUP (CAST(date_trunc('week', ts) AS DATE))")
 def traffic_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17, ST3 in batch form."""
+    """A17 by week and in total, without months; ST3 in batch form."""
     return traffic(audit(spark, sf_dir))
 
 
 @query(f"WITH {_AUDIT} SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS starts, count(*) AS n FROM audit WHERE action = 'search' GROUP BY 1, 2 HAVING count(*) > 1")
 def rate_limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2 in batch form."""
+    """One rule in the form of ST2, in batch form: searches in a UTC day; ST2's own limits are not registered."""
     return rate_violations(audit(spark, sf_dir), "search", 24 * 60, 1)
 
 
@@ -158,7 +158,7 @@ def last_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, arg_max(status, {{'a': ts, 'b': event_id}}) AS status, count(*) AS changes FROM s WHERE status IS NOT NULL GROUP BY user_id"""
 )
 def access_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: the last change of each user's state."""
+    """M8 in part: the last change of each user's state, without guards and permission."""
     status = F.when(F.col("action") == "submit_access_request", "pending").when(F.col("action") == "batch_download", "approved").when(F.col("action") == "rate_limited", "banned")
     rows = audit(spark, sf_dir).withColumn("status", status).filter("status is not null")
     return rows.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("changes"))
