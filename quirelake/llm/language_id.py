@@ -5,7 +5,8 @@ n-grams) whose learned weights add up to a score for each language; learned tran
 Forward-backward over chains of words gives each word's probabilities, so that code-switched text is labelled word
 by word; a text's language is the one with the largest sum over its words with letters, its score that share.
 
-The model is trained in numpy on a bounded sample: at most ``SAMPLE`` texts for each language. Half of the training
+The model is trained in numpy on a bounded sample: at most ``SAMPLE`` texts for each language, cut into chains of 16
+words and shorter ones at the texts' ends, and of these SAMPLE_WORDS words, shared out evenly by language. Half of the training
 chains are spliced from texts of two languages, so that transitions learn switches.
 
 Defined results: ``und`` with score 0 for null text or text without a letter; long texts are labelled whole, in
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm._text import Words, mix, slices, utf8
 
-#: Training texts for each language, and words used of all of them together.
+#: Training texts for each language, and words used of all of them together, shared out evenly by language.
 SAMPLE, SAMPLE_WORDS = 300, 400_000
 BUCKETS = 1 << 17
 CHAIN = 64
@@ -132,6 +133,20 @@ def word_probabilities(model: Model, score: np.ndarray, bounds: np.ndarray) -> n
     return out
 
 
+def shared_out(pieces: list[np.ndarray], label: np.ndarray) -> list[np.ndarray]:
+    """Pieces of about SAMPLE_WORDS words, as many words of each language; what one has too little of, others get."""
+    own: dict[int, list[int]] = {}
+    for i, piece in enumerate(pieces):
+        own.setdefault(int(label[piece[0]]), []).append(i)
+    ends = {c: np.cumsum([len(pieces[i]) for i in some]) for c, some in own.items()}
+    kept, left = [], SAMPLE_WORDS
+    for done, c in enumerate(sorted(own, key=lambda c: int(ends[c][-1]))):
+        n = max(1, int(np.searchsorted(ends[c], left // (len(own) - done), side="right")))
+        kept += own[c][:n]
+        left = max(0, left - int(ends[c][n - 1]))
+    return [pieces[i] for i in sorted(kept)]
+
+
 def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
     """Stochastic gradient steps (Adagrad) on the log likelihood of chains of words."""
     names = sorted(set(languages))
@@ -148,7 +163,7 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None
     length = 16
     pieces = [np.arange(a, min(a + length, b)) for x, b in zip(words.bounds[:-1], words.bounds[1:], strict=True) for a in range(x, b, length)]
     rng.shuffle(pieces)
-    pieces = [p for p in pieces if len(p) == length][: SAMPLE_WORDS // length] or pieces[:1]
+    pieces = shared_out(pieces, label)
     g_w, g_m = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(len(pieces))

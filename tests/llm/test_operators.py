@@ -342,6 +342,27 @@ def test_language_id_learns(spark):
     assert odd[1].lang_pred == odd[2].lang_pred == odd[20].lang_pred == "und" and odd[21].lang_pred != "und" and odd[1].score == 0
 
 
+@pytest.mark.parametrize("long_ones", [False, True])
+def test_language_id_learns_from_short_texts(spark, long_ones):
+    """Languages whose texts all have under 16 words, alone and beside a language of very long texts."""
+    rng = np.random.default_rng(8)
+    kinds = {c: [f"{c}{i}{c}" for i in range(80)] for c in ("ka", "lo", "mi")}
+    text = lambda c, n: " ".join(rng.choice(kinds[c], n))
+    rows = [(text(c, 20_000 if long_ones and c == "ka" else int(rng.integers(2, 12))), c) for c in kinds for _ in range(40)]
+    model = language_id.train([t for t, _ in rows], [c for _, c in rows])
+    new = [(i, text(c, 5), c) for i, c in enumerate(list(kinds) * 10)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs_of(spark, [(i, t) for i, t, _ in new]), model).collect()}
+    assert got == {i: c for i, _, c in new}
+
+
+def test_pieces_are_shared_out_by_language(monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_WORDS", 100)
+    pieces = [np.arange(a, min(a + 16, 1000)) for a in range(0, 1000, 16)] + [np.arange(1000 + 4 * i, 1004 + 4 * i) for i in range(5)]
+    label = np.repeat([0, 1], [1000, 20])
+    kept = [len(p) for p in language_id.shared_out(pieces, label)]
+    assert kept == [16] * 5 + [4] * 5
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(6)
     score, moves = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
