@@ -7,7 +7,7 @@ checksum of data that hold checksums stays sound. The index (Parquet) has a row
 offset, byte length, number of ids, ids before it; readers seek by it in any order.
 
 Defined results: null text is an empty text (its record holds the end id alone); repeated rows and repeated ids
-get a record each, ties in order of the text; null ids come first; an empty table writes no file. Other columns
+get a record each, ties in order of their ids' CRC-32; null ids come first; an empty table writes no file. Other columns
 are ignored. A retried or speculative task writes a file of its own name; the index names the one that counted.
 """
 
@@ -31,6 +31,8 @@ from quirelake.llm.tokens import END_ID, encoder, texts
 #: Fixed value of the masking rule of length-delimited record files.
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
+#: Bytes of a record beside its payload.
+AROUND = HEAD.size + TAIL.size
 
 
 def masked(data: bytes) -> int:
@@ -62,9 +64,30 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h, width, ids): each text's ids with the end id, as little-endian integers of ``width`` bytes; h is
+    their CRC-32, which orders the rows of one id."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in slices(batches, "text", 1 << 20):
+            ids, bounds = enc.encode(*utf8(batch.column("text")))
+            payloads = [one.tobytes() for one in texts(ids, bounds, end_id)]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([zlib.crc32(p) for p in payloads], pa.int64()), pa.array([enc.dtype.itemsize] * n, pa.int32()), pa.array(payloads, pa.binary())], names=["doc_id", "h", "width", "ids"]
+            )
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, h long, width int, ids binary")
+
+
 def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all texts in ascending id order; returns the index:
-    (doc_id, file, at, n_bytes, n_tokens, start, width). ``folder`` must be reachable by all executors."""
+    (doc_id, file, at, n_bytes, n_tokens, start, width). ``folder`` must be reachable by all executors.
+
+    Texts are encoded where they are read; what is ranged and sorted are ids, half as many bytes, and the workers
+    that write them hold no tokenizer."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "records")
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -73,33 +96,31 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
         from pyspark import TaskContext
 
         part, name, at, start, out = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.rec", 0, 0, None
-        enc = encoder(tokenizer)
-        for batch in slices(batches, "text", 1 << 20):
-            ids, bounds = enc.encode(*utf8(batch.column("text")))
+        for batch in slices(batches, "ids", 1 << 22):
             if out is None:
                 system, root = _open(folder)
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(f"{root}/{name}")
-            framed, ats, sizes, counts, starts = [], [], [], [], []
-            for one in texts(ids, bounds, end_id):
-                framed.append(frame(one.tobytes()))
+            ats, sizes, counts, starts = [], [], [], []
+            for payload, width in zip(batch.column("ids"), batch.column("width").to_pylist(), strict=True):
+                record = frame(payload.as_py())
+                out.write(record)
                 ats.append(at)
-                sizes.append(len(framed[-1]))
-                counts.append(len(one))
+                sizes.append(len(record))
+                counts.append((len(record) - AROUND) // width)
                 starts.append(start)
                 at += sizes[-1]
-                start += len(one)
-            out.write(b"".join(framed))
+                start += counts[-1]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), pa.array([enc.dtype.itemsize] * n, pa.int32())],
+                [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), batch.column("width")],
                 names=["doc_id", "part", "name", "at", "n_bytes", "n_tokens", "part_start", "width"],
             )
         if out is not None:
             out.close()
 
-    ordered = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # written first: the sampling of ranges then reads two columns and encodes nothing again
+    ordered = written(encoded(docs, tokenizer, end_id, doc_id, text), "encoded").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     index = written(ordered.mapInArrow(write, f"doc_id {kind}, part int, name string, at long, n_bytes long, n_tokens long, part_start long, width int"), "index")
     # one row for each file: the running total over files is small whatever the number of documents
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -107,19 +128,30 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
     return index.join(F.broadcast(bases), "part").select("doc_id", F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("file"), "at", "n_bytes", "n_tokens", (F.col("base") + F.col("part_start")).alias("start"), "width")
 
 
+def _payloads(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The rows of an index, about ``most`` bytes of records at a time, with their payloads; every checksum is verified."""
+    name, source = None, None
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_bytes").to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            some, payloads = batch.slice(at, upto - at), []
+            for file, place, size in zip(*(some.column(c).to_pylist() for c in ("file", "at", "n_bytes")), strict=True):
+                if file != name:
+                    system, path = _open(file)
+                    name, source = file, system.open_input_file(path)
+                payloads.append(unframe(source.read_at(size, place)))
+            yield some, payloads
+            at = upto
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """The index rows with ``ids`` (binary, little endian, ``width`` bytes each), read from the files by their
-    offsets in whatever order the rows come; every checksum is verified."""
+    offsets in whatever order the rows come."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, source = None, None
-        for batch in batches:
-            payloads = []
-            for file, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n_bytes")), strict=True):
-                if file != name:
-                    system, path = _open(file)
-                    name, source = file, system.open_input_file(path)
-                payloads.append(unframe(source.read_at(size, at)))
+        for batch, payloads in _payloads(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return index.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in index.dtypes) + ", ids binary")
@@ -129,13 +161,10 @@ def record_digests(index: DataFrame) -> DataFrame:
     """Per record, read back from its file: doc_id, start, n_tokens, ids_crc32 (over 32-bit ids)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crcs, counts = [], []
-            for payload, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                ids = np.frombuffer(payload, f"<u{width}").astype("<u4")
-                crcs.append(zlib.crc32(ids.tobytes()))
-                counts.append(len(ids))
+        for batch, payloads in _payloads(batches):
+            ids = [np.frombuffer(p, f"<u{width}") for p, width in zip(payloads, batch.column("width").to_pylist(), strict=True)]
+            crcs, counts = [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], [len(i) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return read_records(index).select("doc_id", "start", "ids", "width").mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return index.mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
