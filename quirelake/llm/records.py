@@ -7,7 +7,7 @@ checksum of data that hold checksums stays sound. The index (Parquet) has a row
 offset, byte length, number of ids, ids before it; readers seek by it in any order.
 
 Defined results: null text is an empty text (its record holds the end id alone); repeated rows and repeated ids
-get a record each, ties in order of their ids' CRC-32; null ids come first; an empty table writes no file. Other columns
+get a record each, ties in order of a hash of the text; null ids come first; an empty table writes no file. Other columns
 are ignored. A retried or speculative task writes a file of its own name; the index names the one that counted.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from quirelake.llm.tokens import END_ID, encoder, texts
 #: Fixed value of the masking rule of length-delimited record files.
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
+#: Bytes of text in a file of records.
+FILE_BYTES = 32 << 20
 #: Bytes of a record beside its payload.
 AROUND = HEAD.size + TAIL.size
 
@@ -64,38 +67,52 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, width, ids): each text's ids with the end id, as little-endian integers of ``width`` bytes; h is
-    their CRC-32, which orders the rows of one id."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def ranges(docs: DataFrame, n: int) -> tuple[list[int], list[tuple]]:
+    """Lower ends of n even ranges of the rows (doc_id, text), by id and a hash of the text, so that a repeated id may
+    span several: hashes of those that begin without an id, which come first, and (doc_id, hash) of the others. Only
+    ids and hashes move; n rows come here."""
+    keys = docs.select(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"))
+    dealt = keys.repartitionByRange(n, "known", "doc_id", "h").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("known", "doc_id", "h")).alias("low"))
+    lows = [r["low"] for r in dealt.select("low").collect()]
+    return sorted(r["h"] for r in lows if not r["known"]), sorted((r["doc_id"], r["h"]) for r in lows if r["known"])
+
+
+def encoded(docs: DataFrame, tokenizer: str, lows: tuple[list[int], list[tuple]], end_id: int = END_ID) -> DataFrame:
+    """(part, doc_id, h, width, ids) of rows (doc_id, text): each text's ids with the end id, as little-endian integers
+    of ``width`` bytes, and the number of the range the row is in."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(lows), docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, lows = encoder(tokenizer), sent.value
         for batch in slices(batches, "text", 1 << 20):
             ids, bounds = enc.encode(*utf8(batch.column("text")))
             payloads = [one.tobytes() for one in texts(ids, bounds, end_id)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([zlib.crc32(p) for p in payloads], pa.int64()), pa.array([enc.dtype.itemsize] * n, pa.int32()), pa.array(payloads, pa.binary())], names=["doc_id", "h", "width", "ids"]
-            )
+            n, keys = batch.num_rows, zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True)
+            parts = [_range_of(lows, i, h) for i, h in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("doc_id"), batch.column("h"), pa.array([enc.dtype.itemsize] * n, pa.int32()), pa.array(payloads, pa.binary())], names=["part", "doc_id", "h", "width", "ids"])
+
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(encode, f"part int, doc_id {kind}, h long, width int, ids binary")
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, h long, width int, ids binary")
 
+def _range_of(lows: tuple[list[int], list[tuple]], doc_id, h: int) -> int:
+    """The number of the last range that does not begin above the row."""
+    unknown, known = lows
+    return max(0, bisect_right(unknown, h) - 1 if doc_id is None else len(unknown) + bisect_right(known, (doc_id, h)) - 1)
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode and write all texts in ascending id order; returns the index:
     (doc_id, file, at, n_bytes, n_tokens, start, width). ``folder`` must be reachable by all executors.
 
-    Texts are encoded where they are read; what is ranged and sorted are ids, half as many bytes, and the workers
-    that write them hold no tokenizer."""
+    Texts are encoded where they are read; what is dealt to ranges of about ``file_bytes`` bytes of text and sorted are
+    ids, half as many bytes, and the workers that write them hold no tokenizer."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "records")
-    kind = docs.schema[doc_id].dataType.simpleString()
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, name, at, start, out = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.rec", 0, 0, None
+        name, at, start, out = f"ids-{uuid.uuid4().hex}.rec", 0, 0, None
         for batch in slices(batches, "ids", 1 << 22):
             if out is None:
                 system, root = _open(folder)
@@ -113,14 +130,15 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
                 start += counts[-1]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), batch.column("width")],
+                [batch.column("doc_id"), batch.column("part"), pa.array([name] * n), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), batch.column("width")],
                 names=["doc_id", "part", "name", "at", "n_bytes", "n_tokens", "part_start", "width"],
             )
         if out is not None:
             out.close()
 
-    # written first: the sampling of ranges then reads two columns and encodes nothing again
-    ordered = written(encoded(docs, tokenizer, end_id, doc_id, text), "encoded").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lows = ranges(own, max(1, -(-total // file_bytes)))
+    ordered = encoded(own, tokenizer, lows, end_id).repartitionById(max(1, sum(map(len, lows))), "part").sortWithinPartitions("doc_id", "h")
     index = written(ordered.mapInArrow(write, f"doc_id {kind}, part int, name string, at long, n_bytes long, n_tokens long, part_start long, width int"), "index")
     # one row for each file: the running total over files is small whatever the number of documents
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
