@@ -1,16 +1,20 @@
 """Operator 4: near-duplicate vectors by Euclidean p-stable hashing, then exact cosines.
 
-Vectors are normalised; each of ``tables`` tables has ``projections`` Gaussian projections, cut into steps of
-``width``. On unit vectors cosine >= c is distance <= sqrt(2 - 2c), so the chance that a linked pair misses all
-tables is known: below 1e-4 for the standing parameters at cosine 0.98 exactly, and far less above (see
-``miss_probability``). Equal vectors of one label are one class, so copies never meet in a bucket. Buckets of one
-class are dropped before vectors move. A bucket of more than ``block`` classes is dealt into blocks and every pair
-of its blocks is compared, so no task holds a bucket whole and nothing in it is skipped. A pair counts in the first
-table only in which its keys agree. What a task returns is a count for each vector and edges that span the
-components it has seen, so rows grow with the vectors even where all are alike.
+Vectors are normalised; each of several tables has a number of Gaussian projections, cut into steps of ``width``. On
+unit vectors cosine >= c is distance <= sqrt(2 - 2c), so the chance that a linked pair misses all tables is known.
+The projections follow from the largest label's number of distinct vectors (see ``table_plan``): so many that a vector
+meets about CHANCE_MATES vectors at a right angle to it in a table, whatever the size, and so many tables that a pair
+at the threshold exactly is missed with a chance below MISS; far less above it. Candidates of a vector hence stay
+bounded as the corpus grows, up to the vectors that are truly near. Equal vectors of one label are one class, so
+copies never meet in a bucket. Buckets of one class are dropped before vectors move. A bucket of more than ``block``
+classes is dealt into blocks and every pair of its blocks is compared, as the exact number of links needs it, so no
+task holds a bucket whole and nothing in it is skipped. A pair counts in the first table only in which its keys
+agree. What a task returns is a count for each vector and edges that span the components it has seen, so rows grow
+with the vectors even where all are alike.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
-label link with nothing; vectors of different lengths never link; repeated rows are linked copies; a null id is kept
+label link with nothing; finite vectors of any magnitude are scaled before their norms are taken; vectors of different
+lengths never link; repeated rows are linked copies; a null id is kept
 and takes no part; an empty table stays empty; other columns are ignored.
 """
 
@@ -26,17 +30,35 @@ from pyspark.sql import functions as F
 
 from quirelake.llm._spark import components, written
 
-TABLES, PROJECTIONS, WIDTH, SEED = 24, 10, 1.5, 20240607
+WIDTH, SEED = 1.5, 20240607
+#: Chance that a pair at the threshold is missed, and vectors at a right angle that a vector meets by chance in a table.
+MISS, CHANCE_MATES = 1e-4, 0.05
 BLOCK = 512
 
 
-def miss_probability(cosine: float, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> float:
-    """Chance that a pair at this cosine agrees in no table."""
-    d = math.sqrt(max(2 - 2 * cosine, 1e-12))
-    r = width / d
+def agreement(cosine: float, width: float = WIDTH) -> float:
+    """Chance that unit vectors at this cosine fall in one step of a projection."""
+    r = width / math.sqrt(max(2 - 2 * cosine, 1e-12))
     phi = 0.5 * (1 + math.erf(-r / math.sqrt(2)))
-    one = 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
-    return (1 - one**projections) ** tables
+    return 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def miss_probability(cosine: float, tables: int, projections: int, width: float = WIDTH) -> float:
+    """Chance that a pair at this cosine agrees in no table."""
+    return (1 - agreement(cosine, width) ** projections) ** tables
+
+
+def table_plan(n: int, cosine: float, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, projections) for n vectors: the projections grow with log n, the tables with a small power of n."""
+    projections = max(4, math.ceil(math.log(max(n, 2) / CHANCE_MATES) / -math.log(agreement(0, width))))
+    hit = agreement(cosine, width) ** projections
+    return math.ceil(math.log(MISS) / math.log1p(-hit)), projections
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by their largest component first, so that no square is too large or small."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _keys(unit: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
@@ -59,8 +81,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 def _links_of(members: list[dict], others: list[dict] | None, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(positions, linked copies) and spanning edges among members, or between members and others."""
     rows = members + (others or [])
-    unit = np.array([r["vector"] for r in rows], float)
-    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    unit = unit_rows(np.array([r["vector"] for r in rows], float))
     keys = np.array([r["keys"] for r in rows])
     t = rows[0]["t"]
     left = np.arange(len(members))
@@ -91,11 +112,13 @@ def _links_of(members: list[dict], others: list[dict] | None, cosine: float) ->
     return np.flatnonzero(gained), gained[gained > 0], edges
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, width: float = WIDTH, block: int = BLOCK, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     classes = written(_classes(own), "vector-classes")
     kind = classes.schema["label"].dataType.simpleString()
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # one number
+    tables, projections = table_plan(largest, cosine, width)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +130,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
             for n in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == n)
                 x = np.stack([rows[i] for i in of])
-                keys[of] = _keys(x / np.sqrt((x * x).sum(axis=1))[:, None], tables, projections, width)
+                keys[of] = _keys(unit_rows(x), tables, projections, width)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), pa.array(sizes), flat], names=["label", "rep", "dim", "keys"])
 
