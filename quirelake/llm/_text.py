@@ -113,6 +113,15 @@ class Words:
 _ORDER = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of ``k`` items of ``h``, over the ends of texts too; runs of different lengths differ."""
+    n = max(len(h) - k + 1, 0)
+    total = np.full(n, np.uint64(k))
+    for j in range(k):
+        total += h[j : j + n] * _ORDER[j]
+    return mix(total)
+
+
 def shingles(words: Words, k: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of each run of ``k`` words; a text with 1 to k-1 words has its whole sequence as one."""
     h = words.hashes() if h is None else h

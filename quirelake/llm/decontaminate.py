@@ -9,9 +9,11 @@ more is a leak. A copy that keeps no run of GRAM words of its item shares no n-g
 
 Words are compared without case (ASCII and Latin-1 letters) and without punctuation at their ends.
 
-Defined results: null or wordless texts and items match nothing; an item shorter than the n-gram is one n-gram as a
-whole; repeated rows are each found; a null doc_id is reported as null; empty tables give no rows; other columns are
-ignored. Items are handled in blocks of bounded size, each sent to all tasks, so any number of items is possible.
+Defined results: null or wordless texts and items match nothing; an item shorter than the n-gram is found by its
+whole sequence of words wherever that stands in a text; repeated rows are each found; a null doc_id is reported as
+null, and a row with one is judged by its own text; rows that share a doc_id are told apart by their texts; a repeated item_id stands for
+all its texts, with the best score; empty tables give no rows; other columns are ignored. Items are handled in
+blocks of bounded size, each sent to all tasks, so any number of items is possible.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm._spark import written
-from quirelake.llm._text import Words, shingles, slices, utf8
+from quirelake.llm._spark import spread_join, written
+from quirelake.llm._text import Words, runs, slices, utf8
 
 GRAM = 3
 MIN_SCORE = 0.5
@@ -55,62 +57,75 @@ def folded(col: pa.Array) -> Words:
     return words
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, n-gram hashes, their texts, their first words)."""
-    h = words.hashes()
-    gram, doc = shingles(words, GRAM, h)
-    n = len(h) - GRAM + 1
-    whole = np.flatnonzero(words.doc[GRAM - 1 :] == words.doc[:n]) if n > 0 else np.zeros(0, np.int64)
-    return h, gram, doc, np.concatenate([whole, words.bounds[doc[len(whole) :]]])
-
-
-def item_grams(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, gram, at, words): an item's n-grams with their positions, and all its word hashes."""
+def item_rows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Items (item_id, item, n, words), a row for each text with words, and their n-grams (item, gram, at, n); ``item``
+    numbers an item's text, n is its number of words."""
     kind = benchmark.schema[item_id].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = folded(batch.column("text"))
-            h, gram, doc, first = _grams(words)
-            own = [h[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+            h, n = words.hashes(), np.diff(words.bounds)
+            some = np.flatnonzero(n > 0)
+            grams, ats = [], []
+            for i in some.tolist():
+                own = h[words.bounds[i] : words.bounds[i + 1]]
+                grams.append(runs(own, min(GRAM, len(own))).tobytes())
+                ats.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(doc, pa.int64())), pa.array(gram.view(np.int64)), pa.array(first - words.bounds[doc], pa.int64()), pa.array([own[i] for i in doc.tolist()], pa.binary())], names=["item_id", "gram", "at", "words"]
+                [*(batch.column(c).take(pa.array(some)) for c in ("item_id", "item")), pa.array(n[some], pa.int64()), pa.array(ats, pa.binary()), pa.array(grams, pa.binary())], names=["item_id", "item", "n", "words", "grams"]
             )
 
-    return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("item_id is not null").mapInArrow(split, f"item_id {kind}, gram long, at long, words binary")
+    def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, grams in zip(batch.column("item"), batch.column("n"), batch.column("grams"), strict=True):
+                g = np.frombuffer(grams.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(g), pa.int64()), pa.array(g), pa.array(np.arange(len(g))), pa.array([n.as_py()] * len(g), pa.int64())], names=["item", "gram", "at", "n"])
+
+    own = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("item_id is not null").dropDuplicates()
+    made = written(own.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(split, f"item_id {kind}, item long, n long, words binary, grams binary"), "items")
+    return made.drop("grams"), written(made.select("item", "n", "grams").mapInArrow(unrolled, "item long, gram long, at long, n long"), "item-grams")
 
 
-def _passages(docs: DataFrame, known: np.ndarray, reach: int) -> DataFrame:
-    """(doc_id, of, start, words, hits): word hashes around the places with a known n-gram. ``reach`` words on both
-    sides are kept; places nearer than that share a passage."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(known))
+def _passages(docs: DataFrame, known: np.ndarray, longest: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc_id, of, start, words, hits): word hashes around the places with a known n-gram. ``longest`` is the length of
+    the longest item with the n-gram: twice as many words on both sides are kept; places whose surroundings overlap
+    share a passage. ``sizes``: lengths of the n-grams to look for."""
+    order = np.argsort(known)
+    sent = docs.sparkSession.sparkContext.broadcast((known[order], 2 * longest[order]))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, reach = sent.value
         for batch in slices(batches, "text"):
             words = folded(batch.column("text"))
-            h, gram, doc, first = _grams(words)
-            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            hit = np.flatnonzero(known[at] == gram)
-            hit = hit[np.argsort(first[hit], kind="stable")]
-            if not len(hit):
+            h = words.hashes()
+            grams, places, reaches = [], [], []
+            for k in sizes:
+                gram = runs(h, k)
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                hit = np.flatnonzero((known[at] == gram) & (words.doc[k - 1 :] == words.doc[: len(gram)]))
+                grams.append(gram[hit])
+                places.append(hit)
+                reaches.append(reach[at[hit]])
+            gram, place, around = np.concatenate(grams), np.concatenate(places), np.concatenate(reaches)
+            if not len(gram):
                 continue
-            place, owner = first[hit], doc[hit]
-            new = np.ones(len(hit), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (place[1:] - place[:-1] > reach)
-            begins = np.flatnonzero(new)
-            ends = np.append(begins[1:], len(hit))
-            rows, starts, bodies, hits = [], [], [], []
-            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                d = int(owner[a])
-                low, high = max(int(words.bounds[d]), int(place[a]) - reach), min(int(words.bounds[d + 1]), int(place[b - 1]) + GRAM + reach)
-                rows.append(d)
-                starts.append(low - int(words.bounds[d]))
-                bodies.append(h[low:high].tobytes())
-                hits.append([{"gram": g, "place": p} for g, p in zip(gram[hit[a:b]].view(np.int64).tolist(), (place[a:b] - low).tolist(), strict=True)])
+            owner = words.doc[place]
+            low = np.maximum(place - around, words.bounds[owner])
+            high = np.minimum(place + GRAM + around, words.bounds[owner + 1])
+            by = np.argsort(low, kind="stable")
+            gram, place, owner, low, high = gram[by], place[by], owner[by], low[by], high[by]
+            upto = np.maximum.accumulate(high)
+            begins = np.flatnonzero(np.concatenate([[True], low[1:] >= upto[:-1]]))
+            ends = np.append(begins[1:], len(gram))
+            at = [low[a] for a in begins.tolist()]
+            bodies = [h[low[a] : upto[b - 1]].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            shift = np.repeat(low[begins], ends - begins)
+            hits = pa.ListArray.from_arrays(pa.array(np.append(begins, len(gram)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(place - shift)], ["gram", "place"]))
+            rows = pa.array(owner[begins])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows)), batch.column("of").take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(bodies, pa.binary()), pa.array(hits, pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int64())])))],
+                [batch.column("doc_id").take(rows), batch.column("of").take(rows), pa.array(at - words.bounds[owner[begins]], pa.int64()), pa.array(bodies, pa.binary()), hits],
                 names=["doc_id", "of", "start", "words", "hits"],
             )
 
@@ -147,36 +162,45 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, word_end): pairs of a document and a test item that it holds; word_end is where the
-    best alignment ends in the document, in words."""
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, of, item_id, score, word_end): pairs of a text and a test item that it holds; ``of`` is the text's 64-bit
+    hash, word_end is where the best alignment ends in the text, in words."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("of", F.xxhash64("text"))
-    grams = written(item_grams(benchmark, item_id, item_text), "item-grams")
-    size = grams.agg(F.count("*").alias("n"), F.max(F.octet_length("words")).alias("longest")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_GRAMS))
-    found = None
-    for block in range(blocks):
-        some = grams.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        one = _leaks_of(own, some, 2 * (size["longest"] or 0) // 8, min_score)
-        found = one if found is None else found.unionByName(one)
+    items, grams = item_rows(benchmark, item_id, item_text)
+    blocks = max(1, -(-grams.count() // BLOCK_GRAMS))
+    mine = lambda rows, block: rows.filter(F.pmod("item", F.lit(blocks)) == block)
+    found = _leaks_of(own, mine(items, 0), mine(grams, 0), min_score)
+    for block in range(1, blocks):
+        found = found.unionByName(_leaks_of(own, mine(items, block), mine(grams, block), min_score))
     return found
 
 
-def _leaks_of(own: DataFrame, grams: DataFrame, reach: int, min_score: float) -> DataFrame:
-    # a block's n-grams are few by BLOCK_GRAMS, whatever the number of documents
-    known = np.array([r[0] for r in grams.select("gram").distinct().collect()], np.int64).view(np.uint64)
-    kinds = dict(grams.dtypes)
-    doc_kind = own.schema["doc_id"].dataType.simpleString()
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, word_end): pairs of a document and a test item that it holds, with the best score."""
+    rows = leaking_rows(docs, benchmark, min_score, doc_id, text, item_id, item_text)
+    return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "word_end")).alias("best")).select("doc_id", "item_id", "best.score", "best.word_end")
+
+
+def _leaks_of(own: DataFrame, items: DataFrame, grams: DataFrame, min_score: float) -> DataFrame:
+    # a block's n-grams are few by BLOCK_GRAMS, whatever the number of documents: 16 bytes each come here as one table
+    seeds = grams.groupBy("gram").agg(F.max("n").alias("n")).toArrow()
+    known, longest = seeds.column("gram").to_numpy().view(np.uint64), seeds.column("n").to_numpy()
     if not len(known):
-        known = np.zeros(1, np.uint64)
-    passages = written(_passages(own, known, max(reach, GRAM)), "passages")
+        known, longest = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    doc_kind, item_kind = own.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    sizes = sorted(r[0] for r in grams.select(F.least("n", F.lit(GRAM))).distinct().collect()) or [GRAM]
+    passages = written(_passages(own, known, longest, sizes), "passages")
     hits = passages.select("doc_id", "of", "start", F.explode("hits").alias("hit")).select("doc_id", "of", "start", "hit.gram", "hit.place")
-    pairs = hits.join(grams.select("gram", "item_id", "at"), "gram").groupBy("doc_id", "of", "start", "item_id")
-    pairs = pairs.agg(F.min(F.col("place") - F.col("at")).alias("low"), F.max(F.col("place") - F.col("at")).alias("high"))
-    bodies = grams.groupBy("item_id").agg(F.first("words").alias("item"))
+    held = hits.groupBy("gram").agg(F.count("*").alias("rows"))
+    known_items = written(grams.groupBy("gram").agg(F.collect_list(F.struct("item", "at")).alias("found")).join(held, "gram"), "seeds")
+    met = spread_join(hits, known_items, ["gram"], "rows", ["doc_id", "of", "start", "place"])
+    pairs = met.select("doc_id", "of", "start", "place", F.explode("found").alias("found")).groupBy("doc_id", "of", "start", "found.item")
+    pairs = pairs.agg(F.min(F.col("place") - F.col("found.at")).alias("low"), F.max(F.col("place") - F.col("found.at")).alias("high"))
     key = F.struct("doc_id", "of", "start")
-    work = pairs.withColumn("key", key).drop("doc_id", "of").withColumnRenamed("start", "at0").join(bodies, "item_id")
-    work = work.join(passages.select(key.alias("key"), "words"), "key").select(F.col("key.doc_id").alias("doc_id"), F.col("at0").alias("start"), "item_id", "low", "high", "item", "words")
+    work = pairs.select(key.alias("key"), "item", "low", "high").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    # structs compare null-safe inside, so a null id meets itself
+    work = work.join(passages.select(key.alias("key"), "words"), "key")
+    work = work.select("key.doc_id", "key.of", "key.start", "item_id", "low", "high", F.col("item_words").alias("item"), "words")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,13 +234,13 @@ def _leaks_of(own: DataFrame, grams: DataFrame, reach: int, min_score: float) ->
             share = best / np.array([MATCH * len(i) for i in items])
             keep = np.flatnonzero(share >= min_score)
             word_end = np.array(batch.column("start").to_numpy()) + np.array(shifts) + end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep)), batch.column("item_id").take(pa.array(keep)), pa.array(share[keep]), pa.array(word_end[keep], pa.int64())], names=["doc_id", "item_id", "score", "word_end"])
+            keep_ = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep_) for c in ("doc_id", "of", "item_id")), pa.array(share[keep]), pa.array(word_end[keep], pa.int64())], names=["doc_id", "of", "item_id", "score", "word_end"])
 
-    scored = work.mapInArrow(score, f"doc_id {doc_kind}, item_id {kinds['item_id']}, score double, word_end long")
-    return scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "word_end")).alias("best")).select("doc_id", "item_id", "best.score", "best.word_end")
+    return work.mapInArrow(score, f"doc_id {doc_kind}, of long, item_id {item_kind}, score double, word_end long")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    leaked = find_leaks(docs, benchmark, min_score, doc_id, text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(leaked, doc_id, "left_anti")
+    """``docs`` without the rows whose text holds a test item; other rows of the same id stay."""
+    leaked = leaking_rows(docs, benchmark, min_score, doc_id, text).select(F.struct("doc_id", "of").alias("leaked")).distinct()
+    return docs.join(leaked, F.struct(docs[doc_id], F.xxhash64(docs[text])).eqNullSafe(leaked["leaked"]), "left_anti")
