@@ -5,12 +5,13 @@ n-grams) whose learned weights add up to a score for each language; learned tran
 Forward-backward over chains of words gives each word's probabilities, so that code-switched text is labelled word
 by word; a text's language is the one with the largest sum over its words with letters, its score that share.
 
-The model is trained in numpy on a bounded sample: at most ``SAMPLE`` texts for each language, cut into chains of 16
-words and shorter ones at the texts' ends, and of these SAMPLE_WORDS words, shared out evenly by language. Half of the training
-chains are spliced from texts of two languages, so that transitions learn switches.
+The model is trained in numpy on a bounded sample: at most ``SAMPLE`` texts for each language. Each of EPOCHS passes
+draws chains anew from all chains of 16 words, and shorter ones at the texts' ends, of these whole texts: about
+PASS_WORDS words, shared out evenly by language. Half of the training chains are spliced from texts of two
+languages, so that transitions learn switches.
 
 Defined results: ``und`` with score 0 for null text or text without a letter; long texts are labelled whole, in
-chains of ``CHAIN`` words; repeated rows get equal results; with no labelled text at all every text is ``und``; an
+chains of ``CHAIN`` words; repeated rows get equal results, and a repeated id gives one of its texts to the sample; with no labelled text at all every text is ``und``; an
 empty table stays empty; other columns are ignored.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quirelake.llm._text import Words, mix, slices, utf8
 
-#: Training texts for each language, and words used of all of them together, shared out evenly by language.
-SAMPLE, SAMPLE_WORDS = 300, 400_000
+#: Training texts for each language, and words that one pass over them draws.
+SAMPLE, PASS_WORDS = 300, 250_000
 BUCKETS = 1 << 17
 CHAIN = 64
 GRAMS = (2, 4)
@@ -35,6 +36,16 @@ EPOCHS, RATE = 3, 0.5
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
+#: Second bytes of the only letters that begin with byte C2.
+AFTER_C2 = np.zeros(256, bool)
+AFTER_C2[[0xAA, 0xB5, 0xBA]] = True
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """True at bytes that begin a letter, and some other characters beyond Latin-1, in UTF-8."""
+    out = LETTER[data]
+    out[:-1] |= (data[:-1] == 0xC2) & AFTER_C2[data[1:]]
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -133,18 +144,32 @@ def word_probabilities(model: Model, score: np.ndarray, bounds: np.ndarray) -> n
     return out
 
 
-def shared_out(pieces: list[np.ndarray], label: np.ndarray) -> list[np.ndarray]:
-    """Pieces of about SAMPLE_WORDS words, as many words of each language; what one has too little of, others get."""
-    own: dict[int, list[int]] = {}
-    for i, piece in enumerate(pieces):
-        own.setdefault(int(label[piece[0]]), []).append(i)
-    ends = {c: np.cumsum([len(pieces[i]) for i in some]) for c, some in own.items()}
-    kept, left = [], SAMPLE_WORDS
-    for done, c in enumerate(sorted(own, key=lambda c: int(ends[c][-1]))):
-        n = max(1, int(np.searchsorted(ends[c], left // (len(own) - done), side="right")))
-        kept += own[c][:n]
-        left = max(0, left - int(ends[c][n - 1]))
-    return [pieces[i] for i in sorted(kept)]
+def shared_out(sizes: np.ndarray, label: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of pieces, taken in ``order``, of about ``most`` words, as many words of each label; what one has too
+    little of, others get."""
+    own = [order[label[order] == c] for c in np.unique(label)]
+    own.sort(key=lambda some: int(sizes[some].sum()))
+    kept, left = [], most
+    for done, some in enumerate(own):
+        ends = np.cumsum(sizes[some])
+        n = max(1, int(np.searchsorted(ends, left // (len(own) - done), side="right")))
+        kept.append(some[:n])
+        left = max(0, left - int(ends[min(n, len(ends)) - 1]))
+    return np.concatenate(kept)
+
+
+def all_pieces(texts: list[str], length: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, end byte, words) of every run of ``length`` words of all texts, with the shorter ones at ends."""
+    out = []
+    for at in range(0, len(texts), 100):
+        words = Words(*utf8(pa.array(texts[at : at + 100], pa.string())))
+        count = -(-np.diff(words.bounds) // length)
+        text = np.repeat(np.arange(len(count)), count)
+        first = words.bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * length
+        last = np.minimum(first + length, words.bounds[1:][text])
+        begin = words.offsets[text]
+        out.append((text + at, words.starts[first] - begin, words.ends[last - 1] - begin, last - first))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
 def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
@@ -153,19 +178,19 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    words = Words(*utf8(pa.array(texts, pa.string())))
     k = len(names)
     weights, moves = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    if not len(words.starts):
+    of, begin, end, n_words = all_pieces(texts)
+    if not len(of):
         return Model(names, weights.astype(np.float32), moves)
-    label = np.array([names.index(x) for x in languages])[words.doc]
-    single, grams, upto = word_features(words)
-    length = 16
-    pieces = [np.arange(a, min(a + length, b)) for x, b in zip(words.bounds[:-1], words.bounds[1:], strict=True) for a in range(x, b, length)]
-    rng.shuffle(pieces)
-    pieces = shared_out(pieces, label)
+    language = np.array([names.index(x) for x in languages])[of]
     g_w, g_m = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):
+        drawn = shared_out(n_words, language, rng.permutation(len(of)), PASS_WORDS)
+        words = Words(*utf8(pa.array([texts[of[i]].encode()[begin[i] : end[i]] for i in drawn.tolist()], pa.binary()).cast(pa.string())))
+        label = language[drawn][words.doc]
+        single, grams, upto = word_features(words)
+        pieces = [np.arange(a, b) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
         order = rng.permutation(len(pieces))
         for batch in np.array_split(order, max(1, len(order) // 256)):
             chains = [np.concatenate([pieces[i], pieces[int(rng.integers(len(pieces)))]]) if rng.random() < 0.5 else pieces[i] for i in batch]
@@ -198,14 +223,20 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Model | None
 
 
 def sample(docs: DataFrame, lang: str, doc_id: str, text: str) -> tuple[list[str], list[str]]:
-    """At most SAMPLE texts for each language, chosen by a hash of the id among the rows that may be learned from."""
+    """At most SAMPLE texts for each language, the first by a hash of the id among the rows that may be learned from.
+
+    Ids are ranked only where their hash is in the share of about four SAMPLEs of their language, by its approximate
+    number of ids, so few of them meet, whatever the input. Of a repeated id the least text is taken."""
     from pyspark.sql import Window as W
 
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(False)))
-    ids = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id", F.lit(9)))
-    picked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= SAMPLE).select("id", "lang")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(picked), ["id", "lang"])
-    found = sorted(rows.select("id", "lang", "text").collect(), key=lambda r: (r["id"], r["lang"]))
+    ids = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(doc_id, F.lit(9)).alias("h"))
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * SAMPLE
+    few = ids.join(sizes, "lang").filter(share).select("id", "lang", "h").distinct()
+    picked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= SAMPLE).select("id", "lang")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(picked, ["id", "lang"])
+    found = sorted(rows.groupBy("id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], str(r["id"])))
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
@@ -224,13 +255,14 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
             if model is not None and len(words.starts):
                 score = emissions(model.weights, *word_features(words))
                 gamma = word_probabilities(model, score, words.bounds)
-                lettered = np.add.reduceat(LETTER[data].astype(np.int32), words.starts) > 0
+                letter = letters(data)
+                lettered = np.add.reduceat(letter.astype(np.int32), words.starts) > 0
                 gamma = gamma * lettered[:, None]
                 sums = np.zeros((len(words.starts) + 1, gamma.shape[1]))
                 np.cumsum(gamma, axis=0, out=sums[1:])
                 total = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
                 best, all_ = total.argmax(axis=1), total.sum(axis=1)
-                ascii_letters = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
+                ascii_letters = np.concatenate([[0], np.cumsum(letter & (data < 128))])
                 plain = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
                 for i in np.flatnonzero(all_ > 0).tolist():
                     if plain[i] or any(c.isalpha() for c in bytes(data[offsets[i] : offsets[i + 1]]).decode()):
