@@ -6,11 +6,12 @@ backward GRU, attention pools the states, and a logistic unit scores the window.
 window, as one toxic passage makes a text toxic; so it is trained: texts are labelled, windows are not, and the
 loss is on a smooth maximum over a text's windows.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` labelled texts of each label that are not held out, of each
-at most ``TRAIN_WINDOWS`` windows (spread over the text). Scoring reads every window of every text.
+The model is fitted on a bounded sample: at most ``SAMPLE`` labelled whole texts of each label that are not held out.
+A step draws ``STEP_WINDOWS`` windows anew from all windows of each of its texts: half of them those that score
+highest by now, the others at random, so no window is out of reach. Scoring reads every window of every text.
 
 Defined results: null, empty and wordless texts score 0; a text shorter than a window is one window; repeated rows get
-equal scores; repeated labels of a document count as toxic if any is; null labels count as none; without labels of
+equal scores; of a repeated id the least text is learned from; repeated labels of a document count as toxic if any is; null labels count as none; without labels of
 both kinds every score is 0; an empty table stays empty; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from quirelake.llm._text import Words, mix, slices, utf8
 from quirelake.llm.language_id import held_out
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, TRAIN_WINDOWS = 1400, 8
+SAMPLE, STEP_WINDOWS = 1400, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 CHAR_GRAM = 4
@@ -294,9 +295,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
         picked, owner = [], []
         for j, d in enumerate(chosen.tolist()):
             have = np.arange(of[d], of[d + 1])
-            if len(have) > TRAIN_WINDOWS:
-                high = have[np.argsort(-rank[have], kind="stable")[: TRAIN_WINDOWS // 2]]
-                have = np.concatenate([high, rng.choice(np.setdiff1d(have, high), TRAIN_WINDOWS - len(high), replace=False)])
+            if len(have) > STEP_WINDOWS:
+                high = have[np.argsort(-rank[have], kind="stable")[: STEP_WINDOWS // 2]]
+                have = np.concatenate([high, rng.choice(np.setdiff1d(have, high), STEP_WINDOWS - len(high), replace=False)])
             some = have
             picked.append(some)
             owner.append(np.full(len(some), j))
@@ -361,7 +362,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[
     order = F.xxhash64("doc_id", F.lit(1))
     picked = [marks.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(SAMPLE) for y in (0, 1)]
     some = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
