@@ -2,7 +2,8 @@
 
 Overlong documents are first cut into full windows, each a sequence of its own. What remains is placed longest
 first into the open window with the least room that still takes it; a segment tree over the remaining capacity
-finds that window. Packing runs in many tasks, each over a hash share of the pieces, so no task sees the whole.
+finds that window. Packing runs in many tasks, each over a hash share of the pieces, and within a task over ROUND pieces
+at a time, so no task holds more than that many however large its share; what that costs is one open window a round or so.
 
 Defined results: null text is an empty text (its end id alone); repeated rows are packed like others; an empty
 table gives no pieces; other columns are ignored; null ids are kept.
@@ -22,6 +23,10 @@ from quirelake.llm._text import slices, utf8
 from quirelake.llm.tokens import END_ID, encoder, texts
 
 
+#: Pieces that a task packs at a time.
+ROUND = 200_000
+
+
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree whose leaves are the capacities 0 to ``size``."""
 
@@ -107,14 +112,25 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
-        windows, offsets = best_fit_decreasing(table.column("length").to_numpy(), size)
-        first = TaskContext.get().partitionId() << 40
-        table = table.append_column("sequence_id", pa.array(windows + first, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-        yield from table.to_batches(max_chunksize=50_000)
+        first, held, n = TaskContext.get().partitionId() << 40, [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            table = pa.Table.from_batches(held)
+            windows, offsets = best_fit_decreasing(table.column("length").to_numpy(), size)
+            table = table.append_column("sequence_id", pa.array(windows + first, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+            first += int(windows.max()) + 1
+            yield from table.to_batches(max_chunksize=50_000)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= ROUND:
+                yield from packed()
+                held, n = [], 0
+        if held:
+            yield from packed()
 
     shared = pieces.repartition(F.xxhash64(*[c for c in ("doc_id", "start") if c in pieces.columns], "length")).sortWithinPartitions("doc_id", "start", "length")
     return shared.mapInArrow(place, ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, `offset` long")
