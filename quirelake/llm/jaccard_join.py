@@ -4,9 +4,10 @@
    the smallest id stands for it.
 2. Sets of like size are cut by a hash of the shingles into more segments than they can differ in shingles, so two
    similar sets agree wholly in one segment at least (pigeonhole). A row for each segment, with a hash of its
-   shingles, is all that is shuffled. Agreeing on an empty segment says nothing: sets of few segments add their prefix
-   shingles under an empty segment's number; of many segments several agree, and the chance that all those are empty
-   is below that of a hash collision. Common shingles make no two sets meet unless a whole segment is alike.
+   shingles, is all that is shuffled. Agreeing on an empty segment says nothing: a set with more filled segments than
+   it can differ in shingles agrees with every similar set in a filled one; the rare others add their prefix shingles
+   under each empty segment's number, so that two of those meet there. No link depends on chance, whatever the sizes,
+   but for collisions of 64-bit hashes. Common shingles make no two sets meet unless a whole segment is alike.
 3. Sets that share a segment are tied to the smallest there, and the connected components of these ties are blocks:
    similar sets are always in one block. A task ties what it has met itself and passes on one row for each segment it
    knows, so a group of copies of any size is spread over all tasks.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirelake.llm._spark import components, written
+from quirelake.llm._spark import components, spread_join, written
 from quirelake.llm._text import Words, distinct_by_text, large_binary, mix, shingles, slices, utf8
 
 #: Shingles of a part of a block that one task joins.
@@ -42,8 +43,6 @@ PART_SHINGLES = 4_000_000
 PART_SETS = 2_000
 #: Size classes grow by this; the segments of a class are enough for its largest sets.
 GROWTH = 1.6
-#: Up to so many segments an empty one is backed by prefix shingles.
-FEW_SEGMENTS = 32
 #: Signatures that a task gathers before it ties and passes them on.
 GATHER = 1_000_000
 
@@ -65,21 +64,28 @@ def _prints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def size_classes(most: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the classes of set sizes up to ``most``, and their numbers of segments. Sets of n and m with
+def size_classes(most: int, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower ends of the classes of set sizes up to ``most``, in how many shingles their sets can differ, and their
+    numbers of segments: so many that few sets fill no more than they can differ in. Sets of n and m with
     Jaccard >= t differ in at most (1 - t) / (1 + t) * (n + m) shingles."""
     lows = [1]
     while lows[-1] <= most:
         lows.append(max(lows[-1] + 1, int(lows[-1] * GROWTH)))
     lows.append(max(lows[-1] + 1, int(lows[-1] * GROWTH)))
-    segments = [int((1 - t) / (1 + t) * 2 * (high - 1)) + 1 for high in lows[1:]]
-    return np.array(lows[:-1]), np.array(segments)
+    differ = [int((1 - t) / (1 + t) * 2 * (high - 1)) for high in lows[1:]]
+    segments = []
+    for low, d in zip(lows[:-1], differ, strict=True):
+        n = d + 1
+        while d and n < 1.5 * (d + 1) and n * (1 - (1 - 1 / n) ** low) < 1.03 * (d + 1) + 1:
+            n += max(1, d // 50)
+        segments.append(n)
+    return np.array(lows[:-1]), np.array(differ), np.array(segments)
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set number): sets of Jaccard >= t share one signature at least."""
     sizes = np.diff(bounds)
-    lows, segments = size_classes(int(sizes.max(initial=1)), t)
+    lows, differ, segments = size_classes(int(sizes.max(initial=1)), t)
     own = np.searchsorted(lows, sizes, side="right") - 1
     following = np.minimum(own + 1, len(lows) - 1)
     # the smaller set of a pair may be of the class below: near its upper end it joins the next class too
@@ -103,7 +109,8 @@ def signatures(h: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarr
         tag = mix(cls[who][owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
         out.append(mix(total[filled] + tag[filled]))
         of.append(who[owner[filled]])
-        for empty in np.flatnonzero(~filled & (count[owner] <= FEW_SEGMENTS)).tolist():
+        short = np.bincount(owner[filled], minlength=len(who)) <= differ[cls[who]]
+        for empty in np.flatnonzero(~filled & short[owner]).tolist():
             i = int(who[owner[empty]])
             prefix = int(sizes[i]) - -(-int(sizes[i]) * t.numerator // t.denominator) + 1
             out.append(mix(h[bounds[i] : bounds[i] + prefix] ^ mix(tag[empty : empty + 1] + np.uint64(1))))
@@ -137,12 +144,46 @@ def _tied(signature: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return signature[new], name[new], pairs[:, 0], pairs[:, 1]
 
 
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    some = [b for b in batches if b.num_rows]
-    if some:
-        table = pa.Table.from_batches(some)
-        _, _, a, b = _tied(table.column("signature").to_numpy(), table.column("name").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _tie(rows: DataFrame) -> DataFrame:
+    """(a, b): names of rows (signature, name) that share a signature, each with the least name there. Rows are read in
+    order, so a task holds a batch and one signature's least name, however many rows share it."""
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signature, name = batch.column("signature").to_numpy(), batch.column("name").to_numpy()
+            new = np.ones(len(signature), bool)
+            new[1:] = signature[1:] != signature[:-1]
+            least = name[new][np.cumsum(new) - 1]
+            if last is not None and signature[0] == last:
+                least[signature == last] = first
+            last, first = signature[-1], least[-1]
+            some = name != least
+            pairs = np.unique(np.stack([name[some], least[some]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.repartition("signature").sortWithinPartitions("signature", "name").mapInArrow(tie, "a long, b long")
+
+
+def _passed(signature: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """Rows (signature, name): one for each signature, with its least name, and two for each name tied to a lesser one,
+    under a signature of their own."""
+    signature, least, a, b = _tied(signature, name)
+    own = mix(mix(a.view(np.uint64)) + b.view(np.uint64))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signature.view(np.int64), own.view(np.int64), own.view(np.int64)])), pa.array(np.concatenate([least, a, b]))], names=["signature", "name"])
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows (signature, name) tied among themselves a batch at a time, so that a signature is passed on once a batch."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _passed(batch.column("signature").to_numpy(), batch.column("name").to_numpy())
+
+    return rows.mapInArrow(meet, "signature long, name long")
 
 
 def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -153,10 +194,7 @@ def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def passed() -> pa.RecordBatch:
-            signature, name, a, b = _tied(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            # a tie travels as two rows under a signature of its own
-            own = mix(mix(a.view(np.uint64)) + b.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([signature, own, own]).view(np.int64)), pa.array(np.concatenate([name, a, b]))], names=["signature", "name"])
+            return _passed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
 
         for batch in slices(batches, "text", 1 << 20):
             h, bounds = text_sets(batch, k)
@@ -173,7 +211,7 @@ def _ties(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
             yield passed()
 
     rows = docs.filter("id is not null").select("text").mapInArrow(gather, "signature long, name long")
-    return rows.repartition("signature").mapInArrow(_tie, "a long, b long")
+    return _tie(rows)
 
 
 class Node:
@@ -354,18 +392,9 @@ def _tighter(sets: DataFrame, t: Fraction) -> DataFrame:
                 chosen = np.repeat(np.arange(some.num_rows), counts)
                 yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(chosen)), pa.array(np.concatenate(grams))], names=["id", "gram"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some).combine_chunks()
-        _, which, count = np.unique(table.column("gram").to_numpy(), return_inverse=True, return_counts=True)
-        held = count[which]
-        table = table.append_column("held", pa.array(held, pa.int64())).filter(pa.array(held > 1))
-        yield from table.to_batches(max_chunksize=50_000)
-
     grams = sets.select("id", "grams").mapInArrow(rows, f"id {kind}, gram long")
-    shared = grams.repartition("gram").mapInArrow(counted, f"id {kind}, gram long, held long")
+    held = written(grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1"), "held")
+    shared = spread_join(grams, held.withColumn("rows", F.col("held")), ["gram"], "rows", ["id"])
     need = F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - F.lit(1e-9))
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
     ranked = shared.select("id", "gram", rank.alias("rank"), F.count("*").over(W.partitionBy("id")).alias("r"))
@@ -374,8 +403,8 @@ def _tighter(sets: DataFrame, t: Fraction) -> DataFrame:
     size_class = F.floor(F.log("n") / F.lit(1.0001 * max(math.log(t.denominator / t.numerator), 1e-3)))
     placed = keys.select("id", "n", "gram", F.explode(F.array(size_class, size_class + 1)).alias("class"))
     nodes = written(placed.select("id", "n", F.xxhash64("id", "class").alias("name"), F.xxhash64("gram", "class").alias("signature")), "places")
-    ties = nodes.select("signature", "name").repartition("signature").mapInArrow(_tie, "a long, b long")
-    found = components(ties).select(F.col("id").alias("name"), F.col("component_id").alias("block"))
+    # a task's own rows of a signature become one first: a name and its signature's least name there
+    found = components(_tie(_met(nodes.select("signature", "name")))).select(F.col("id").alias("name"), F.col("component_id").alias("block"))
     return nodes.select("id", "n", "name").distinct().join(found, "name").select("id", "block", "n").distinct()
 
 
@@ -400,7 +429,3 @@ def _join_large(sets: DataFrame, large: DataFrame, links: DataFrame, t: Fraction
         links = written(links.unionByName(_join_parts(parts, t)), "links")
     return links
 
-
-def required_overlap(n: int, m: int, t: Fraction) -> int:
-    """Least overlap of sets of n and m for Jaccard >= t."""
-    return math.ceil(t * (n + m) / (1 + t))
