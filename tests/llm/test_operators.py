@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quirelake.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, records, toxicity, url_templates, vector_dedup
+from quirelake.llm import _spark
 from quirelake.llm._spark import components
 from quirelake.llm._text import Words, utf8
 from quirelake.llm.tokens import encoder
@@ -129,11 +131,27 @@ def test_components(spark):
     assert {(r.id, r.component_id) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1), (9, 7), (8, 7), (7, 7)}
 
 
-def test_components_by_rounds(spark, monkeypatch):
-    monkeypatch.setattr("quirelake.llm._spark.FEW_EDGES", 2)
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+def test_components_by_rounds(spark):
+    """A chain of ascending ids: the rounds grow with its logarithm."""
+    n = 20_000
+    edges = spark.range(n).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(-5, -4), (-5, -3)], "a long, b long"))
+    rounds = []
+    real = _spark.written
+    try:
+        _spark.written = lambda df, name: (rounds.append(name), real(df, name))[1]
+        got = components(edges, few=100)
+        assert got.filter("id >= 0").agg(F.min("component_id"), F.max("component_id"), F.count("*")).first() == (0, 0, n + 1)
+        assert {(r.id, r.component_id) for r in got.filter("id < 0").collect()} == {(-5, -5), (-4, -5), (-3, -5)}
+    finally:
+        _spark.written = real
+    assert rounds.count("step") <= 20
+
+
+def test_spread_join_meets_every_row_once(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(6000)], "n long, k long")
+    keyed = rows.groupBy("k").count().withColumn("name", F.concat(F.lit("k"), "k"))
+    got = _spark.spread_join(rows, keyed, ["k"], "count", ["n"]).collect()
+    assert sorted((r.n, r.k, r.name) for r in got) == [(i, 7 if i % 3 else i, f"k{7 if i % 3 else i}") for i in range(6000)]
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -149,9 +167,27 @@ def test_line_dedup_equals_brute_force(spark):
         lines = (t or "").split("\n")
         kept = [x for x in lines if x.strip(blanks).translate(upper) not in gone]
         want.append((str(i), len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    got = [(str(r.doc_id), r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in line_dedup.drop_common_lines(docs_of(spark, texts)).collect()]
+    got = [(str(r.doc_id), r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in line_dedup.drop_common_lines(docs_of(spark, texts).drop("n_lines")).collect()]
     assert sorted(got) == sorted(want) and gone
-    assert line_dedup.drop_common_lines(docs_of(spark, [])).count() == 0
+    assert line_dedup.drop_common_lines(docs_of(spark, []), counts=None).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    docs = docs_of(spark, [(i, "same\nown %d" % i) for i in range(12)])
+    kept = line_dedup.drop_common_lines(docs, counts=("lines", "lines_gone"))
+    assert kept.columns == [*docs.columns, "lines", "lines_gone"]
+    assert {(r.text, r.id, r.n_lines, r.lines, r.lines_gone) for r in kept.collect()} == {("own %d" % i, "x", "y", 2, 1) for i in range(12)}
+    assert line_dedup.drop_common_lines(docs, counts=None).columns == docs.columns
+    with pytest.raises(ValueError):
+        line_dedup.drop_common_lines(docs)
+
+
+def test_line_dedup_hot_line_and_null_ids(spark):
+    """One line that most rows hold, rows without an id, and a count of documents, not of rows."""
+    texts = [(i, "hot\n" * 3 + f"own {i}") for i in range(300)] + [(None, "hot\nx")] * 3 + [(1000 + i, "nine") for i in range(9)] + [(2000, "ten")] * 12
+    got = sorted((str(r.doc_id), r.text, r.n_dropped) for r in line_dedup.drop_common_lines(docs_of(spark, texts).drop("n_lines")).collect())
+    want = [(str(i), f"own {i}", 3) for i in range(300)] + [("None", "x", 1)] * 3 + [(str(1000 + i), "nine", 0) for i in range(9)] + [("2000", "ten", 0)] * 12
+    assert got == sorted(want)
 
 
 def test_encoder_equals_the_library():
@@ -170,14 +206,21 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_records_round_trip(spark):
-    """Null ids come first; rows of one id in the order of their checksums."""
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in records.record_digests(records.write_records(docs_of(spark, ODD[::-1]), TOKENIZER)).collect()))
-    at, want = 0, []
-    for known, i, n, c in sorted((i is not None, i or 0, len(brute_ids(t)), crc(brute_ids(t))) for i, t in ODD):
-        want.append((known, i, at, n, c))
-        at += n
-    assert got == want
+@pytest.mark.parametrize("file_bytes", [1 << 25, 64])
+def test_records_round_trip(spark, file_bytes):
+    """Null ids come first, whatever the number of files; rows of one id follow each other."""
+    texts = [(8, "other text of eight"), *ODD[::-1], *[(None, f"no id {i}") for i in range(30)]]
+    index = records.write_records(docs_of(spark, texts), TOKENIZER, file_bytes=file_bytes)
+    assert index.select("file").distinct().count() > 1 or file_bytes > 64
+    got = sorted(records.record_digests(index).collect(), key=lambda r: r.start)
+    ids = [None if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = [(str(i), len(brute_ids(t)), crc(brute_ids(t))) for i, t in texts]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
 
 
 def test_records_of_an_empty_table(spark):
@@ -250,7 +293,33 @@ def test_vectors_equal_brute_force(spark):
                 p, q = sorted((find(good[a][0]), find(good[b][0])))
                 comp[q] = p
     assert got == {i: (links[i], find(i), find(i) == i) for i in comp}
-    assert vector_dedup.miss_probability(0.98) < 1e-4
+
+
+@pytest.mark.parametrize("n", [1, 500, 50_000, 10**8])
+def test_vector_tables_keep_the_miss_bound(n):
+    tables, projections = vector_dedup.table_plan(n, 0.98)
+    assert vector_dedup.miss_probability(0.98, tables, projections) <= 1e-4
+    assert n * vector_dedup.agreement(0) ** projections <= 0.05
+
+
+def test_vectors_near_the_threshold_and_of_any_magnitude(spark):
+    """Pairs planted just above and below cosine 0.98, and finite vectors whose squares over- or underflow."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for i in range(150):
+        a = rng.normal(size=48)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=48)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.9803 if i % 2 else 0.9797
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (c * a + (1 - c * c) ** 0.5 * b).tolist(), 1)]
+        want |= {2 * i: i % 2, 2 * i + 1: i % 2}
+    rows += [(900, [1e-200, 2e-200], 2), (901, [1e200, 2e200], 2), (902, [1.0, 2.0], 2), (903, [float("inf"), 1.0], 2), (904, [1.0, None], 2), (None, [1.0, 2.0], 2)]
+    want |= {900: 2, 901: 2, 902: 2, 903: 0, 904: 0, None: 0}
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit("x")))
+    assert {r.vec_id: r.n_links for r in got.collect()} == want
+    assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label string")).collect() == []
 
 
 def test_leaks_exact_and_edited(spark):
@@ -279,6 +348,20 @@ def test_leaks_with_many_words_replaced(spark, step, exact):
     assert set(found) == ({1, 2} if exact else {1}) and found[1] == (2 * kept - (40 // step - 1)) / 80
 
 
+def test_leaks_of_short_items_and_rows_told_apart(spark):
+    """Items of one or two words inside longer texts, a null id, an id that a clean text repeats, a repeated item id."""
+    docs = [(1, "x y Alpha, beta z"), (2, "alpha x beta"), (3, "so gamma it is"), (None, "alpha beta"), (None, "clean words"), (5, "alpha beta"), (5, "clean"), (6, "one two three four")]
+    benchmark = spark.createDataFrame([(1, "alpha beta"), (2, "Gamma!"), (3, "one two three"), (3, "nothing of it here")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, docs), benchmark).collect()}
+    assert found >= {(1, 1), (3, 2), (None, 1), (5, 1), (6, 3)} and all(i != 2 or j == 1 for i, j in found)
+    clean = docs_of(spark, docs).withColumn("leaked", F.lit(1)).withColumn("of", F.lit(2))
+    kept = decontaminate.remove_leaks(clean, benchmark)
+    assert kept.columns == clean.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} >= {(None, "clean words"), (5, "clean")}
+    assert not {(r.doc_id, r.text) for r in kept.collect()} & {(None, "alpha beta"), (5, "alpha beta"), (1, "x y Alpha, beta z")}
+    assert decontaminate.find_leaks(docs_of(spark, docs), benchmark.limit(0)).collect() == []
+
+
 def test_alignment_equals_a_plain_table():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -358,12 +441,31 @@ def test_language_id_learns_from_short_texts(spark, long_ones):
     assert got == {i: c for i, _, c in new}
 
 
-def test_pieces_are_shared_out_by_language(monkeypatch):
-    monkeypatch.setattr(language_id, "SAMPLE_WORDS", 100)
-    pieces = [np.arange(a, min(a + 16, 1000)) for a in range(0, 1000, 16)] + [np.arange(1000 + 4 * i, 1004 + 4 * i) for i in range(5)]
-    label = np.repeat([0, 1], [1000, 20])
-    kept = [len(p) for p in language_id.shared_out(pieces, label)]
-    assert kept == [16] * 5 + [4] * 5
+def test_pieces_are_shared_out_by_language():
+    sizes, label = np.array([16] * 63 + [4] * 5), np.array([0] * 63 + [1] * 5)
+    kept = language_id.shared_out(sizes, label, np.arange(68), 100)
+    assert sorted(kept.tolist()) == [0, 1, 2, 3, 4, 63, 64, 65, 66, 67]
+
+
+def test_pieces_cover_all_words():
+    texts = ["", "one", " ".join(f"w{i}" for i in range(40)), "  a b\n", *["x y z"] * 120]
+    of, begin, end, n = language_id.all_pieces(texts)
+    for i, t in enumerate(texts):
+        assert " ".join(t[a:b] for a, b in zip(begin[of == i], end[of == i], strict=True)).split() == t.split()
+        assert n[of == i].sum() == len(t.split())
+
+
+def test_language_id_letters_and_repeated_ids(spark):
+    model = language_id.train(["the house is", "la maison est"] * 9, ["en", "fr"] * 9)
+    rows = [(i, t) for i, t in enumerate(["\u00b5", "12 \u00aa", "\u00ba", "3 \u00b7 4", "\u2014 7", "\u4e2d"])]
+    got = {r.doc_id: r.lang_pred != "und" for r in language_id.predict(docs_of(spark, rows), model).collect()}
+    assert got == {i: any(c.isalpha() for c in t) for i, t in rows}
+    many = spark.createDataFrame([(1, "the house", "en")] * 500 + [(3, "la maison", "fr")], "doc_id long, text string, lang string")
+    texts, languages = language_id.sample(many.filter("crc32(cast(doc_id as string)) % 3 <> 1"), "lang", "doc_id", "text")
+    assert len(texts) == len(set(zip(texts, languages, strict=True)))
+    none = many.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.identify(none).collect()} == {"und"}
+    assert language_id.identify(many.limit(0)).collect() == []
 
 
 def test_forward_backward_equals_enumeration():
