@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all of them; n_chars follows the text."""
-    kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
+    kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1, counts=None)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
