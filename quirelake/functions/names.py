@@ -1,22 +1,32 @@
-"""Expressions over paths and file names: ids, layout, file-name fields, display titles. Column to Column only.
+"""Expressions over paths and file names: ids, layout, file-name fields, display titles. Column to Column, but for
+``computed``.
 
 Blank and null mean the same on input; a field that is not found is null unless said otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Grade names and the level they belong to.
 GRADES = ["一年級", "二年級", "三年級", "四年級", "五年級", "六年級", "七年級", "八年級", "九年級", "十年級", "十一年級", "十二年級"]
 LEVELS = ["國小", "國中", "高中"]
-#: Publishers of textbooks, as they stand at the end of a file name.
+#: Publishers of textbooks, as they stand at the end of a file name, and the mark of an unknown one.
 PUBLISHERS = ["康軒", "南一", "翰林", "育成", "奇鼎", "全華", "何嘉仁"]
+UNKNOWN = "未註明"
+#: Kinds of files that an archive holds.
+KINDS = [".pdf", ".docx", ".doc"]
 #: Characters that a directory name may not hold, and their full-width forms.
 UNSAFE, SAFE = '/\\:*?"<>|', "／＼：＊？＂＜＞｜"
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once however often it is read: a generator of one row keeps the
+    optimiser from writing a long expression out again at every use, or into a filter."""
+    return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")).select(*rows.columns, "_made.*")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -71,17 +81,18 @@ def guess_filetype(name: Column) -> Column:
 
 
 def layout(path: Column) -> Column:
-    """struct(layout, county, level, grade, subject, filetype) of a relative path; layout null: not an archive file.
+    """struct(layout, county, level, grade, subject, filetype) of a relative path; null: not an archive file.
 
-    ``dump``: _未分類/DriveFolder/county/school/...; ``full``: county/level/grade/subject/filetype/name.
+    ``dump``: _未分類/DriveFolder/county/school/.../name, PDF only; ``full``: county/level/grade/subject/filetype/.../name;
+    ``legacy``: county/level/grade/subject/.../name, a question sheet; ``school``: county/.../name with two folders or
+    more, of which only the county is known.
     """
     parts = F.split(path, "/")
     part = lambda i: F.get(parts, F.lit(i))
     dirs = F.size(parts) - 1
-    dump = (part(0) == "_未分類") & (part(1) == "DriveFolder") & (dirs >= 4) & (extension(path) == ".pdf")
-    full = (dirs >= 5) & part(1).isin(*LEVELS) & part(4).isin("paper", "daan")
-    legacy = (dirs >= 4) & (part(3) == "paper")
-    school = dirs >= 2
+    dump = (dirs >= 4) & (part(0) == "_未分類") & (part(1) == "DriveFolder")
+    legacy = (dirs >= 4) & part(1).isin(*LEVELS)
+    full = legacy & (dirs >= 5) & F.coalesce(part(4), F.lit("")).isin("paper", "daan")
     none = F.lit("")
 
     def made(kind: str, *fields: Column) -> Column:
@@ -89,61 +100,121 @@ def layout(path: Column) -> Column:
         return F.struct(F.lit(kind).alias("layout"), *[f.alias(n) for n, f in zip(names, fields, strict=True)])
 
     return (
-        F.when(dump, made("dump", part(2), none, none, none, guess_filetype(file_name(path))))
-        .when(full, made("full", part(0), part(1), part(2), part(3), part(4)))
-        .when(legacy, made("legacy", part(0), none, part(1), part(2), F.lit("paper")))
-        .when(school, made("school", part(0), none, none, none, guess_filetype(file_name(path))))
+        F.when(dump & (extension(path) != ".pdf"), None)
+        .when(dump, made("dump", part(2), none, none, none, guess_filetype(file_name(path))))
+        .when(full, made("full", *[part(i) for i in range(5)]))
+        .when(legacy, made("legacy", *[part(i) for i in range(4)], F.lit("paper")))
+        .when((dirs >= 2) & (part(0) != ""), made("school", part(0), none, none, none, none))
     )
 
 
+def canonical_path(path: Column, faithful: bool = False) -> Column:
+    """The path under which a file is catalogued: a dump's file moves to county/school/_drivefolder/rest. ``faithful``
+    leaves out the file's name there, so that all files of a folder share one path."""
+    parts = F.split(path, "/")
+    dump = (F.size(parts) >= 5) & (F.get(parts, F.lit(0)) == "_未分類") & (F.get(parts, F.lit(1)) == "DriveFolder")
+    rest = F.slice(parts, 5, F.greatest(F.size(parts) - (5 if faithful else 4), F.lit(0)))
+    return F.when(dump, F.array_join(F.concat(F.slice(parts, 3, 2), F.array(F.lit("_drivefolder")), rest), "/")).otherwise(path)
+
+
 def pruned(path: Column, skip: list[str]) -> Column:
-    """True for a file that a listing leaves out: skipped top folders, generic folders, unsorted ones but the dump."""
+    """True for a file that a listing leaves out: skipped top folders, generic folders, unsorted ones but the dump,
+    other kinds of files."""
     parts = F.split(path, "/")
     top, second = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    return F.lower(top).isin(*skip) | F.array_contains(parts, "_generic") | ((top == "_未分類") & (second != "DriveFolder")) | ~extension(path).isin(".pdf", ".docx", ".doc")
+    return F.lower(top).isin(*[x.lower() for x in skip]) | F.array_contains(F.slice(parts, 1, F.size(parts) - 1), "_generic") | ((top == "_未分類") & (second != "DriveFolder")) | ~extension(path).isin(*KINDS)
 
 
-_YEAR, _TERM = r"(\d{2,3})", r"(上學期|下學期)"
+def fallback_year(name: Column) -> Column:
+    """A year from 100 to 115 in any text: the first before 學年度, 學年, 年, 上 or 下, else the first at all."""
+    year = "(10[0-9]|11[0-5])"
+    return F.coalesce(found(name, year + "(?:學年度|學年|年|[下上])"), found(name, year))
 
 
-def parse_file_name(name: Column) -> Column:
+def parse_file_name(name: Column, county: Column | None = None) -> Column:
     """struct(school_year, school_term, exam_type, fileid, school_name, version, grade, subject) of an archive file name.
 
-    Forms, the first that fits: county_year[term]_exam_fileid_school_version; county_year_第N學期_exam_school_grade_subject;
-    county_year_exam_school_grade_subject; else only a year from 100 to 115 that the name holds.
+    The parts between underscores decide, after the county (any first part where none is given):
+    year, exam, fileid, school, version; the same with a term behind the year; year, 第N學期, exam, school, grade,
+    subject (the term stays absent); year, exam, school, grade, subject; the latter two may end in 解答. A version is
+    a known publisher, or up to four word characters. Other names give a year only, see ``fallback_year``.
     """
-    stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    publishers = "|".join(PUBLISHERS)
-    one = rf"(?U)^[^_]+_{_YEAR}{_TERM}?_([^_]+)_(\d+)_([^_]+)_({publishers})$"
-    two = rf"(?U)^[^_]+_{_YEAR}_第([12])學期_([^_]+)_([^_]+)_([^_]+年級)_([^_]+?)(?:_(?:解答|答案))?$"
-    three = rf"(?U)^[^_]+_{_YEAR}_([^_]+)_([^_]+)_([^_]+年級)_([^_]+?)(?:_(?:解答|答案))?$"
+    rest = F.regexp_extract(name, "^[^_]+_(.*)$", 1) if county is None else F.when(F.startswith(name, F.concat(county, F.lit("_"))), F.substring(name, F.length(county) + 2, F.length(name))).otherwise("")
+    known = F.regexp_extract(rest, r"^(.*)\.(?:pdf|docx|doc)$", 1)
     fields = ["school_year", "school_term", "exam_type", "fileid", "school_name", "version", "grade", "subject"]
     none = F.lit(None).cast("string")
 
-    def made(**given: Column) -> Column:
-        return F.struct(*[given.get(f, none).alias(f) for f in fields])
+    def of(x: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(x, F.lit(i)), F.lit(""))
+        tail = lambda i: F.array_join(F.slice(x, i + 1, F.greatest(F.size(x) - i, F.lit(0))), "_")
+        year, with_term = part(0).rlike(r"^\d{3}$"), part(0).rlike("^\\d{3}[下上]學期$")
+        version = tail(4)
+        standard = (F.size(x) >= 5) & part(2).rlike(r"^\d+$") & (part(1) != "") & (part(3) != "") & (version.isin(*PUBLISHERS, UNKNOWN) | version.rlike(r"(?U)^\w{1,4}$"))
+        answer = lambda n: (F.size(x) == n) | ((F.size(x) == n + 1) & (part(n) == "解答"))
+        nth = year & answer(6) & part(1).rlike(r"^第\d學期$") & part(4).isin(*GRADES[:9]) & (part(2) != "") & (part(3) != "") & (part(5) != "")
+        plain = year & answer(5) & part(3).isin(*GRADES) & (part(1) != "") & (part(2) != "") & (part(4) != "")
 
-    term = F.when(F.regexp_extract(stem, two, 2) == "1", "上學期").otherwise("下學期")
-    return (
-        F.when(stem.rlike(one), made(school_year=found(stem, one, 1), school_term=found(stem, one, 2), exam_type=found(stem, one, 3), fileid=found(stem, one, 4), school_name=found(stem, one, 5), version=found(stem, one, 6)))
-        .when(stem.rlike(two), made(school_year=found(stem, two, 1), school_term=term, exam_type=found(stem, two, 3), school_name=found(stem, two, 4), grade=found(stem, two, 5), subject=found(stem, two, 6)))
-        .when(stem.rlike(three), made(school_year=found(stem, three, 1), exam_type=found(stem, three, 2), school_name=found(stem, three, 3), grade=found(stem, three, 4), subject=found(stem, three, 5)))
-        .otherwise(made(school_year=found(stem, r"(?<!\d)(10[0-9]|11[0-5])(?!\d)")))
-    )
+        def made(**given: Column) -> Column:
+            return F.struct(*[given.get(f, none).alias(f) for f in fields])
+
+        digits, term = F.substring(part(0), 1, 3), blank_to_null(F.substring(part(0), 4, 3))
+        return (
+            F.when(standard & (year | with_term), made(school_year=digits, school_term=term, exam_type=part(1), fileid=part(2), school_name=part(3), version=version))
+            .when(nth, made(school_year=part(0), exam_type=part(2), school_name=part(3), version=F.lit(UNKNOWN), grade=part(4), subject=part(5)))
+            .when(plain, made(school_year=part(0), exam_type=part(1), school_name=part(2), version=F.lit(UNKNOWN), grade=part(3), subject=part(4)))
+            .otherwise(made(school_year=fallback_year(name)))
+        )
+
+    # the parts are made once and bound to a variable
+    return F.get(F.transform(F.array(F.split(known, "_")), of), F.lit(0))
+
+
+def fallback_school(path: Column, name: Column) -> Column:
+    """A school's name where the file name does not parse: ...市 or 縣...國中, 國小 or 高中 in the path, else any such ending
+    in the file's name."""
+    return F.coalesce(found(path, r"(?U)(\w+(?:市|縣)\w*(?:國中|國小|高中))"), found(name, r"(?U)(\w*(?:國中|國小|高中))"))
 
 
 def title(school: Column, year: Column, term: Column, exam: Column, grade: Column, subject: Column, version: Column) -> Column:
-    """Fields joined by blanks, empty ones left out."""
+    """Fields joined by blanks, empty ones and an unknown version left out."""
     year_text = F.concat(blank_to_null(year), F.lit("學年度"))
-    version_text = F.concat(F.lit("("), blank_to_null(version), F.lit(")"))
+    version_text = F.concat(F.lit("("), F.nullif(blank_to_null(version), F.lit(UNKNOWN)), F.lit(")"))
     return F.concat_ws(" ", blank_to_null(school), year_text, blank_to_null(term), blank_to_null(exam), blank_to_null(grade), blank_to_null(subject), version_text)
 
 
 def parse_fixed_name(name: Column) -> Column:
-    """struct(school_year, school_term, exam_type, grade, subject) of county_school_year[term]_exam_grade_subject[_drivefolder]
-    names of 6 or 7 parts; 未註明 counts as absent; null for other names."""
-    parts = F.split(F.regexp_replace(name, r"\.[^.]+$", ""), "_")
-    size = F.size(parts)
-    part = lambda i: F.nullif(blank_to_null(F.get(parts, F.lit(i))), F.lit("未註明"))
-    made = F.struct(found(part(2), r"^(\d{2,3})").alias("school_year"), found(part(2), r"(上學期|下學期)$").alias("school_term"), part(3).alias("exam_type"), part(4).alias("grade"), part(5).alias("subject"))
-    return F.when(size.isin(6, 7), made)
+    """struct(school_year, school_term, exam_type, subject, grade, school_name, version) of a name that ends in
+    _drivefolder.pdf and has before that county, year with or without term, exam, subject, grade, school, version, or
+    the same without the exam; an unknown year, exam or version counts as absent; null for other names."""
+    parts = F.split(F.regexp_extract(name, r"^(.*)_drivefolder\.pdf$", 1), "_")
+    exam = F.size(parts) - 6  # one more part where the exam is named
+    part = lambda i: F.get(parts, F.lit(i) if isinstance(i, int) else i)
+    known = lambda c: F.nullif(c, F.lit(UNKNOWN))
+    year = r"^(\d{3})(?:上學期|下學期)?$"
+    made = F.struct(
+        found(part(1), year).alias("school_year"),
+        found(part(1), r"^\d{3}(上學期|下學期)$").alias("school_term"),
+        F.when(exam == 1, known(part(2))).alias("exam_type"),
+        part(exam + 2).alias("subject"),
+        part(exam + 3).alias("grade"),
+        part(exam + 4).alias("school_name"),
+        known(part(exam + 5)).alias("version"),
+    )
+    return F.when(F.endswith(name, F.lit("_drivefolder.pdf")) & F.size(parts).isin(6, 7), made)
+
+
+def minimal_parse(name: Column) -> Column:
+    """struct(county, school_year, school_term, exam_type, subject, grade, school_name) of a PDF name of seven parts or
+    more, by their places; an unknown subject is 未分類, an unknown grade 未註明, other unknown parts are absent."""
+    parts = F.split(F.regexp_extract(name, r"^(.*)\.pdf$", 1), "_")
+    known = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(UNKNOWN))
+    made = F.struct(
+        known(0).alias("county"),
+        found(known(1), r"^(\d{3})(?:上學期|下學期)?$").alias("school_year"),
+        found(known(1), r"^\d{3}(上學期|下學期)$").alias("school_term"),
+        known(2).alias("exam_type"),
+        F.coalesce(known(3), F.lit("未分類")).alias("subject"),
+        F.coalesce(known(4), F.lit(UNKNOWN)).alias("grade"),
+        known(5).alias("school_name"),
+    )
+    return F.when(F.size(parts) >= 7, made)

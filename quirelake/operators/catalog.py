@@ -9,53 +9,63 @@ from pyspark.sql import functions as F
 from quirelake.functions import names, schools
 
 #: Top folders that a listing leaves out.
-SKIP = ["#recycle", "@eadir", "cap_exam", "ceec", "其他x"]
+SKIP = ["state", "logs", "_inbox", "_internal", "_待分類", "其他X", "未分類", "cap_exam", "ceec"]
 KEYS = ["school_name", "school_year", "school_term", "exam_type", "grade", "subject", "version", "county"]
 FACETS = ["school_year", "grade", "subject", "exam_type", "school_term", "version"]
 
 
+#: What makes a row newer than another of the same key, in this order.
+NEWEST = ["mtime", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
+
+
 def newest() -> list[Column]:
     """Newest first, in a total order."""
-    return [F.desc_nulls_last("mtime"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_suppkey")]
+    return [F.desc_nulls_last("mtime"), *[F.desc(c) for c in NEWEST[1:]]]
 
 
+def newest_paths(listing: DataFrame, faithful_dump_path: bool = False) -> DataFrame:
+    """The newest row of each catalogued path, with paper_id and the path it was found at (``found_at``). A maximum by
+    the order columns, combined before the one shuffle; nothing is parsed for rows that go."""
+    rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP)).withColumnRenamed("rel_path", "found_at")
+    rows = names.computed(rows, rel_path=names.canonical_path(F.col("found_at"), faithful_dump_path))
+    order = [c for c in NEWEST if c in listing.columns]
+    rest = [c for c in rows.columns if c not in order]
+    kept = rows.groupBy(names.paper_id(F.col("rel_path")).alias("paper_id")).agg(F.max(F.struct(*order, *rest)).alias("x"))
+    return kept.select("paper_id", "x.*")
 
-def build_catalog(listing: DataFrame) -> DataFrame:
-    """Listing rows (rel_path, size_kb, mtime, ...) to catalogue rows with ids, parsed fields, title and flags. One pass, no shuffle."""
-    rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP))
-    rows = rows.withColumn("filename", names.file_name(F.col("rel_path")))
-    # a generator keeps the optimiser from copying the parsers into every column that reads a field of theirs
-    parsed = F.struct(names.layout(F.col("rel_path")).alias("at"), names.parse_file_name(F.col("filename")).alias("of"))
-    rows = rows.select("*", F.explode(F.array(parsed)).alias("x")).select(*rows.columns, "x.at", "x.of").filter("at is not null")
-    parts = F.split("rel_path", "/")
-    dump = F.col("at.layout") == "dump"
+
+def build_catalog(listing: DataFrame, faithful_dump_path: bool = False) -> DataFrame:
+    """Listing rows (rel_path, size_kb, mtime, ...) to catalogue rows with ids, parsed fields, title and flags, one for
+    each path."""
+    rows = names.computed(newest_paths(listing, faithful_dump_path), at=names.layout(F.col("found_at")), filename=names.file_name(F.col("found_at")))
+    rows = names.computed(rows.filter("at is not null"), of=names.parse_file_name(F.col("filename"), F.col("at.county")))
     blank = names.blank_to_null
-    school = F.when(dump, F.get(parts, F.lit(3))).otherwise(F.coalesce("of.school_name", F.lit("")))
-    grade = F.coalesce(blank(F.col("at.grade")), F.col("of.grade"))
+    folder = F.when(F.col("at.layout") == "dump", F.get(F.split("found_at", "/"), F.lit(3)))
+    rows = names.computed(rows, school=F.coalesce(folder, F.col("of.school_name"), names.fallback_school(F.col("rel_path"), F.col("filename"))))
     kept = [c for c in listing.columns if c not in ("rel_path", "size_kb", "mtime")]
     out = rows.select(
         *kept,
-        names.paper_id(F.col("rel_path")).alias("paper_id"),
+        "paper_id",
         "rel_path",
         "filename",
         F.col("at.layout").alias("layout"),
         F.col("at.county").alias("county"),
         F.col("at.level").alias("level"),
-        grade.alias("grade"),
+        F.coalesce(blank(F.col("at.grade")), F.col("of.grade")).alias("grade"),
         blank(F.col("at.subject")).alias("subject"),
-        F.when(dump, None).otherwise(F.col("of.school_year")).alias("school_year"),
-        F.when(dump, None).otherwise(F.col("of.school_term")).alias("school_term"),
-        F.when(dump, None).otherwise(F.col("of.exam_type")).alias("exam_type"),
-        F.col("of.fileid").alias("fileid"),
-        blank(school).alias("school_name"),
-        F.col("of.version").alias("version"),
+        "of.school_year",
+        "of.school_term",
+        "of.exam_type",
+        "of.fileid",
+        F.col("school").alias("school_name"),
+        "of.version",
         F.col("at.filetype").alias("paper_or_daan"),
         "size_kb",
         "mtime",
     )
-    out = out.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
     titled = names.title(*[F.col(c) for c in ("school_name", "school_year", "school_term", "exam_type", "grade", "subject", "version")])
-    return out.withColumn("title", titled).withColumn("is_paper", (F.col("paper_or_daan") == "paper").cast("int")).withColumn("has_school", F.col("school_name").isNotNull().cast("int")).withColumn("has_school_name", (F.coalesce(F.length("school_name"), F.lit(0)) > 4).cast("int"))
+    flags = {"is_paper": F.col("paper_or_daan") == "paper", "has_school": F.col("school_name").isNotNull(), "has_school_name": F.coalesce(F.length("school_name"), F.lit(0)) > 4}
+    return out.select("*", titled.alias("title"), *[c.cast("int").alias(n) for n, c in flags.items()])
 
 
 def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -64,15 +74,11 @@ def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def upsert(current: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Newest row per paper_id, then per rel_path; a batch row beats a current one of the same key; others stay."""
-    both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    by = [F.desc("_new"), *(order or newest())]
-    return newest_per(newest_per(both, ["paper_id"], by), ["rel_path"], [*by, F.asc("paper_id")]).drop("_new")
-
-
-def catalog(listing: DataFrame) -> DataFrame:
-    """The catalogue of a full scan: newest row of each path."""
-    return newest_per(build_catalog(listing), ["paper_id"], newest())
+    """Newest row of the batch per paper_id and then per rel_path, and the current rows that share neither key with it."""
+    by = order or newest()
+    new = newest_per(newest_per(batch, ["paper_id"], by), ["rel_path"], [*by, F.asc("paper_id")])
+    stay = current.join(new.select("paper_id"), "paper_id", "left_anti").join(new.select("rel_path"), "rel_path", "left_anti")
+    return new.unionByName(stay.select(new.columns))
 
 
 def matches(filters: dict[str, str], keyword: str | None = None) -> Column:
@@ -140,11 +146,19 @@ def archive_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def archive_top(rows: DataFrame, k: int) -> DataFrame:
-    """(field, value, n, place): the k largest counties, schools and subjects, ties by name."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("county", "school_name", "subject")])).alias("x")).select("x.*")
+def archive_top(rows: DataFrame, most: dict[str, int]) -> DataFrame:
+    """(field, value, n, place): the largest values of each field, as many as ``most`` says, ties by name."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in most])).alias("x")).select("x.*")
     counted = long.filter("value is not null and value <> ''").groupBy("field", "value").agg(F.count("*").alias("n"))
-    return counted.withColumn("place", F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), "value"))).filter(F.col("place") <= k)
+    return counted.withColumn("place", F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), "value"))).filter(F.col("place") <= names.lookup(F.col("field"), most))
+
+
+def archive_years(rows: DataFrame) -> DataFrame:
+    """(school_year, place): the years of files outside dumps and national exams, latest first."""
+    path = F.col("rel_path")
+    main = ~(F.contains(path, F.lit("_drivefolder/")) | F.contains(path, F.lit("/cap_exam/")) | F.contains(path, F.lit("/ceec/")))
+    found = rows.filter(main).select(F.expr("try_cast(school_year as int)").alias("school_year")).filter("school_year is not null").distinct()
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc("school_year"))))  # years are few
 
 
 def metadata_density(rows: DataFrame) -> DataFrame:

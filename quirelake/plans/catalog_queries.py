@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import names, schools
 from quirelake.operators import catalog as jobs
 from quirelake.plans import seed
+from quirelake.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,42 +27,45 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.catalog(seed.listing(spark, sf_dir))
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
 
 
-_STEM = "regexp_replace(filename, '\\.[^.]+$', '')"
-_P = f"string_split({_STEM}, '_')"
-#: The catalogue in DuckDB's SQL, parsed by splitting names into their parts.
-CATALOG_SQL = f"""
-WITH seed AS ({seed.SEED_SQL}),
-kept AS (
-  SELECT *, string_split(rel_path, '/') AS p, string_split(rel_path, '/')[-1] AS filename FROM seed WHERE NOT starts_with(rel_path, '其他X/')
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of the listing, built and written once in a session and read by every search, as an index is."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _WRITTEN:
+        _WRITTEN[at] = store.write_catalog(jobs.build_catalog(seed.listing(spark, sf_dir)), store.new_path(spark, "catalog"))
+    return _WRITTEN[at]
+
+
+#: The catalogue in DuckDB's SQL, by what the forms of the seed's paths mean; no name is parsed. ``lost``: the 第N學期 form
+#: knows nine grades only, so a senior school's name goes by the fallback rules.
+ROWS_SQL = f"""
+WITH named AS ({seed.ATTRIBUTES_SQL}),
+formed AS (
+  SELECT *, CASE WHEN k % 10 < 6 OR k % 40 = 19 THEN 'standard' WHEN k % 10 = 6 AND level = '高中' THEN 'lost' WHEN k % 10 < 8 THEN 'plain' WHEN k % 10 = 8 THEN 'dump' ELSE 'free' END AS form,
+    CASE WHEN k % 10 = 8 THEN 'dump' WHEN k % 40 = 19 THEN 'legacy' WHEN k % 40 = 29 THEN 'school' ELSE 'full' END AS layout
+  FROM named WHERE k % 40 NOT IN (9, 39) AND (county <> '其他X' OR k % 10 = 8)
 ),
-split AS (SELECT *, {_P} AS f, len({_P}) AS nf, (p[1] = '_未分類') AS dump FROM kept),
-parsed AS (
-  SELECT *,
-    CASE WHEN dump THEN p[3] ELSE p[1] END AS county, CASE WHEN dump THEN '' ELSE p[2] END AS level,
-    CASE WHEN dump THEN '' ELSE p[3] END AS lgrade, CASE WHEN dump THEN '' ELSE p[4] END AS lsubject,
-    CASE WHEN NOT dump THEN p[5] WHEN filename LIKE '%解答%' THEN 'daan' ELSE 'paper' END AS paper_or_daan,
-    (NOT dump AND nf = 6 AND f[3] NOT LIKE '%學期' AND regexp_full_match(f[4], '[0-9]+')) AS one,
-    (NOT dump AND starts_with(f[3], '第') AND f[3] LIKE '%學期') AS two
-  FROM split
+placed AS (
+  SELECT *, CASE layout WHEN 'dump' THEN concat(county, '/', school, '/_drivefolder/', school_year, '學年', term, '/', dump_name) ELSE rel_path END AS path,
+    layout IN ('full', 'legacy') AS sorted
+  FROM formed
 ),
 rows_ AS (
-  SELECT k, l_linenumber, l_extendedprice, l_partkey, l_suppkey, substr(sha1(lower(rel_path)), 1, 16) AS paper_id, rel_path, filename,
-    CASE WHEN dump THEN 'dump' ELSE 'full' END AS layout, county, level,
-    nullif(lgrade, '') AS grade, nullif(lsubject, '') AS subject,
-    CASE WHEN dump THEN NULL ELSE regexp_extract(f[2], '^([0-9]+)', 1) END AS school_year,
-    CASE WHEN dump THEN NULL WHEN two THEN (CASE WHEN f[3] = '第1學期' THEN '上學期' ELSE '下學期' END) WHEN one THEN nullif(regexp_extract(f[2], '(上學期|下學期)$', 1), '') END AS school_term,
-    CASE WHEN dump THEN NULL WHEN two THEN f[4] ELSE f[3] END AS exam_type,
-    CASE WHEN one THEN f[4] END AS fileid,
-    CASE WHEN dump THEN p[4] WHEN one THEN f[5] WHEN two THEN f[5] ELSE f[4] END AS school_name,
-    CASE WHEN one THEN f[6] END AS version, paper_or_daan, size_kb, mtime
-  FROM parsed
+  SELECT k, l_linenumber, l_extendedprice, l_partkey, l_suppkey, substr(sha1(lower(path)), 1, 16) AS paper_id, path AS rel_path, string_split(path, '/')[-1] AS filename, layout, county,
+    CASE WHEN sorted THEN level ELSE '' END AS level, CASE WHEN sorted THEN grade END AS grade, CASE WHEN sorted THEN subject END AS subject, school_year,
+    CASE WHEN k % 10 = 5 THEN term END AS school_term, CASE WHEN form IN ('standard', 'plain') THEN exam_type END AS exam_type,
+    CASE WHEN form = 'standard' THEN CAST(k AS VARCHAR) END AS fileid,
+    CASE form WHEN 'lost' THEN regexp_extract(string_split(path, '/')[-1], '^(.*高中)_', 1) ELSE school END AS school_name,
+    CASE form WHEN 'standard' THEN version WHEN 'plain' THEN '未註明' END AS version,
+    CASE layout WHEN 'legacy' THEN 'paper' WHEN 'school' THEN '' ELSE filetype END AS paper_or_daan, size_kb, mtime
+  FROM placed
 ),
-catalog AS (
-  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY mtime DESC NULLS LAST, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM rows_) WHERE rn = 1
+"""
+_NEWEST = "mtime DESC NULLS LAST, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC"
+CATALOG_SQL = ROWS_SQL + f"""catalog AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY {_NEWEST}) AS rn FROM rows_) WHERE rn = 1
 )
 """
 _KEYS = "school_name, school_year, school_term, exam_type, grade, subject, version, county"
@@ -69,13 +73,13 @@ _KEYS = "school_name, school_year, school_term, exam_type, grade, subject, versi
 
 @query(CATALOG_SQL + "SELECT paper_id, rel_path, county, level, grade, subject, school_year, school_term, exam_type, fileid, school_name, version, paper_or_daan, size_kb, mtime FROM catalog")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P3-P8 in part, P11, IO3, W2: listing to catalogue; the README names what is missing of P5 and P7."""
-    return catalog(spark, sf_dir).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
+    """P1, P3 to P8, P11, IO3, W2: listing to catalogue, from the start."""
+    return jobs.build_catalog(seed.listing(spark, sf_dir)).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
 
 
 @query(
     CATALOG_SQL
-    + """SELECT paper_id, array_to_string(list_filter([nullif(school_name, ''), school_year || '學年度', school_term, exam_type, grade, subject, '(' || version || ')'], lambda x: x IS NOT NULL), ' ') AS title,
+    + """SELECT paper_id, array_to_string(list_filter([nullif(school_name, ''), school_year || '學年度', school_term, exam_type, grade, subject, '(' || nullif(version, '未註明') || ')'], lambda x: x IS NOT NULL), ' ') AS title,
   CAST(paper_or_daan = 'paper' AS INT) AS is_paper, CAST(school_name IS NOT NULL AS INT) AS has_school, CAST(coalesce(length(school_name), 0) > 4 AS INT) AS has_school_name FROM catalog"""
 )
 def catalog_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +126,10 @@ def school_dropdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.school_dropdown(catalog(spark, sf_dir))
 
 
-@query(CATALOG_SQL + "SELECT DISTINCT school_year FROM catalog WHERE school_year IS NOT NULL")
+@query(CATALOG_SQL + "SELECT CAST(school_year AS INT) AS school_year, row_number() OVER (ORDER BY CAST(school_year AS INT) DESC) AS place FROM (SELECT DISTINCT school_year FROM catalog WHERE layout <> 'dump' AND school_year <> '')")
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F10."""
-    return catalog(spark, sf_dir).filter("school_year is not null").select("school_year").distinct()
+    """years of the main archive, latest first."""
+    return jobs.archive_years(catalog(spark, sf_dir))
 
 
 _COUNTY_SQL = "CASE " + " ".join(f"WHEN starts_with(school_name, '{c}') THEN '{c}'" for c in schools.COUNTIES) + " ELSE '其他縣市' END"
@@ -143,10 +147,10 @@ def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.archive_counts(catalog(spark, sf_dir))
 
 
-@query(CATALOG_SQL + "SELECT * FROM (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value FROM catalog" for c in ("county", "school_name", "subject")) + ") WHERE value <> '' GROUP BY field, value) WHERE place <= 20")
+@query(CATALOG_SQL + "SELECT * FROM (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value FROM catalog" for c in ("county", "school_name", "subject")) + ") WHERE value <> '' GROUP BY field, value) WHERE place <= CASE field WHEN 'subject' THEN 15 ELSE 20 END")
 def archive_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: the twenty largest of three fields."""
-    return jobs.archive_top(catalog(spark, sf_dir), 20)
+    """A2: the twenty largest counties and schools, the fifteen largest subjects."""
+    return jobs.archive_top(catalog(spark, sf_dir), {"county": 20, "school_name": 20, "subject": 15})
 
 
 _DENSE = ["county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "school_name", "version"]
@@ -177,20 +181,28 @@ def missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OLD, _NEW = "(l_linenumber <= 4)", "(l_linenumber >= 3)"
+_MOVED = "k % 17 = 0"
+
+
+def _newest_sql(where: str) -> str:
+    return f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY {_NEWEST}) AS rn FROM rows_ WHERE {where}) WHERE rn = 1"
 
 
 @query(
-    CATALOG_SQL.replace("catalog AS (", "unused AS (").rstrip()
-    + f""",
-both_ AS (SELECT *, 0 AS new_ FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY mtime DESC NULLS LAST, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM rows_ WHERE {_OLD}) WHERE rn = 1
-  UNION ALL SELECT *, 1 AS new_ FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY mtime DESC NULLS LAST, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM rows_ WHERE {_NEW}) WHERE rn = 1)
-SELECT paper_id, rel_path, size_kb, mtime FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY new_ DESC, mtime DESC NULLS LAST, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS r2 FROM both_) WHERE r2 = 1"""
+    ROWS_SQL
+    + f"""old AS ({_newest_sql(_OLD)}),
+new AS (SELECT * REPLACE (CASE WHEN {_MOVED} THEN concat('m', substr(paper_id, 2)) ELSE paper_id END AS paper_id) FROM ({_newest_sql(_NEW)}))
+SELECT paper_id, rel_path, size_kb, mtime, 'new' AS came_from FROM new
+UNION ALL SELECT paper_id, rel_path, size_kb, mtime, 'old' FROM old WHERE paper_id NOT IN (SELECT paper_id FROM new) AND rel_path NOT IN (SELECT rel_path FROM new)"""
 )
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: a batch of later line items over a catalogue of earlier ones, by two keys."""
+    """M1: a batch of later line items over a catalogue of earlier ones; a batch row replaces what has its id or its
+    path, and some of the batch have a new id on an old path."""
     rows = seed.listing(spark, sf_dir)
-    old, new = jobs.catalog(rows.filter("l_linenumber <= 4")), jobs.catalog(rows.filter("l_linenumber >= 3"))
-    return jobs.upsert(old, new).select("paper_id", "rel_path", "size_kb", "mtime")
+    old, new = jobs.build_catalog(rows.filter("l_linenumber <= 4")), jobs.build_catalog(rows.filter("l_linenumber >= 3"))
+    new = new.withColumn("paper_id", F.when(F.expr(_MOVED), F.concat(F.lit("m"), F.substring("paper_id", 2, 15))).otherwise(F.col("paper_id")))
+    done = jobs.upsert(old.withColumn("came_from", F.lit("old")), new.withColumn("came_from", F.lit("new")))
+    return done.select("paper_id", "rel_path", "size_kb", "mtime", "came_from")
 
 
 def _updates(rows: DataFrame) -> DataFrame:
@@ -223,11 +235,11 @@ def field_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.field_diffs(_updates(rows), rows, _FIELDS)
 
 
-@query(CATALOG_SQL + "SELECT paper_id FROM catalog WHERE k % 13 <> 0")
+@query(CATALOG_SQL + "SELECT paper_id FROM catalog WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue rows without a status row."""
-    rows = catalog(spark, sf_dir)
-    return rows.join(rows.filter("k % 13 = 0").select("paper_id"), "paper_id", "left_anti").select("paper_id")
+    """Catalogue rows without a row in the status table, which the finished orders stand for."""
+    status = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
+    return catalog(spark, sf_dir).join(status, "k", "left_anti").select("paper_id")
 
 
 _TOKEN = "CASE WHEN length(core) >= 2 THEN core END"

@@ -1,7 +1,9 @@
 """The catalogue that the given tables stand for: every line item becomes an archive file.
 
 The rules are plain SQL that Spark and DuckDB read alike; SEED_SQL is the one text both use. Attributes hang on the
-order key, so the question and the answer sheet of an order share their group; ``k % 10`` picks the form of the path.
+order key, so the question and the answer sheet of an order share their group; ``k % 10``, and ``k % 40`` where that is
+9, pick the form of the path: standard names (0 to 4), with a term (5), 第N學期 (6), without a file id (7), raw dump (8),
+left out (9, 39), legacy folders (19), a school's folder with a free name (29).
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.functions.names import GRADES, PUBLISHERS
+from quirelake.functions.names import GRADES, PUBLISHERS, computed
 from quirelake.functions.schools import COUNTIES
 
 #: Fixed values of the made-up catalogue.
@@ -39,25 +41,34 @@ FROM lineitem
 
 _NAMED = f"SELECT *, concat(county, '立', core, level) AS school FROM ({_BASE}) base"
 
-_STANDARD = "concat(county, '/', level, '/', grade, '/', subject, '/', filetype, '/')"
-#: (k, rel_path, size_kb, mtime, rank columns) of every line item.
-SEED_SQL = f"""
-SELECT k, l_linenumber, l_extendedprice, l_partkey, l_suppkey,
+_FOLDERS = "concat(county, '/', level, '/', grade, '/', subject, '/', filetype, '/')"
+_DAAN = "CASE filetype WHEN 'daan' THEN '_解答' ELSE '' END"
+_PLAIN = "concat(county, '_', school_year, '_', exam_type, '_', CAST(k AS VARCHAR(20)), '_', school, '_', version)"
+#: Every line item with its attributes and the path it stands for.
+ATTRIBUTES_SQL = f"""
+SELECT *,
   CASE
-    WHEN k % 10 < 5 THEN concat({_STANDARD}, county, '_', school_year, '_', exam_type, '_', CAST(k AS VARCHAR(20)), '_', school, '_', version, '.pdf')
-    WHEN k % 10 = 5 THEN concat({_STANDARD}, county, '_', school_year, term, '_', exam_type, '_', CAST(k AS VARCHAR(20)), '_', school, '_', version, '.pdf')
-    WHEN k % 10 = 6 THEN concat({_STANDARD}, county, '_', school_year, '_第', CASE k % 2 WHEN 0 THEN '1' ELSE '2' END, '學期_', exam_type, '_', school, '_', grade, '_', subject, CASE filetype WHEN 'daan' THEN '_解答' ELSE '' END, '.pdf')
-    WHEN k % 10 = 7 THEN concat({_STANDARD}, county, '_', school_year, '_', exam_type, '_', school, '_', grade, '_', subject, '.pdf')
-    WHEN k % 10 = 8 THEN concat('_未分類/DriveFolder/', county, '/', school, '/', school_year, '學年', term, '/', school_year, CASE k % 2 WHEN 0 THEN '上' ELSE '下' END, grade, subject, exam_type, CASE filetype WHEN 'paper' THEN '考題' ELSE '解答' END, '.pdf')
-    ELSE concat('其他X/', level, '/', grade, '/', subject, '/', filetype, '/', county, '_', school_year, '_', exam_type, '_', CAST(k AS VARCHAR(20)), '_', school, '_', version, '.pdf')
+    WHEN k % 10 < 5 THEN concat({_FOLDERS}, {_PLAIN}, '.pdf')
+    WHEN k % 10 = 5 THEN concat({_FOLDERS}, county, '_', school_year, term, '_', exam_type, '_', CAST(k AS VARCHAR(20)), '_', school, '_', version, '.pdf')
+    WHEN k % 10 = 6 THEN concat({_FOLDERS}, county, '_', school_year, '_第', CASE k % 2 WHEN 0 THEN '1' ELSE '2' END, '學期_', exam_type, '_', school, '_', grade, '_', subject, {_DAAN}, '.pdf')
+    WHEN k % 10 = 7 THEN concat({_FOLDERS}, county, '_', school_year, '_', exam_type, '_', school, '_', grade, '_', subject, {_DAAN}, '.pdf')
+    WHEN k % 10 = 8 THEN concat('_未分類/DriveFolder/', county, '/', school, '/', school_year, '學年', term, '/', dump_name)
+    WHEN k % 40 = 9 THEN concat('其他X/', level, '/', grade, '/', subject, '/', filetype, '/', {_PLAIN}, '.pdf')
+    WHEN k % 40 = 19 THEN concat(county, '/', level, '/', grade, '/', subject, '/', {_PLAIN}, CASE filetype WHEN 'daan' THEN '.docx' ELSE '.pdf' END)
+    WHEN k % 40 = 29 THEN concat(county, '/', school, '/', school_year, '學年度', grade, subject, exam_type, {_DAAN}, '.doc')
+    ELSE concat('_未分類/待整理/', school, '/', dump_name)
   END AS rel_path,
   CAST(FLOOR(l_extendedprice) AS BIGINT) AS size_kb, CAST(l_shipdate AS DATE) AS mtime
-FROM ({_NAMED}) named
+FROM (SELECT *, concat(school_year, CASE k % 2 WHEN 0 THEN '上' ELSE '下' END, grade, subject, exam_type, CASE filetype WHEN 'paper' THEN '考題' ELSE '解答' END, '.pdf') AS dump_name FROM ({_NAMED}) named) files
 """
 
 
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items with their attributes and paths, the path made once."""
+    rows = spark.sql(ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return computed(rows.withColumnRenamed("rel_path", "_path"), rel_path=F.col("_path")).drop("_path")
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive listing that the line items stand for."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    # a generator keeps the optimiser from copying the path's long expression into every parser
-    return spark.sql(SEED_SQL).select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
+    """The archive listing that the line items stand for: path, size, time, and the columns that break ties."""
+    return attributes(spark, sf_dir).select("k", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "rel_path", "size_kb", "mtime")
