@@ -63,12 +63,16 @@ FROM (SELECT *, concat(school_year, CASE k % 2 WHEN 0 THEN '上' ELSE '下' END,
 """
 
 
-def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items with their attributes and paths, the path made once."""
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate")
     if len(items.inputFiles()) < spark.sparkContext.defaultParallelism:
         items = items.repartition(spark.sparkContext.defaultParallelism)  # one small file is one task otherwise
-    rows = spark.sql(ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items)
+    return items
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items with their attributes and paths, the path made once."""
+    rows = spark.sql(ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=line_items(spark, sf_dir))
     return computed(rows.withColumnRenamed("rel_path", "_path"), rel_path=F.col("_path")).drop("_path")
 
 
