@@ -233,7 +233,8 @@ def sample(docs: DataFrame, lang: str, doc_id: str, text: str) -> tuple[list[str
     ids = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(doc_id, F.lit(9)).alias("h"))
     sizes = ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
     share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * SAMPLE
-    few = ids.join(sizes, "lang").filter(share).select("id", "lang", "h").distinct()
+    # a row for each language, of which the model holds whole weight columns anyway
+    few = ids.join(F.broadcast(sizes), "lang").filter(share).select("id", "lang", "h").distinct()
     picked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= SAMPLE).select("id", "lang")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(picked, ["id", "lang"])
     found = sorted(rows.groupBy("id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], str(r["id"])))
