@@ -41,8 +41,10 @@ from quirelake.llm._text import Words, distinct_by_text, large_binary, mix, shin
 #: Shingles of a part of a block that one task joins.
 PART_SHINGLES = 4_000_000
 PART_SETS = 2_000
-#: Size classes grow by this; the segments of a class are enough for its largest sets.
-GROWTH = 1.6
+#: Size classes grow by this, or by a little more than 1 / threshold if that is more.
+GROWTH = 1.3
+#: How many segments more than differences a set should fill on average, and how many at most it is cut into.
+SPARE, MOST_SEGMENTS = 1.03, 1.7
 #: Signatures that a task gathers before it ties and passes them on.
 GATHER = 1_000_000
 
@@ -66,17 +68,18 @@ def _prints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def size_classes(most: int, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower ends of the classes of set sizes up to ``most``, in how many shingles their sets can differ, and their
-    numbers of segments: so many that few sets fill no more than they can differ in. Sets of n and m with
-    Jaccard >= t differ in at most (1 - t) / (1 + t) * (n + m) shingles."""
-    lows = [1]
+    numbers of segments. Sets of n and m with Jaccard >= t differ in at most (1 - t) / (1 + t) * (n + m) shingles.
+    Classes grow by no less than 1 / t, so that partners are in one class or in neighbours; segments are so many
+    that few sets, down to the smallest that join a class from below, fill no more than they can differ in."""
+    lows, growth = [1], max(GROWTH, 1.04 / t)
     while lows[-1] <= most:
-        lows.append(max(lows[-1] + 1, int(lows[-1] * GROWTH)))
-    lows.append(max(lows[-1] + 1, int(lows[-1] * GROWTH)))
+        lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * growth)))
+    lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * growth)))
     differ = [int((1 - t) / (1 + t) * 2 * (high - 1)) for high in lows[1:]]
     segments = []
     for low, d in zip(lows[:-1], differ, strict=True):
-        n = d + 1
-        while d and n < 1.5 * (d + 1) and n * (1 - (1 - 1 / n) ** low) < 1.03 * (d + 1) + 1:
+        n, smallest = d + 1, math.ceil(low * t)
+        while d and n < MOST_SEGMENTS * (d + 1) and n * (1 - (1 - 1 / n) ** smallest) < SPARE * (d + 1) + 1:
             n += max(1, d // 50)
         segments.append(n)
     return np.array(lows[:-1]), np.array(differ), np.array(segments)

@@ -116,14 +116,35 @@ def test_jaccard_join_odd_rows(spark):
 
 def test_signatures_meet_for_all_similar_sets():
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        n = int(rng.integers(1, 60))
-        a = set(rng.integers(0, 1 << 62, n).tolist())
-        b = set(list(a)[int(rng.integers(0, 3)) :]) | set(rng.integers(0, 1 << 62, int(rng.integers(0, 3))).tolist())
-        if b and len(a & b) * 5 >= len(a | b) * 4:
-            h = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
-            sig, of = jaccard_join.signatures(h, np.array([0, len(a), len(a) + len(b)]), Fraction(4, 5))
-            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+    for t in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 2)):
+        for _ in range(300):
+            n = int(np.exp(rng.uniform(0, np.log(400))))
+            a = set(rng.integers(0, 1 << 62, n).tolist())
+            gone = int(rng.integers(0, (1 - t) * n + 1))  # as many differences as the threshold bears
+            b = set(list(a)[gone:]) | set(rng.integers(0, 1 << 62, int(rng.integers(0, max(1, (n - gone) / t - n + 1)))).tolist())
+            if b and len(a & b) >= t * len(a | b):
+                h = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
+                sig, of = jaccard_join.signatures(h, np.array([0, len(a), len(a) + len(b)]), t)
+                assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
+def test_sets_agree_in_a_filled_segment_or_in_a_prefix():
+    """The worst case: every segment that both fill is touched by a difference."""
+    t = Fraction(4, 5)
+    rng = np.random.default_rng(4)
+    lows, differ, segments = jaccard_join.size_classes(60, t)
+    met = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(5, 60))).astype(np.uint64))
+        n = len(a)
+        m = int(segments[np.searchsorted(lows, n, side="right") - 1])
+        place = (jaccard_join.mix(a ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(33)).astype(np.int64) % m
+        _, one_each = np.unique(place, return_index=True)
+        b = np.delete(a, one_each[: int((1 - t) * n)])
+        if len(one_each) <= (1 - t) * n:
+            met += 1  # nothing that is filled agrees: the prefixes must
+        sig, of = jaccard_join.signatures(np.concatenate([a, b]), np.array([0, n, n + len(b)]), t)
+        assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
 def test_components(spark):
