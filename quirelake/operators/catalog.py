@@ -81,6 +81,11 @@ def upsert(current: DataFrame, batch: DataFrame, order: list[Column] | None = No
     return new.unionByName(stay.select(new.columns))
 
 
+def delete_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows without those whose path is listed; paths that are not there are ignored."""
+    return rows.join(paths.select("rel_path"), "rel_path", "left_anti").select(rows.columns)
+
+
 def matches(filters: dict[str, str], keyword: str | None = None) -> Column:
     """All equality filters, and every token of the keyword's core in the school's name (none if the core is short)."""
     out = F.lit(True)
