@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirelake.functions.names import GRADES, blank_to_null, file_name, found, lookup
+from quirelake.functions.names import GRADES, blank_to_null, bound, file_name, found, lookup
 from quirelake.functions.schools import first_that
 
 #: What a captured sign stands for. A: digits, C: Chinese digits, G: a year of junior school, J: the
@@ -86,8 +86,8 @@ def _signs(kind: str) -> dict[str, str]:
 
 
 def _hit(text: Column, rule: str, pattern: str, kind: str) -> Column:
-    grade = lookup(found(text, pattern), _signs(kind))
-    return F.when(grade.isNotNull(), F.struct(grade.alias("grade"), F.lit(rule).alias("rule")))
+    signs = _signs(kind)
+    return bound(found(text, pattern), lambda sign: F.when(sign.isin(*signs), F.struct(lookup(sign, signs).alias("grade"), F.lit(rule).alias("rule"))))
 
 
 def dump_grade(path: Column, county: Column, school: Column) -> Column:
@@ -96,9 +96,12 @@ def dump_grade(path: Column, county: Column, school: Column) -> Column:
     parts = F.split(path, "/")
     folders = F.slice(parts, 5, F.greatest(F.size(parts) - 5, F.lit(0)))
     by_folder = F.get(F.filter(F.transform(folders, lambda c: F.coalesce(*[_hit(c, *rule) for rule in FOLDER_RULES])), lambda x: x.isNotNull()), F.lit(0))
-    name, one = stem(file_name(path)), _is_one_school(county, school)
-    by_name = [F.when(one, _hit(name, rule, pattern, kind)) if only else _hit(name, rule, pattern, kind) for rule, pattern, kind, only in NAME_RULES]
-    return F.coalesce(by_folder, *by_name)
+    one = _is_one_school(county, school)
+
+    def by_name(name: Column) -> Column:
+        return F.coalesce(*[F.when(one, _hit(name, rule, pattern, kind)) if only else _hit(name, rule, pattern, kind) for rule, pattern, kind, only in NAME_RULES])
+
+    return F.coalesce(by_folder, bound(stem(file_name(path)), by_name))
 
 
 def dump_subject(name: Column, grade: Column, county: Column, school: Column) -> Column:

@@ -6,6 +6,8 @@ Blank and null mean the same on input; a field that is not found is null unless
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")).select(*rows.columns, "_made.*")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once: it is bound to the variable of a function over an array of one element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -165,8 +172,7 @@ def parse_file_name(name: Column, county: Column | None = None) -> Column:
             .otherwise(made(school_year=fallback_year(name)))
         )
 
-    # the parts are made once and bound to a variable
-    return F.get(F.transform(F.array(F.split(known, "_")), of), F.lit(0))
+    return bound(F.split(known, "_"), of)
 
 
 def fallback_school(path: Column, name: Column) -> Column:

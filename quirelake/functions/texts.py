@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirelake.functions.links import any_word
-from quirelake.functions.names import GRADES, LEVELS, blank_to_null, found, level_of, lookup
+from quirelake.functions.names import GRADES, LEVELS, blank_to_null, bound, found, level_of, lookup
 from quirelake.functions.schools import ALIASES, COUNTIES, OTHER, first_that, full_year, strip_placeholders
 
 #: Counties as covers spell them.
@@ -47,9 +47,8 @@ def cover_fields(text: Column) -> Column:
     """struct(county, school_name, school_year, school_term, exam_type, filetype, grade, level, subject) of a cover's text;
     a field that is not found is null, and so is all of a missing or empty text. Text set in columns is read once more
     without line ends and blanks."""
-    both = F.array(F.struct(text.alias("text"), F.translate(text, "\n ", "").alias("compact")))
-    # both texts are made once and bound to a variable
-    return F.when(F.coalesce(text, F.lit("")) != "", F.get(F.transform(both, lambda x: _cover_fields(x["text"], x["compact"])), F.lit(0)))
+    both = F.struct(text.alias("text"), F.translate(text, "\n ", "").alias("compact"))
+    return F.when(F.coalesce(text, F.lit("")) != "", bound(both, lambda x: _cover_fields(x["text"], x["compact"])))
 
 
 def _cover_fields(text: Column, compact: Column) -> Column:
