@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm._spark import written
+from quirelake.llm._spark import spread_join, written
 from quirelake.llm.line_dedup import ascii_lower
 
 #: A place in the tree with so many values, and at most this many distinct urls for each, is variable.
@@ -64,8 +64,8 @@ def path_templates(paths: DataFrame) -> DataFrame:
         nodes = rows.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         places = nodes.groupBy("host", "template").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"), F.sum("paths").alias("paths"))
         is_variable = (F.col("n_values") >= MIN_VALUES) & (F.col("n") <= MAX_PAGES_EACH * F.col("n_values"))
-        open_ = places.filter(F.col("paths") >= MIN_VALUES).select("host", "template", is_variable.alias("variable"))
-        rows = rows.join(open_, ["host", "template"], "left")
+        open_ = written(places.filter(F.col("paths") >= MIN_VALUES).select("host", "template", is_variable.alias("variable"), "paths"), "places")
+        rows = spread_join(rows, open_, ["host", "template"], "paths", ["path"], "left")
         rest = F.array_join(F.slice("segments", k + 1, F.size("segments")), "/")
         part = F.when(F.col("variable").isNull(), rest).when(F.col("variable"), "*").otherwise(F.col("segment"))
         done = F.col("variable").isNull() | (F.size("segments") == k + 1)
@@ -98,23 +98,25 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     """(page_id, host, path, rule, verdict, template, purity) per page. ``labels``: (page_id, good boolean)."""
     own = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.col(url).alias("url"))
     marks = labels.select(F.col("page_id").alias("page_id"), F.col("good").cast("int").alias("good")).filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    by_url = own.join(marks, "page_id", "left").groupBy("host", "path", "url").agg(F.count("good").alias("n_labels"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"))
-    counted = by_url.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
+    by_url = own.join(marks, "page_id", "left").groupBy("host", "path", "url").agg(F.count("good").alias("n_labels"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"), F.count("*").alias("pages"))
+    counted = by_url.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"), F.sum("pages").alias("pages"))
     # the templates are read three times; written once, they are put together once
     named = written(path_templates(written(counted, "paths")), "templates")
-    per = named.groupBy("host", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))
+    per = named.groupBy("host", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"), F.count("*").alias("paths"))
     merged = written(per.withColumn("final", F.col("template")), "merged")
     while True:  # each round takes a fixed segment from the templates that merge
         joins = written(merge_round(merged.groupBy("host", "final").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_good").alias("n_good"))), "joins")
         if joins.isEmpty():
             break
-        merged = written(merged.join(joins, ["host", "final"], "left").select("host", "template", "n_labels", "n_good", F.coalesce("wider", "final").alias("final")), "merged")
-    total = merged.agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).select(F.when(F.col("n") > 0, F.col("g") / F.col("n")).otherwise(F.lit(1.0)).alias("prior"))  # one row
-    purity = (
-        merged.groupBy("host", "final").agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).join(F.broadcast(total)).select("host", "final", ((F.col("g") + F.lit(PRIOR_WEIGHT) * F.col("prior")) / (F.col("n") + F.lit(PRIOR_WEIGHT))).alias("purity"))
-    )
-    verdicts = merged.select("host", "template", "final").join(purity, ["host", "final"])
-    by_path = named.select("host", "path", "template").join(verdicts, ["host", "template"]).select("host", "path", "final", "purity")
+        merged = written(merged.join(joins, ["host", "final"], "left").select("host", "template", "n_labels", "n_good", "paths", F.coalesce("wider", "final").alias("final")), "merged")
+    total = merged.agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).first()  # two numbers
+    prior = total["g"] / total["n"] if total["n"] else 1.0
+    smoothed = (F.col("g") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("n") + F.lit(PRIOR_WEIGHT))
+    purity = merged.groupBy("host", "final").agg(F.sum("n_labels").alias("n"), F.sum("n_good").alias("g")).select("host", "final", smoothed.alias("purity"))
+    verdicts = written(merged.select("host", "template", "final", "paths").join(purity, ["host", "final"]), "verdicts")
+    # a template may hold any share of the paths, a path any share of the pages
+    by_path = spread_join(named.select("host", "path", "template", "pages"), verdicts, ["host", "template"], "paths", ["path"])
+    by_path = written(by_path.select("host", "path", "final", "purity", "pages"), "by-path")
     rule, decided = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = own.join(by_path, ["host", "path"])
+    judged = spread_join(own, by_path, ["host", "path"], "pages", ["page_id", "url"])
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(decided, F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")).alias("verdict"), F.col("final").alias("template"), "purity")
