@@ -16,7 +16,7 @@ first probed for the templates' minima, and the bands are computed for the windo
 leaves out no window whose bands would agree.
 
 Defined results: null and short texts match nothing; a text that holds a template several times is reported once with
-its first place and best containment; repeated rows are each reported (once for equal ids); a null id is reported as
+the first word of the first window that verifies and its best containment; repeated rows are each reported (once for equal ids); a null id is reported as
 null; an empty table gives no rows; other columns are ignored. Templates are a parameter; a template of fewer than five
 words cannot match.
 """
