@@ -31,7 +31,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return audit_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
+    """The audit log that event rows, given or streamed, stand for."""
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("user_id") % 4).alias("account"), F.expr(ACTION_SQL).alias("action"), F.floor("value").alias("amount"), F.get_json_object("props", "$.k").alias("key"))
 
 
@@ -42,15 +46,10 @@ _AUDIT = f"audit AS (SELECT event_id, ts, user_id, user_id % 4 AS account, {ACTI
 
 
 def traffic(events: DataFrame) -> DataFrame:
-    """Searches, downloads and distinct users by week and in all."""
-    rows = events.withColumn("week", F.to_date(F.date_trunc("week", "ts")))
-    return rows.rollup("week").agg(F.count_if(F.col("action") == "search").alias("searches"), F.count_if(F.col("action").isin("download", "batch_download")).alias("downloads"), F.count_distinct("user_id").alias("users"))
-
-
-def rate_violations(events: DataFrame, action: str, minutes: int, limit: int) -> DataFrame:
-    """(user_id, starts, n) of tumbling windows over the limit; counted before anything else moves."""
-    counted = events.filter(F.col("action") == action).groupBy("user_id", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") > limit).select("user_id", F.col("w.start").alias("starts"), "n")
+    """(grain, starts, searches, downloads, users): by week, by month and in all, in one pass; users are distinct."""
+    grains = [F.struct(F.lit(g).alias("grain"), F.to_date(F.date_trunc(g, "ts")).alias("starts")) for g in ("week", "month")]
+    rows = events.select("user_id", "action", F.explode(F.array(*grains, F.struct(F.lit("all").alias("grain"), F.lit(None).cast("date").alias("starts")))).alias("g"))
+    return rows.groupBy("g.grain", "g.starts").agg(F.count_if(F.col("action") == "search").alias("searches"), F.count_if(F.col("action").isin("download", "batch_download")).alias("downloads"), F.count_distinct("user_id").alias("users"))
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -83,16 +82,13 @@ def total_history(events: DataFrame, keep: int = 90) -> DataFrame:
 # queries
 
 
-@query(f"WITH {_AUDIT} SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) FILTER (action = 'search') AS searches, count(*) FILTER (action IN ('download', 'batch_download')) AS downloads, count(DISTINCT user_id) AS users FROM audit GROUP BY ROLLUP (CAST(date_trunc('week', ts) AS DATE))")
-def traffic_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17 by week and in total, without months; ST3 in batch form."""
-    return traffic(audit(spark, sf_dir))
+_TRAFFIC = "count(*) FILTER (action = 'search') AS searches, count(*) FILTER (action IN ('download', 'batch_download')) AS downloads, count(DISTINCT user_id) AS users FROM audit"
 
 
-@query(f"WITH {_AUDIT} SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS starts, count(*) AS n FROM audit WHERE action = 'search' GROUP BY 1, 2 HAVING count(*) > 1")
-def rate_limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rule in the form of ST2, in batch form: searches in a UTC day; ST2's own limits are not registered."""
-    return rate_violations(audit(spark, sf_dir), "search", 24 * 60, 1)
+@query(f"WITH {_AUDIT} SELECT 'week' AS grain, CAST(date_trunc('week', ts) AS DATE) AS starts, {_TRAFFIC} GROUP BY 2 UNION ALL SELECT 'month', CAST(date_trunc('month', ts) AS DATE), {_TRAFFIC} GROUP BY 2 UNION ALL SELECT 'all', NULL, {_TRAFFIC}")
+def traffic_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17."""
+    return traffic(audit(spark, sf_dir))
 
 
 @query(
@@ -153,17 +149,6 @@ def last_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, sf_dir).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "user_id", "action")
 
 
-@query(
-    f"""WITH {_AUDIT}, s AS (SELECT user_id, CASE action WHEN 'submit_access_request' THEN 'pending' WHEN 'batch_download' THEN 'approved' WHEN 'rate_limited' THEN 'banned' END AS status, ts, event_id FROM audit)
-SELECT user_id, arg_max(status, {{'a': ts, 'b': event_id}}) AS status, count(*) AS changes FROM s WHERE status IS NOT NULL GROUP BY user_id"""
-)
-def access_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8 in part: the last change of each user's state, without guards and permission."""
-    status = F.when(F.col("action") == "submit_access_request", "pending").when(F.col("action") == "batch_download", "approved").when(F.col("action") == "rate_limited", "banned")
-    rows = audit(spark, sf_dir).withColumn("status", status).filter("status is not null")
-    return rows.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("changes"))
-
-
 def queries() -> dict[str, Query]:
     return {f"act_{k}": v for k, v in QUERIES.items()}
 
