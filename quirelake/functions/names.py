@@ -181,6 +181,15 @@ def fallback_school(path: Column, name: Column) -> Column:
     return F.coalesce(found(path, r"(?U)(\w+(?:市|縣)\w*(?:國中|國小|高中))"), found(name, r"(?U)(\w*(?:國中|國小|高中))"))
 
 
+def counted_school(name: Column, county: Column) -> Column:
+    """The school that statistics read from a file's name after its county: by the place before grade and subject in
+    第N學期 names, before the publisher in names with an id, else before the last part; grades that stand there are none."""
+    rest = F.when(F.startswith(name, F.concat(county, F.lit("_"))), F.substring(name, F.length(county) + 2, F.length(name)))
+    maker, ending, exam = "(?:" + "|".join(PUBLISHERS) + r"|\w{1,4})", r"\.(?:pdf|docx|doc)$", "(?:期中考|期末考|段考|考試)"
+    forms = [rf"^\d{{3}}_第\d學期_\w+_(.+?)_.+?_.+?(?:_解答)?{ending}", rf"^\d{{3}}_{exam}_\d+_(.+?)_{maker}{ending}", rf"^\d{{3}}[下上]學期_{exam}_\d+_(.+?)_{maker}{ending}", rf"^\d{{3}}_\w+_(?:\d+_)?(.+?)_{maker}(?:_解答)?{ending}"]
+    return bound(rest, lambda r: bound(F.coalesce(*[found(r, "(?U)" + f) for f in forms]), lambda s: F.when(~s.isin(*GRADES[:3], *GRADES[6:9]), s)))
+
+
 def title(school: Column, year: Column, term: Column, exam: Column, grade: Column, subject: Column, version: Column) -> Column:
     """Fields joined by blanks, empty ones and an unknown version left out."""
     year_text = F.concat(blank_to_null(year), F.lit("學年度"))

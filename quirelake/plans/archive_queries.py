@@ -402,3 +402,16 @@ def school_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counties, short names and archive names of all schools."""
     rows = catalog(spark, sf_dir).filter("layout <> 'full' or level <> '高中'").select("school_name", "county").distinct()
     return rows.select("school_name", "county", archive_name(F.col("school_name"), F.col("county")).alias("plain"), county_of(F.col("school_name")).alias("of_county"), short_name(F.col("school_name")).alias("short"))
+
+
+@query(
+    CATALOG_SQL
+    + """, r AS (SELECT *, grade IN ('一年級', '二年級', '三年級', '七年級', '八年級', '九年級') AS low FROM catalog WHERE layout = 'full')
+SELECT paper_id, CASE WHEN k % 10 < 5 THEN school_name WHEN k % 10 = 5 THEN CASE WHEN exam_type IN ('期中考', '期末考') THEN school_name END
+  WHEN k % 10 = 6 AND paper_or_daan = 'paper' THEN regexp_extract(filename, '_([^_]+)_[^_]+_[^_]+\\.pdf$', 1)
+  WHEN k % 10 = 7 AND paper_or_daan = 'daan' THEN subject WHEN NOT low THEN grade END AS school FROM r"""
+)
+def counted_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P34."""
+    rows = catalog(spark, sf_dir).filter("layout = 'full'")
+    return rows.select("paper_id", names.counted_school(F.col("filename"), F.col("county")).alias("school"))

@@ -1,16 +1,21 @@
-"""Every registered catalogue query against its SQL at the smallest scale."""
+"""Every registered query of the archive's jobs against its SQL at the smallest scale."""
 
 from __future__ import annotations
 
 import pytest
 
-from quirelake.operators import activity_queries as activity
-from quirelake.plans import catalog_queries as catalogue
+import __spark_entry__ as entry
 from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
-ALL = catalogue.queries() | activity.queries()
-SQL = catalogue.oracle_sql() | activity.oracle_sql()
+ALL, SQL = {}, {}
+for module in entry.MODULES:
+    ALL |= module.queries()
+    SQL |= module.oracle_sql()
+
+
+def test_every_query_has_sql():
+    assert set(ALL) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
