@@ -234,14 +234,14 @@ def cap_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH e AS ({EXAM_SQL}), c AS (SELECT k, name, CAST(y AS INT) AS year, cap AS subject, CASE form WHEN 0 THEN concat(cap, '科') ELSE '' END AS file_type FROM e WHERE form IN (0, 1)), f AS (SELECT * FROM c WHERE year >= 95)
-SELECT k, year, subject, file_type, (SELECT count(*) FROM f) AS total, CAST(greatest(ceil((SELECT count(*) FROM f) / 20.0), 1) AS BIGINT) AS pages FROM f ORDER BY year DESC, subject = '', subject, file_type = '', file_type, name LIMIT 20"""
+SELECT k, year, subject, file_type, (SELECT count(*) FROM f) AS total, CAST(greatest(ceil((SELECT count(*) FROM f) / 20.0), 1) AS BIGINT) AS pages FROM f ORDER BY year DESC, subject = '', subject, file_type = '', file_type, name, k LIMIT 20"""
 )
 def browse_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a page of junior exams, latest first, blank subjects and kinds last."""
     rows = derived(spark, sf_dir, EXAM_SQL, "part").filter("form in (0, 1)").select("k", "name", F.col("y").cast("int").alias("year"))
     items = names.computed(rows, of=exams.cap_name(F.col("name"))).select("k", "name", "year", "of.subject", "of.file_type").filter("year >= 95")
     total = items.agg(F.count("*").alias("total"))
-    order = [F.desc("year"), F.expr("subject = ''"), F.asc("subject"), F.expr("file_type = ''"), F.asc("file_type"), F.asc("name")]
+    order = [F.desc("year"), F.expr("subject = ''"), F.asc("subject"), F.expr("file_type = ''"), F.asc("file_type"), F.asc("name"), F.asc("k")]
     return items.orderBy(*order).limit(20).join(F.broadcast(total)).select("k", "year", "subject", "file_type", "total", F.greatest(F.ceil(F.col("total") / 20), F.lit(1)).alias("pages"))
 
 
