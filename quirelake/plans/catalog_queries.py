@@ -73,8 +73,9 @@ _KEYS = "school_name, school_year, school_term, exam_type, grade, subject, versi
 
 @query(CATALOG_SQL + "SELECT paper_id, rel_path, county, level, grade, subject, school_year, school_term, exam_type, fileid, school_name, version, paper_or_daan, size_kb, mtime FROM catalog")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P3 to P8, P11, IO3, W2: listing to catalogue, from the start."""
-    return jobs.build_catalog(seed.listing(spark, sf_dir)).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
+    """P1, P3 to P8, P11, IO3, W2: listing to catalogue, built and written anew."""
+    _WRITTEN.pop((spark.sparkContext.applicationId, sf_dir), None)
+    return catalog(spark, sf_dir).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
 
 
 @query(
