@@ -115,7 +115,7 @@ def usable_cover(text: Column) -> Column:
 def homepage_total(html: Column) -> Column:
     """The number that a home page says it has papers: before 份中小學試卷, tags and repeated blanks left out."""
     plain = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")
-    return F.coalesce(found(plain, r"Studyark\s*-\s*(\d+)\s*份\s*中小學試卷"), found(plain, r"(\d+)\s*份\s*中小學試卷")).cast("int")
+    return found(plain, r"(\d+)\s*份\s*中小學試卷").cast("int")
 
 
 def limit_minutes(message: Column) -> Column:

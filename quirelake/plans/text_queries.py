@@ -96,7 +96,7 @@ _MESSAGE = "CASE event_id % 5 WHEN 0 THEN concat('你下載太頻繁,請等待 '
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7, T8, ST8: minutes that messages ask to wait, totals of home pages, ages in words."""
     rows = read(spark, sf_dir, "events").select("event_id", F.expr(_MESSAGE).alias("message"))
-    page = F.when(F.col("event_id") % 5 == 3, F.concat(F.lit("<h1>學習方舟 Studyark -<span>"), F.col("event_id") + 20000, F.lit("</span>\n份中小學試卷</h1>"))).otherwise("<h1>無</h1>")
+    page = F.when(F.col("event_id") % 5 == 3, F.concat(F.lit("<h1>首頁 -<span>"), F.col("event_id") + 20000, F.lit("</span>\n份中小學試卷</h1>"))).otherwise("<h1>無</h1>")
     i = F.col("event_id")
     age = F.when((i % 3 == 0) & (i % 40 < 30), i % 40).when(i % 3 == 1, (i % 59 + 1) * 60 + i % 60).when(i % 3 == 2, (i % 23 + 1) * 3600 + i % 3600).otherwise((i % 40 - 29) * 86400)
     return rows.select("event_id", texts.limit_minutes(F.col("message")).alias("minutes"), texts.homepage_total(page).cast("long").alias("papers"), texts.freshness(age).alias("age"))
