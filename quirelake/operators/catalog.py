@@ -18,11 +18,6 @@ FACETS = ["school_year", "grade", "subject", "exam_type", "school_term", "versio
 NEWEST = ["mtime", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
 
 
-def newest() -> list[Column]:
-    """Newest first, in a total order."""
-    return [F.desc_nulls_last("mtime"), *[F.desc(c) for c in NEWEST[1:]]]
-
-
 def newest_paths(listing: DataFrame, faithful_dump_path: bool = False) -> DataFrame:
     """The newest row of each catalogued path, with paper_id and the path it was found at (``found_at``). A maximum by
     the order columns, combined before the one shuffle; nothing is parsed for rows that go."""
@@ -68,17 +63,24 @@ def build_catalog(listing: DataFrame, faithful_dump_path: bool = False) -> DataF
     return out.select("*", titled.alias("title"), *[c.cast("int").alias(n) for n, c in flags.items()])
 
 
-def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
-
-
-def upsert(current: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Newest row of the batch per paper_id and then per rel_path, and the current rows that share neither key with it."""
-    by = order or newest()
-    new = newest_per(newest_per(batch, ["paper_id"], by), ["rel_path"], [*by, F.asc("paper_id")])
-    stay = current.join(new.select("paper_id"), "paper_id", "left_anti").join(new.select("rel_path"), "rel_path", "left_anti")
-    return new.unionByName(stay.select(new.columns))
+def last_by_both_keys(rows: DataFrame, order: list[str], keys: tuple[str, str] = ("paper_id", "rel_path")) -> DataFrame:
+    """What is left when rows go in one after another, in ``order`` (ties by the keys), and each replaces all that share
+    either key with it. A row goes as soon as a later one shares a key, whatever becomes of that one, so it stays just if
+    it is the last of all rows both in its id group and in its path group. Two maxima, each combined before its shuffle,
+    and one join of their results; a key may hold any share of the rows. Neither key is null."""
+    one, other = keys
+    rest = [c for c in rows.columns if c not in (one, other, *order)]
+    last = rows.groupBy(one).agg(F.max(F.struct(*order, other, *rest)).alias("x")).select(one, "x.*")
+    by_other = rows.groupBy(other).agg(F.max(F.struct(*order, one)).alias("last_here"))
+    kept = last.join(by_other, other).filter(F.struct(*order, one).eqNullSafe(F.col("last_here")))
+    return kept.select(*rows.columns)
+
+
+def upsert(current: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Batch rows put into the current ones in ascending ``order`` of these columns, each in place of all rows, old or of
+    the batch, that share its paper_id or its rel_path."""
+    both = current.withColumn("_turn", F.lit(0)).unionByName(batch.withColumn("_turn", F.lit(1)))
+    return last_by_both_keys(both, ["_turn", *(order or NEWEST)]).drop("_turn")
 
 
 def delete_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:

@@ -182,7 +182,9 @@ def missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OLD, _NEW = "(l_linenumber <= 4)", "(l_linenumber >= 3)"
-_MOVED = "k % 17 = 0"
+#: A batch's rows in turn: condition on the order, first letter of the id (none: as it is), folder before the path. Ids and
+#: paths change hands up to four times, so rows are replaced by rows that are replaced themselves.
+_TURNS = [("true", "", ""), ("k % 5 = 0", "m", ""), ("k % 5 = 0", "m", "moved/"), ("k % 15 = 0", "", "moved/"), ("k % 15 = 5", "x", "")]
 
 
 def _newest_sql(where: str) -> str:
@@ -191,19 +193,25 @@ def _newest_sql(where: str) -> str:
 
 @query(
     ROWS_SQL
-    + f"""old AS ({_newest_sql(_OLD)}),
-new AS (SELECT * REPLACE (CASE WHEN {_MOVED} THEN concat('m', substr(paper_id, 2)) ELSE paper_id END AS paper_id) FROM ({_newest_sql(_NEW)}))
-SELECT paper_id, rel_path, size_kb, mtime, 'new' AS came_from FROM new
-UNION ALL SELECT paper_id, rel_path, size_kb, mtime, 'old' FROM old WHERE paper_id NOT IN (SELECT paper_id FROM new) AND rel_path NOT IN (SELECT rel_path FROM new)"""
+    + f"""old AS ({_newest_sql(_OLD)}), new AS ({_newest_sql(_NEW)}),
+turns AS (SELECT paper_id, rel_path, size_kb, mtime, 'old' AS came_from, 0 AS turn FROM old UNION ALL """
+    + " UNION ALL ".join(f"SELECT {f"'{letter}' || substr(paper_id, 2)" if letter else 'paper_id'}, '{folder}' || rel_path, size_kb, mtime, 'new', {n + 1} FROM new WHERE {when}" for n, (when, letter, folder) in enumerate(_TURNS))
+    + """)
+SELECT paper_id, rel_path, size_kb, mtime, came_from, turn FROM turns
+QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY turn DESC) = 1 AND row_number() OVER (PARTITION BY rel_path ORDER BY turn DESC) = 1"""
 )
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: a batch of later line items over a catalogue of earlier ones; a batch row replaces what has its id or its
-    path, and some of the batch have a new id on an old path."""
+    path, old rows and rows of the same batch that came before it."""
     rows = seed.listing(spark, sf_dir)
     old, new = jobs.build_catalog(rows.filter("l_linenumber <= 4")), jobs.build_catalog(rows.filter("l_linenumber >= 3"))
-    new = new.withColumn("paper_id", F.when(F.expr(_MOVED), F.concat(F.lit("m"), F.substring("paper_id", 2, 15))).otherwise(F.col("paper_id")))
-    done = jobs.upsert(old.withColumn("came_from", F.lit("old")), new.withColumn("came_from", F.lit("new")))
-    return done.select("paper_id", "rel_path", "size_kb", "mtime", "came_from")
+    turns = [
+        F.when(F.expr(when), F.struct((F.concat(F.lit(letter), F.substring("paper_id", 2, 15)) if letter else F.col("paper_id")).alias("paper_id"), F.concat(F.lit(folder), "rel_path").alias("rel_path"), F.lit(n + 1).alias("turn")))
+        for n, (when, letter, folder) in enumerate(_TURNS)
+    ]
+    batch = new.withColumn("x", F.explode(F.array_compact(F.array(*turns)))).select("x.*", *[c for c in new.columns if c not in ("paper_id", "rel_path")], F.lit("new").alias("came_from"))
+    done = jobs.upsert(old.withColumns({"came_from": F.lit("old"), "turn": F.lit(0)}), batch, ["turn", *jobs.NEWEST])
+    return done.select("paper_id", "rel_path", "size_kb", "mtime", "came_from", "turn")
 
 
 def _updates(rows: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def test_relaxed_search(spark):
 def test_upsert_by_either_key(spark):
     old = spark.createDataFrame([("a", "p1", 1), ("b", "p2", 1), ("c", "p3", 1)], "paper_id string, rel_path string, n int")
     new = spark.createDataFrame([("a", "p9", 2), ("x", "p2", 2)], "paper_id string, rel_path string, n int")
-    got = {tuple(r) for r in jobs.upsert(old, new, [F.desc("n")]).collect()}
+    got = {tuple(r) for r in jobs.upsert(old, new, ["n"]).collect()}
     assert got == {("a", "p9", 2), ("x", "p2", 2), ("c", "p3", 1)}
 
 
