@@ -18,21 +18,21 @@ FACETS = ["school_year", "grade", "subject", "exam_type", "school_term", "versio
 NEWEST = ["mtime", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
 
 
-def newest_paths(listing: DataFrame, faithful_dump_path: bool = False) -> DataFrame:
+def newest_paths(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:
     """The newest row of each catalogued path, with paper_id and the path it was found at (``found_at``). A maximum by
     the order columns, combined before the one shuffle; nothing is parsed for rows that go."""
     rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP)).withColumnRenamed("rel_path", "found_at")
     rows = names.computed(rows, rel_path=names.canonical_path(F.col("found_at"), faithful_dump_path))
-    order = [c for c in NEWEST if c in listing.columns]
+    order = [c for c in order or NEWEST if c in listing.columns]
     rest = [c for c in rows.columns if c not in order]
     kept = rows.groupBy(names.paper_id(F.col("rel_path")).alias("paper_id")).agg(F.max(F.struct(*order, *rest)).alias("x"))
     return kept.select("paper_id", "x.*")
 
 
-def build_catalog(listing: DataFrame, faithful_dump_path: bool = False) -> DataFrame:
+def build_catalog(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:
     """Listing rows (rel_path, size_kb, mtime, ...) to catalogue rows with ids, parsed fields, title and flags, one for
     each path."""
-    rows = names.computed(newest_paths(listing, faithful_dump_path), at=names.layout(F.col("found_at")), filename=names.file_name(F.col("found_at")))
+    rows = names.computed(newest_paths(listing, faithful_dump_path, order), at=names.layout(F.col("found_at")), filename=names.file_name(F.col("found_at")))
     rows = names.computed(rows.filter("at is not null"), of=names.parse_file_name(F.col("filename"), F.col("at.county")))
     blank = names.blank_to_null
     folder = F.when(F.col("at.layout") == "dump", F.get(F.split("found_at", "/"), F.lit(3)))
@@ -76,6 +76,17 @@ def last_by_both_keys(rows: DataFrame, order: list[str], keys: tuple[str, str] =
     return kept.select(*rows.columns)
 
 
+def last_by_either_key(rows: DataFrame, order: list[str], keys: tuple[str, str] = ("paper_id", "rel_path")) -> DataFrame:
+    """The rows that are the last of their id or of their path: all that can matter once more rows come, of any age.
+    A row that is the last of one key only is gone itself, but what shares that key and is older goes by it."""
+    one, other = keys
+    rest = lambda key: [c for c in rows.columns if c != key and c not in order]
+    last = [rows.groupBy(k).agg(F.max(F.struct(*order, *sorted(rest(k), key=lambda c: c not in keys))).alias("x")).select(k, "x.*") for k in keys]
+    here = last[0].select(one, F.struct(*order, other).alias("last_here"))
+    gone = last[1].join(here, one).filter(~F.struct(*order, other).eqNullSafe(F.col("last_here")))
+    return last[0].select(*rows.columns).unionByName(gone.select(*rows.columns))
+
+
 def upsert(current: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Batch rows put into the current ones in ascending ``order`` of these columns, each in place of all rows, old or of
     the batch, that share its paper_id or its rel_path."""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirelake.operators import activity_queries
+from quirelake.operators import activity_queries, catalog
 from quirelake.operators.activity_queries import _AUDIT, audit_rows
 from quirelake.plans import seed
-from quirelake.plans.catalog_queries import _NEW, _OLD, ROWS_SQL, _newest_sql
+from quirelake.plans.catalog_queries import _NEWEST, ROWS_SQL
 from quirelake.plans.registry import Registry
 from quirelake.sources import store
 from quirelake.streaming import jobs
@@ -124,13 +124,18 @@ def unique_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ROWS_SQL
-    + f"""old AS ({_newest_sql(_OLD)}), new AS ({_newest_sql(_NEW)})
-SELECT paper_id, rel_path, size_kb, mtime FROM new UNION ALL SELECT paper_id, rel_path, size_kb, mtime FROM old WHERE paper_id NOT IN (SELECT paper_id FROM new)"""
+    + """walked AS (SELECT *, unnest(range(greatest(l_linenumber - 2, 0), least(l_linenumber + 1, 8))) AS walk FROM rows_)
+SELECT paper_id, rel_path, size_kb, mtime, walk FROM walked QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY walk DESC, """
+    + _NEWEST
+    + ") = 1"
 )
 def catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: a listing that comes in two lots, laid over the catalogue one after the other."""
+    """ST1: a listing that comes in eight walks of the archive, each line item seen by three of them; of a path the row of the
+    last walk that saw it counts, whatever the order in which the walks' files are read."""
     root, rows = store.new_path(spark, "listing"), seed.listing(spark, sf_dir)
-    for lot in ("l_linenumber <= 4", "l_linenumber >= 3"):
-        rows.filter(lot).coalesce(1).write.mode("append").parquet(f"{root}/files")
-    listing = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
-    return jobs.stream_catalog(listing, f"{root}/catalog")().select("paper_id", "rel_path", "size_kb", "mtime")
+    walks = F.sequence(F.greatest(F.col("l_linenumber") - 2, F.lit(0)), F.least(F.col("l_linenumber"), F.lit(7)))
+    seen = rows.withColumn("walk", F.explode(walks)).withColumn("walk", F.col("walk").cast("int"))
+    seen.repartition("walk").write.partitionBy("walk").parquet(f"{root}/files")
+    listing = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
+    found = jobs.stream_catalog(listing, f"{root}/catalog", ["walk", *catalog.NEWEST], most=3).read()
+    return found.select("paper_id", "rel_path", "size_kb", "mtime", "walk")

@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quirelake.operators import catalog as jobs
 from quirelake.sources import store
+from quirelake.sources.versions import Versions
 
 
 def rate_violations(events: DataFrame, actions: list[str], limit: int, window: str = "1 minute", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
@@ -110,20 +111,16 @@ def cooldown_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("account").applyInPandasWithState(follow, "event_id long, account long", "day string, until long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_catalog(listing: DataFrame, root: str) -> Callable[[], DataFrame]:
-    """ST1: keeps a catalogue up to date with a streaming listing: each micro-batch is parsed and laid over the version
-    before it, and written as the next version. A version is named by its batch, so a repeated batch writes the same
-    again. Runs what is there and returns a reader of the last version."""
-    spark, last = listing.sparkSession, [-1]
+def stream_catalog(listing: DataFrame, root: str, order: list[str] | None = None, most: int = 8) -> Versions:
+    """ST1: keeps a catalogue up to date with a streaming listing: each micro-batch is parsed and written as a delta over
+    the parts before it (see ``sources.versions``). Runs what is there and returns the versions."""
+    versions = Versions(listing.sparkSession, root, order, most)
 
     def write(batch: DataFrame, number: int) -> None:
-        new = jobs.build_catalog(batch)
-        rows = new if number == 0 else jobs.upsert(spark.read.schema(new.schema).parquet(f"{root}/v{number - 1}"), new)
-        rows.write.mode("overwrite").parquet(f"{root}/v{number}")
-        last[0] = max(last[0], number)
+        versions.put(jobs.build_catalog(batch, order=order), number)
 
     listing.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return lambda: spark.read.parquet(f"{root}/v{last[0]}")
+    return versions
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
