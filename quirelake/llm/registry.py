@@ -72,11 +72,10 @@ def tails_repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the end of every tenth text, by the crc32 of its id, replaced by repeats of its own words."""
     h = F.crc32(F.col("doc_id").cast("string"))
     chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
-    n, g = F.size("words"), F.col("g")
-    placed = chosen.filter("words is not null and size(words) > 0").withColumn("a", g % n).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
-    word = lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
-    repeated = placed.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ").alias("text"))
-    return chosen.filter("words is null or size(words) = 0").select("doc_id", "text").unionByName(repeated)
+    n, g, a, p = F.size("words"), F.col("g"), F.col("a"), F.col("p")
+    placed = chosen.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - a) / (3 + g % 8)))
+    word = lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
