@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirelake.operators import activity_queries, catalog
+from quirelake.operators import activity_queries, catalog, limits
 from quirelake.operators.activity_queries import _AUDIT, audit_rows
 from quirelake.plans import seed
 from quirelake.plans.catalog_queries import _NEWEST, ROWS_SQL
 from quirelake.plans.registry import Registry
 from quirelake.sources import store
-from quirelake.streaming import jobs
+from quirelake.streaming import jobs, ordered
 
 _registry = Registry("str")
 query, queries, oracle_sql = _registry.query, _registry.queries, _registry.oracle_sql
@@ -48,15 +47,19 @@ def tumbling_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.filter("n > most").select("rule", "user_id", "starts", "n")
 
 
-@query(f"WITH {_BUSY} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, user_id, event_id, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {s * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM busy WHERE action IN {_in(a)}) WHERE n > {m}" for n, a, s, m in LIMITS[:3]))
+def lopsided(rows: DataFrame) -> DataFrame:
+    """The busy log with nine tenths of it by one user."""
+    return busy(rows.withColumn("whole", F.col("user_id"))).withColumn("user_id", F.when(F.col("whole") % 10 == 0, F.col("whole") % 50).otherwise(7)).drop("whole")
+
+
+_LOPSIDED = _BUSY.replace("user_id % 2 AS user_id", "CASE WHEN user_id % 10 = 0 THEN user_id % 50 ELSE 7 END AS user_id")
+
+
+@query(f"WITH {_LOPSIDED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, user_id, event_id, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {s * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM busy WHERE action IN {_in(a)}) WHERE n > {m}" for n, a, s, m in LIMITS))
 def sliding_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: requests that exceed a limit over the time just before them."""
-    rows = busy(activity_queries.audit(spark, sf_dir)).withColumn("us", F.unix_micros("ts"))
-    out = []
-    for n, a, s, m in LIMITS[:3]:
-        w = W.partitionBy("user_id").orderBy("us").rangeBetween(1 - s * 1_000_000, 0)
-        out.append(rows.filter(F.col("action").isin(*a)).withColumn("n", F.count("*").over(w)).filter(F.col("n") > m).select(F.lit(n).alias("rule"), "user_id", "event_id", "n"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """ST2: requests that exceed one of the five limits over the time just before them, one user with nine tenths of the log."""
+    counted = limits.sliding_counts(lopsided(activity_queries.audit(spark, sf_dir)), LIMITS)
+    return counted.filter("n > most").select("rule", F.col("user").alias("user_id"), "event_id", "n")
 
 
 @query(
@@ -91,28 +94,30 @@ _CACHE = f"""WITH RECURSIVE {_AUDIT}, r AS (SELECT event_id, key, ts, row_number
 walk AS (SELECT key, n, event_id, ts, ts AS missed, 'miss' AS outcome FROM r WHERE n = 1
   UNION ALL SELECT r.key, r.n, r.event_id, r.ts, CASE WHEN r.ts < w.missed + INTERVAL '1 hour' THEN w.missed ELSE r.ts END, CASE WHEN r.ts < w.missed + INTERVAL '1 hour' THEN 'hit' ELSE 'miss' END FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1)
 SELECT event_id, key, outcome FROM walk"""
+#: Rows that a watermark of ten minutes, which is in milliseconds, has passed at the end.
+_PASSED = "ceil(epoch_us(ts) / 1000.0) < (SELECT floor(max(epoch_us(ts)) / 1000.0) - 600000 FROM {})"
 
 
 @query(_CACHE)
 def cache_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5 in batch form."""
-    return jobs.cache_outcomes(activity_queries.audit(spark, sf_dir).filter("action = 'search'"))
+    return limits.cache_outcomes(activity_queries.audit(spark, sf_dir).filter("action = 'search'"))
 
 
-@query(_CACHE)
+@query(f"{_CACHE} WHERE {_PASSED.format('r')}")
 def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5 as a stream with state."""
-    return jobs.drained(jobs.cache_outcomes_stream(audit_stream(spark, sf_dir).filter("action = 'search'")), "cache")
+    """ST5 as a stream with state and timers: requests that the watermark has passed."""
+    return jobs.drained(ordered.cache_outcomes_stream(audit_stream(spark, sf_dir).filter("action = 'search'")), "cache", state_store=ordered.STORE)
 
 
 @query(
-    f"""WITH {_AUDIT}, r AS (SELECT *, CAST(ts + INTERVAL '8 hours' AS DATE) AS day, CASE WHEN action = 'rate_limited' THEN ts + to_minutes(amount % 60) END AS until FROM audit),
+    f"""WITH {_AUDIT}, r AS (SELECT *, CAST(ts + INTERVAL '8 hours' AS DATE) AS day, CASE WHEN action = 'rate_limited' THEN ts + to_minutes(amount % 60) END AS until FROM audit WHERE action IN ('download', 'rate_limited')),
 c AS (SELECT *, last_value(until IGNORE NULLS) OVER (PARTITION BY account, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cooling FROM r)
-SELECT event_id, account FROM c WHERE action = 'download' AND ts < cooling"""
+SELECT event_id, account FROM c WHERE action = 'download' AND ts < cooling AND {_PASSED.format('r')}"""
 )
 def cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST6, J10 as a stream with state."""
-    return jobs.drained(jobs.cooldown_stream(audit_stream(spark, sf_dir)), "cooldown")
+    """ST6, J10 as a stream with state and timers: attempts that the watermark has passed."""
+    return jobs.drained(ordered.cooldown_stream(audit_stream(spark, sf_dir)), "cooldown", state_store=ordered.STORE)
 
 
 @query(f"WITH {_AUDIT} SELECT user_id, key, count(*) AS n FROM (SELECT DISTINCT user_id, key FROM audit WHERE action IN ('download', 'batch_download')) GROUP BY ALL")

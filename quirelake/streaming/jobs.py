@@ -6,19 +6,16 @@ come later than that are left out. The same functions take batch DataFrames, whe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quirelake.operators import catalog as jobs
 from quirelake.sources import store
 from quirelake.sources.versions import Versions
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def rate_violations(events: DataFrame, actions: list[str], limit: int, window: str = "1 minute", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
     """(user_id, starts, ends, n): windows, tumbling or sliding, in which a user acts more often than the limit."""
@@ -45,72 +42,6 @@ def unique_downloads(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["user_id", "key"])
 
 
-def _outcomes(ts: list[pd.Timestamp], missed: pd.Timestamp | None, ttl: timedelta) -> tuple[list[str], pd.Timestamp | None]:
-    """hit or miss of each request in order of time; a miss fills the cache for ``ttl``, a hit does not extend that."""
-    out = []
-    for t in ts:
-        hit = missed is not None and t < missed + ttl
-        missed = missed if hit else t
-        out.append("hit" if hit else "miss")
-    return out, missed
-
-
-def cache_outcomes(requests: DataFrame, ttl: timedelta = timedelta(hours=1)) -> DataFrame:
-    """Batch form: (event_id, key, outcome). Rows of a key come in order of time, and a task keeps one moment for the key it
-    is at, so a key may have any number of requests."""
-
-    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, missed = None, None
-        for frame in frames:
-            outcome: list[str] = []
-            for key, some in frame.groupby("key", sort=False):
-                found, missed = _outcomes(list(some["ts"]), missed if key == at else None, ttl)
-                at = key
-                outcome += found
-            yield frame.assign(outcome=outcome)[["event_id", "key", "outcome"]]
-
-    rows = requests.filter("key is not null").select("event_id", "key", "ts")
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(follow, "event_id long, key string, outcome string")
-
-
-def cache_outcomes_stream(requests: DataFrame, ttl: timedelta = timedelta(hours=1)) -> DataFrame:
-    """Streaming form: the state of a key is the moment of its last miss. A micro-batch's requests of one key are put in
-    order in a task, so ``maxFilesPerTrigger`` bounds what it holds."""
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        missed = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        outcome, missed = _outcomes(list(frame["ts"]), missed, ttl)
-        state.update((int(missed.value // 1000),))
-        yield pd.DataFrame({"event_id": frame["event_id"], "key": key[0], "outcome": outcome})
-
-    rows = requests.filter("key is not null").select("event_id", "key", "ts")
-    return rows.groupBy("key").applyInPandasWithState(follow, "event_id long, key string, outcome string", "missed long", "append", GroupStateTimeout.NoTimeout)
-
-
-def cooldown_stream(events: DataFrame) -> DataFrame:
-    """(event_id, account): downloads that an account tries while it cools down. The state of an account is the local day
-    and the end of its latest cooldown; a new local day begins without one."""
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        day, until = state.get if state.exists else ("", 0)
-        hits = []
-        for event, action, today, at, end in zip(frame["event_id"], frame["action"], frame["day"], frame["us"], frame["until"], strict=True):
-            if today != day:
-                day, until = today, 0
-            if action == "download" and at < until:
-                hits.append(event)
-            if action == "rate_limited":
-                until = int(end)
-        state.update((day, until))
-        yield pd.DataFrame({"event_id": hits, "account": [key[0]] * len(hits)})
-
-    micros = F.unix_micros("ts")
-    rows = events.filter(F.col("action").isin("download", "rate_limited")).select("event_id", "account", "action", "ts", F.to_date(F.from_utc_timestamp("ts", "Asia/Taipei")).cast("string").alias("day"), micros.alias("us"), (micros + (F.col("amount") % 60) * 60_000_000).alias("until"))
-    return rows.groupBy("account").applyInPandasWithState(follow, "event_id long, account long", "day string, until long", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_catalog(listing: DataFrame, root: str, order: list[str] | None = None, most: int = 8) -> Versions:
     """ST1: keeps a catalogue up to date with a streaming listing: each micro-batch is parsed and written as a delta over
     the parts before it (see ``sources.versions``). Runs what is there and returns the versions."""
@@ -123,19 +54,25 @@ def stream_catalog(listing: DataFrame, root: str, order: list[str] | None = None
     return versions
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", state_store: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now and returns the rows it gave out, from the shared folder."""
     spark, root = stream.sparkSession, store.new_path(stream.sparkSession, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").start(f"{root}/rows").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/{number}")
-
-    writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{root}/rows")
+    before = spark.conf.get(PROVIDER)
+    if state_store:
+        spark.conf.set(PROVIDER, state_store)
+    try:
+        if mode == "append":
+            writer.format("parquet").start(f"{root}/rows").awaitTermination()
+            return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/{number}")
+
+        writer.foreachBatch(write).start().awaitTermination()
+        return spark.read.option("recursiveFileLookup", True).schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{root}/rows")
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
