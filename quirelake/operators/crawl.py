@@ -6,21 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirelake.functions import links
+from quirelake.functions import links, markup
 from quirelake.functions.names import blank_to_null, found
 from quirelake.sources import store
 
-_ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
-
-
-def plain_text(html: Column) -> Column:
-    """Text without tags, repeated blanks and the five usual entities."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
-
-
 def absolute_url(base: Column, href: Column) -> Column:
     """``href`` as a link on the page ``base``: whole urls, those without scheme, from the root, from the page's folder, and
     queries; one and two dots are resolved as far as the path goes."""
@@ -42,15 +31,19 @@ def absolute_url(base: Column, href: Column) -> Column:
     )
 
 
+def text_of(element: Column, between: str = " ") -> Column:
+    """The texts inside an element."""
+    return F.array_join(F.slice("texts", element["first"] + 1, element["last"] - element["first"]), between)
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) to anchors in order: (page_id, place, url, label, page_title, is_file). Links that lead
     nowhere (javascript, mail, telephone, a place in the page, none) are left out. Comments and scripts are not read."""
-    body = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    title = plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
-    hrefs, texts = F.regexp_extract_all("body", F.lit(_ANCHOR), F.lit(1)), F.regexp_extract_all("body", F.lit(_ANCHOR), F.lit(2))
-    rows = pages.select("page_id", F.col("url").alias("base"), body.alias("body"), title.alias("page_title"))
-    each = rows.select("page_id", "base", "page_title", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("place", "a"))
-    each = each.select("page_id", "base", "page_title", "place", F.trim(F.replace(F.col("a.href"), F.lit("&amp;"), F.lit("&"))).alias("href"), plain_text(F.col("a.text")).alias("label"))
+    rows = markup.with_elements(pages.select("page_id", F.col("url").alias("base"), "html"), ["a", "title"])
+    title = F.get(F.filter("elements", lambda e: e["name"] == "title"), F.lit(0))
+    anchors = F.filter("elements", lambda e: (e["name"] == "a") & e["attrs"]["href"].isNotNull())
+    named = F.transform(anchors, lambda e: F.struct(F.trim(F.regexp_replace(e["attrs"]["href"], r"^\s+|\s+$", "")).alias("href"), text_of(e).alias("label")))
+    each = rows.select("page_id", "base", F.coalesce(text_of(title), F.lit("")).alias("page_title"), F.posexplode(named).alias("place", "a")).select("page_id", "base", "page_title", "place", "a.*")
     some = each.filter((F.col("href") != "") & ~F.col("href").rlike("^(?:javascript:|mailto:|tel:|#)"))
     made = some.withColumn("url", absolute_url(F.col("base"), F.col("href")))
     return made.select("page_id", "place", "url", "label", "page_title", links.is_file_link(F.col("url"), F.col("label")).alias("is_file"))
@@ -109,14 +102,19 @@ def bulletin_entries(documents: DataFrame) -> DataFrame:
 
 
 def school_list(pages: DataFrame) -> DataFrame:
-    """Directory pages (page_id, html) to (page_id, category, name, url, has_answer, link_type, county): items of the list
-    below each summary, but for collections of national exams."""
-    section = r"(?is)<summary[^>]*>(.*?)</summary>\s*<ul[^>]*>(.*?)</ul>"
-    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(section), F.lit(1)).alias("summary"), F.regexp_extract_all("html", F.lit(section), F.lit(2)).alias("items"))
-    sections = pages.select("page_id", F.explode(zipped).alias("s")).select("page_id", plain_text(F.col("s.summary")).alias("summary"), F.col("s.items").alias("items"))
-    kind = F.when(F.contains("summary", F.lit("國中")), "junior").when(F.contains("summary", F.lit("高中")), "senior").when(F.contains("summary", F.lit("國小")), "elementary")
-    items = sections.select("page_id", kind.alias("category"), F.explode(F.regexp_extract_all("items", F.lit(r"(?is)(<li\b.*?</li>)"), F.lit(1))).alias("li")).filter("category is not null")
-    name, url = plain_text(F.regexp_extract("li", r"(?is)<a\b[^>]*>(.*?)</a>", 1)), F.regexp_extract("li", r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)", 1)
-    rows = items.select("page_id", "category", name.alias("name"), url.alias("url"), (~F.col("li").rlike(r"(?i)^<li[^>]*\bnoanswer\b")).alias("has_answer"))
+    """Directory pages (page_id, html) to (page_id, category, name, url, has_answer, link_type): of each summary that names a
+    kind of school, the items of the first list in the element it is in, but for collections of national exams; lists
+    inside an item belong to the item."""
+    rows = markup.with_elements(pages.select("page_id", "html")).select("page_id", "texts", "elements", F.explode(F.filter("elements", lambda e: e["name"] == "summary")).alias("s"))
+    told = text_of(F.col("s"), "")
+    kind = F.when(F.contains(told, F.lit("國中")), "junior").when(F.contains(told, F.lit("高中")), "senior").when(F.contains(told, F.lit("國小")), "elementary")
+    of = lambda name, inside: F.filter("elements", lambda e: (e["name"] == name) & inside(e))
+    parent = F.get(F.filter("elements", lambda e: e["at"] == F.col("s.parent")), F.lit(0))
+    around = rows.select("page_id", "texts", "elements", kind.alias("category"), parent.alias("parent")).filter("category is not null")
+    first = F.get(of("ul", lambda e: F.col("parent").isNull() | (e["at"] > F.col("parent.at")) & (e["at"] < F.col("parent.until"))), F.lit(0))
+    listed = around.withColumn("ul", first).withColumn("li", F.explode(of("li", lambda e: e["parent"] == F.col("ul.at"))))
+    linked = listed.withColumn("a", F.get(of("a", lambda e: (e["at"] > F.col("li.at")) & (e["at"] < F.col("li.until"))), F.lit(0)))
+    answered = ~F.coalesce(F.array_contains(F.split(F.col("li.attrs")["class"], r"\s+"), "noanswer"), F.lit(False))
+    found_ = linked.select("page_id", "category", text_of(F.col("a"), "").alias("name"), F.col("a.attrs")["href"].alias("url"), answered.alias("has_answer"))
     past = F.contains("name", F.lit("歷屆")) & (F.contains("name", F.lit("會考")) | F.contains("name", F.lit("學測")))
-    return rows.filter((F.col("name") != "") & (F.col("url") != "") & ~past).withColumn("link_type", links.link_type(F.col("url")))
+    return found_.filter((F.col("name") != "") & (F.col("url") != "") & ~past).withColumn("link_type", links.link_type(F.col("url")))

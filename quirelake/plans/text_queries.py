@@ -295,7 +295,7 @@ _DIRECTORY = "SELECT s_suppkey AS page_id, concat('<details><summary>國中段
 
 
 @query(
-    """SELECT s_suppkey AS page_id, 'junior' AS category, concat('高雄市立 A', s_suppkey) AS name, concat('http://a', s_suppkey, '.edu.tw') AS url, true AS has_answer, 'school_web' AS link_type, '高雄市' AS county FROM supplier
+    """SELECT s_suppkey AS page_id, 'junior' AS category, concat('高雄市立A', s_suppkey) AS name, concat('http://a', s_suppkey, '.edu.tw') AS url, true AS has_answer, 'school_web' AS link_type, '高雄市' AS county FROM supplier
 UNION ALL SELECT s_suppkey, 'junior', '武陵B', 'https://drive.google.com/x', false, 'drive', '桃園市' FROM supplier"""
 )
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
