@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.functions import names, schools
+from quirelake.operators import skew
 
 #: Top folders that a listing leaves out.
 SKIP = ["state", "logs", "_inbox", "_internal", "_待分類", "其他X", "未分類", "cap_exam", "ceec"]
@@ -164,6 +165,22 @@ def archive_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def status_counts(rows: DataFrame, national: DataFrame) -> DataFrame:
+    """One row of the archive's status: PDF files of the catalogue by level, those of them that are question sheets, and
+    PDF files of national exams (rel_path), which lie in folders of their own; generic ones of ceec are left out. The
+    total counts both."""
+    pdf = lambda c: F.endswith(F.col(c), F.lit(".pdf"))
+    parts = F.split("rel_path", "/")
+    top = F.get(parts, F.lit(0))
+    counted = (top == "cap_exam") | (top == "ceec") & ~F.array_contains(F.slice(parts, 1, F.size(parts) - 1), "_generic")
+    here = rows.filter(pdf("filename")).select("level", (F.col("paper_or_daan") == "paper").alias("paper"), F.lit(None).cast("string").alias("exam"))
+    there = national.filter(pdf("rel_path") & counted).select(F.lit(None).cast("string").alias("level"), F.lit(False).alias("paper"), top.alias("exam"))
+    levels = {"primary": "國小", "junior": "國中", "senior": "高中"}
+    each = [F.count_if(F.col("level") == v).alias(f"{k}_count") for k, v in levels.items()] + [F.count_if((F.col("level") == v) & F.col("paper")).alias(f"{k}_papers") for k, v in levels.items()]
+    exams = [F.count_if(F.col("exam") == v).alias(f"{k}_count") for k, v in (("cap", "cap_exam"), ("ceec", "ceec"))]
+    return here.unionByName(there).agg(F.count("*").alias("pdf_count"), *exams, *each)
+
+
 def archive_top(rows: DataFrame, most: dict[str, int]) -> DataFrame:
     """(field, value, n, place): the largest values of each field, as many as ``most`` says, ties by name."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in most])).alias("x")).select("x.*")
@@ -187,11 +204,14 @@ def metadata_density(rows: DataFrame) -> DataFrame:
 
 
 def companion(rows: DataFrame) -> DataFrame:
-    """(paper_id, companion_id): the other sheet of the same null-safe key, the first by id."""
-    w = W.partitionBy(*KEYS)
-    paper = F.min(F.when(F.col("paper_or_daan") == "paper", F.col("paper_id"))).over(w)
-    daan = F.min(F.when(F.col("paper_or_daan") == "daan", F.col("paper_id"))).over(w)
-    return rows.select("paper_id", "paper_or_daan", F.when(F.col("paper_or_daan") == "paper", daan).otherwise(paper).alias("companion_id"))
+    """(paper_id, paper_or_daan, companion_id): the other sheet of the same null-safe key, the first by id. The first of
+    either kind comes from one aggregate, combined before its shuffle, and goes back to the rows by a join that cuts hot
+    keys: the mostly null key of raw dumps may hold any share of the rows."""
+    own = rows.select("paper_id", "paper_or_daan", *KEYS)
+    first = lambda kind: F.min(F.when(F.col("paper_or_daan") == kind, F.col("paper_id")))
+    firsts = own.groupBy(*KEYS).agg(first("paper").alias("first_paper"), first("daan").alias("first_daan"), F.count("*").alias("n"))
+    both = skew.spread_null_safe(own, firsts, KEYS, "n", "paper_id")
+    return both.select("paper_id", "paper_or_daan", F.when(F.col("paper_or_daan") == "paper", F.col("first_daan")).otherwise(F.col("first_paper")).alias("companion_id"))
 
 
 def missing_answers(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import names, schools
 from quirelake.operators import catalog as jobs
+from quirelake.operators import facet_cube, name_index
 from quirelake.plans import seed
 from quirelake.sources import store
 
@@ -117,7 +118,7 @@ def search_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CATALOG_SQL + "SELECT field, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value FROM catalog" for c in jobs.FACETS) + ") WHERE value IS NOT NULL AND value <> '' GROUP BY field, value")
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facet values with counts."""
+    """Facet values with counts."""
     return jobs.facets(catalog(spark, sf_dir))
 
 
@@ -148,6 +149,69 @@ def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.archive_counts(catalog(spark, sf_dir))
 
 
+#: National exams' files: in their folders, generic, and of other kinds.
+_NATIONAL = "SELECT CASE p_partkey % 5 WHEN 0 THEN concat('cap_exam/', 100 + p_partkey % 16, '/', p_partkey, '.pdf') WHEN 1 THEN concat('ceec/gsat/', p_partkey, '.pdf') WHEN 2 THEN concat('ceec/_generic/', p_partkey % 7, '/', p_partkey, '.pdf') WHEN 3 THEN concat('cap_exam/110/', p_partkey, '.zip') ELSE concat('ceec/', p_partkey, '.PDF') END AS rel_path FROM part"
+_STATUS = ", ".join(f"count(*) FILTER (level = '{v}' AND pdf) AS {k}_count, count(*) FILTER (level = '{v}' AND pdf AND paper_or_daan = 'paper') AS {k}_papers" for k, v in (("primary", "國小"), ("junior", "國中"), ("senior", "高中")))
+
+
+@query(
+    CATALOG_SQL
+    + f"""SELECT cap_count, ceec_count, count(*) FILTER (pdf) + cap_count + ceec_count AS pdf_count, {_STATUS}
+FROM (SELECT *, suffix(filename, '.pdf') AS pdf FROM catalog), (SELECT count(*) FILTER (p_partkey % 5 = 0) AS cap_count, count(*) FILTER (p_partkey % 5 = 1) AS ceec_count FROM part) GROUP BY cap_count, ceec_count"""
+)
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: files by level and sheet, national exams apart."""
+    national = spark.sql(_NATIONAL.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return jobs.status_counts(catalog(spark, sf_dir), national)
+
+
+_LONG = " UNION ALL ".join(f"SELECT county, school_name, '{c}' AS field, {c} AS value FROM catalog WHERE {c} <> ''" for c in jobs.FACETS)
+
+
+@query(CATALOG_SQL + f"SELECT county, school_name, field, CASE field WHEN 'school_year' THEN list_reverse_sort(list(DISTINCT value)) ELSE list_sort(list(DISTINCT value)) END AS values FROM ({_LONG}) GROUP BY county, school_name, field")
+def school_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: the six lists of every school, from the cube's cells."""
+    return facet_cube.school_lists(facet_cube.facet_cells(catalog(spark, sf_dir)))
+
+
+@query(CATALOG_SQL + f"SELECT field, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE WHEN field = 'school_year' THEN value END DESC, value) AS INT) AS place FROM ({_LONG}) WHERE county = '高雄市' AND contains(school_name, '楠梓') GROUP BY field, value")
+def cascading_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: the lists of a county's schools that hold a token; the cube is made of half the rows and brought up to date by
+    rows that come and rows that go, names come from the index."""
+    rows = catalog(spark, sf_dir)
+    cells = facet_cube.facet_cells(rows.filter("k % 3 <> 0"))
+    cells = facet_cube.changed_cells(cells, rows.filter("k % 3 = 0").unionByName(rows.filter("k % 3 = 1")), rows.filter("k % 3 = 1"))
+    return facet_cube.cascade(cells, "高雄市", indexed(spark, sf_dir).names("楠梓"))
+
+
+_INDEXED: dict[tuple[str, str, DataFrame], name_index.NameIndex] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> name_index.NameIndex:
+    """The catalogue by names, written once for each catalogue."""
+    at = (spark.sparkContext.applicationId, sf_dir, catalog(spark, sf_dir))
+    if at not in _INDEXED:
+        _INDEXED[at] = name_index.NameIndex(spark, store.new_path(spark, "names")).write(at[2])
+    return _INDEXED[at]
+
+
+_TOKENS = ["楠梓", "中山國中", "大同"]
+
+
+@query(CATALOG_SQL + " UNION ALL ".join(f"SELECT '{t}' AS token, paper_id, school_name FROM catalog WHERE level = '國中' AND contains(school_name, '{t.removesuffix('國中')}')" for t in _TOKENS))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filters and tokens through the index of names; the rows are those of a scan."""
+    found = [indexed(spark, sf_dir).search({"level": "國中"}, t).select(F.lit(t).alias("token"), "paper_id", "school_name") for t in _TOKENS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"SELECT concat(county, '/', school, '/_drivefolder/', school_year, '學年', term) AS path, count(*) AS n FROM ({seed.ATTRIBUTES_SQL}) named WHERE k % 10 = 8 GROUP BY 1")
+def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: raw dumps' paths without the files' names, and how many files share one."""
+    rows = seed.listing(spark, sf_dir).filter("k % 10 = 8")
+    return rows.groupBy(names.canonical_path(F.col("rel_path"), faithful=True).alias("path")).agg(F.count("*").alias("n"))
+
+
 @query(CATALOG_SQL + "SELECT * FROM (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value FROM catalog" for c in ("county", "school_name", "subject")) + ") WHERE value <> '' GROUP BY field, value) WHERE place <= CASE field WHEN 'subject' THEN 15 ELSE 20 END")
 def archive_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: the twenty largest counties and schools, the fifteen largest subjects."""

@@ -153,3 +153,17 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, name in enumerate(("data", "results"), 1):
         body = body.when(c("p_partkey") % 4 == i, F.to_json(F.struct(item.alias(name))))
     return files.read_search_response(spark.read.parquet(f"{sf_dir}/part.parquet").select(body.otherwise(F.to_json(F.struct(item.alias("items")))).alias("body")))
+
+
+#: Files of an archive: papers of three kinds, one with a capital ending, and others that a listing leaves out.
+_FILES = "SELECT s_suppkey AS k, concat('archive/', s_suppkey % 5, '/', s_suppkey, '.', CASE s_suppkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'DOCX' WHEN 2 THEN 'doc' ELSE 'txt' END) AS rel_path, CAST(s_suppkey % 7 * 1000 + 1 AS INT) AS size FROM supplier"
+
+
+@query(f"SELECT rel_path, CAST(floor(size / 1024) AS BIGINT) AS size_kb FROM ({_FILES}) f WHERE NOT suffix(rel_path, '.txt')")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO1: files written below a folder whose name comes again in it, and listed."""
+    root = store.new_path(spark, "archive") + "/archive/x/archive"
+    rows = spark.sql(_FILES.replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    whole = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    files.write_files(rows.select("rel_path", F.repeat(F.lit("x"), F.col("size")).cast("binary").alias("content")), whole).write.format("noop").mode("overwrite").save()
+    return files.archive_files(spark, root).select("rel_path", "size_kb")

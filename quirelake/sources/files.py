@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +14,35 @@ from quirelake.operators.dump import REPORT
 
 
 def archive_files(spark: SparkSession, root: str) -> DataFrame:
-    """IO1: (rel_path, size_kb, mtime) of all papers below a folder; contents are not read."""
+    """IO1: (rel_path, size_kb, mtime) of all papers below a folder; contents are not read. The paths that Spark gives
+    begin with the folder's full name, whatever it holds, so what is behind that is the path in the archive. Spark's
+    reader skips files of no bytes, so they are not listed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    rel = F.substr("path", F.lit(len(whole) + 2))
     return rows.filter(F.lower("path").rlike(r"\.(?:pdf|docx|doc)$")).select(rel.alias("rel_path"), F.floor(F.col("length") / 1024).alias("size_kb"), F.col("modificationTime").alias("mtime"))
 
 
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Rows (rel_path, content binary) as files below a folder that the tasks reach; gives (rel_path, n_bytes). A task that
+    runs again writes the same files again."""
+    kinds = "rel_path string, n_bytes long"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{folder}/{path}") as out:
+                    out.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(sizes, pa.int64())], names=["rel_path", "n_bytes"])
+
+    return rows.select("rel_path", "content").mapInArrow(write, kinds)
+
+
 def read_items(spark: SparkSession, path: str, field: str = "items", schema: str | None = None) -> DataFrame:
     """IO2, IO7, IO11: the rows of the array ``field`` of JSON documents; without one, the documents themselves."""
     reader = spark.read.option("multiLine", True)

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from quirelake.operators import catalog as jobs
+from quirelake.operators.catalog import FACETS
+from quirelake.operators.facet_cube import cascade, changed_cells, facet_cells
+from quirelake.operators.name_index import NameIndex
 
 
 def replayed(old, batch):
@@ -35,3 +40,68 @@ def test_upsert_of_nothing_and_of_repeats(spark):
     assert {tuple(r) for r in jobs.upsert(old, none, ["n"]).collect()} == {("p1", "r1", 1)}
     twice = spark.createDataFrame([("p2", "r1", None), ("p2", "r1", None)], schema)
     assert [tuple(r) for r in jobs.upsert(old, twice, ["n"]).collect()] == [("p2", "r1", None)]
+
+
+ROWS = "paper_id string, county string, school_name string, level string, school_year string, grade string, subject string, exam_type string, school_term string, version string, paper_or_daan string"
+
+
+def rows_of(spark, n, rng, hot=0.0):
+    schools = ["高雄市立楠梓國中", "高雄市立楠梓國小", "臺南市立中山國中", "Ab國中", "aB國小", "市", None]
+    pick = lambda values: rng.choice(values)
+    rows = []
+    for i in range(n):
+        if rng.random() < hot:
+            rows.append((f"p{i}", "高雄市", None, None, None, None, None, None, None, None, pick(["paper", "daan"])))
+        else:
+            rows.append((f"p{i}", pick(["高雄市", "臺南市", None]), pick(schools), pick(["國中", "國小"]), pick(["109", "110", "", None]), pick(["七年級", None]), pick(["國文", "數學", ""]), pick(["期中考", None]), pick(["上學期", None]), pick(["南一", None]), pick(["paper", "daan", None])))
+    return spark.createDataFrame(rows, ROWS), rows
+
+
+def test_companions_of_null_and_hot_keys(spark):
+    df, rows = rows_of(spark, 4000, random.Random(3), hot=0.4)
+    at = {c.split()[0]: i for i, c in enumerate(ROWS.split(", "))}
+    groups = {}
+    for r in rows:
+        groups.setdefault(tuple(r[at[k]] for k in jobs.KEYS), []).append(r)
+    want = set()
+    for group in groups.values():
+        first = {kind: min((r[0] for r in group if r[-1] == kind), default=None) for kind in ("paper", "daan")}
+        want |= {(r[0], r[-1], first["daan" if r[-1] == "paper" else "paper"]) for r in group}
+    found = jobs.companion(df)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(rows)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_by_the_index_are_those_of_a_scan(spark, tmp_path):
+    df, rows = rows_of(spark, 500, random.Random(5))
+    index = NameIndex(spark, str(tmp_path / "names"), shelves=16).write(df)
+    assert index.rows().count() == 500
+    for token in ("楠梓", "中山", "立楠", "國中", "ab", "AB", "楠梓國小", "梓楠", "none", "高雄市立楠梓國中", "市"):
+        assert {r["name_key"] for r in index.names(token).collect()} == {r[2].lower() for r in rows if r[2] and token.lower() in r[2].lower()}
+    for filters, keyword in (({"level": "國中"}, "高雄市楠梓國中"), ({}, "中山國中"), ({"county": "臺南市"}, None), ({}, "無此校名"), ({}, "國")):
+        scan = {r["paper_id"] for r in df.filter(jobs.matches(filters, keyword)).collect()}
+        assert {r["paper_id"] for r in index.search(filters, keyword).collect()} == scan
+    shelves = index.search({}, "中山國中").select("paper_id").count()
+    assert shelves and len(index.names("中山").select("shelf").distinct().collect()) == 1
+
+
+def test_cells_after_changes_are_those_of_the_rows(spark):
+    df, _ = rows_of(spark, 300, random.Random(6))
+    n = F.substring("paper_id", 2, 9).cast("int")
+    old, new = df.filter(n < 200), df.filter(n >= 100)
+    changed = changed_cells(facet_cells(old), df.filter(n >= 200), df.filter(n < 100))
+    assert sorted(map(tuple, changed.collect()), key=repr) == sorted(map(tuple, facet_cells(new).collect()), key=repr)
+    for county in ("高雄市", None):
+        rows = df if county is None else df.filter(F.col("county") == county)
+        lists = {}
+        for r in cascade(facet_cells(df), county).orderBy("field", "place").collect():
+            lists.setdefault(r["field"], []).append((r["value"], r["n"]))
+        for field in FACETS:
+            counted = {r[field]: r["count"] for r in rows.groupBy(field).count().collect() if r[field]}
+            assert lists[field] == sorted(counted.items(), reverse=field == "school_year")
+
+
+def test_status_counts(spark):
+    rows = spark.createDataFrame([("a.pdf", "國小", "paper"), ("b.pdf", "國中", "daan"), ("c.doc", "國小", "paper"), ("d.pdf", "", None), ("e.PDF", "高中", "paper")], "filename string, level string, paper_or_daan string")
+    national = spark.createDataFrame([("cap_exam/a.pdf",), ("cap_exam/_generic/b.pdf",), ("ceec/_generic/c.pdf",), ("ceec/x/_generic/y/d.pdf",), ("ceec/e.pdf",), ("ceec/f.zip",), ("x/g.pdf",)], "rel_path string")
+    assert jobs.status_counts(rows, national).first().asDict() == {"pdf_count": 6, "cap_count": 2, "ceec_count": 1, "primary_count": 1, "junior_count": 1, "senior_count": 0, "primary_papers": 1, "junior_papers": 0, "senior_papers": 0}

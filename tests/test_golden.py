@@ -206,6 +206,14 @@ def test_archive_files(spark, tmp_path):
     assert [(r.rel_path, r.size_kb) for r in files.archive_files(spark, str(tmp_path / "archive")).collect()] == [("高雄市/國中/a.PDF", 2)]
 
 
+def test_archive_files_below_a_folder_that_has_its_name(spark, tmp_path):
+    root = tmp_path / "archive/a+b (c)/archive"
+    for name in ("archive/x/archive/a.pdf", "C/b.doc"):
+        (root / name).parent.mkdir(parents=True)
+        (root / name).write_bytes(b"x")
+    assert {r.rel_path for r in files.archive_files(spark, f"{root}/").collect()} == {"archive/x/archive/a.pdf", "C/b.doc"}
+
+
 def test_items_of_json_documents(spark, tmp_path):
     (tmp_path / "index.json").write_text('{"built_at": "x", "items": [{"paper_id": "a", "n": 1}, {"paper_id": "b", "n": 2}]}')
     assert {(r.paper_id, r.n) for r in files.read_items(spark, str(tmp_path / "index.json")).collect()} == {("a", 1), ("b", 2)}
