@@ -1,6 +1,8 @@
 """Operator 1: toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its embedding (hashed word) beside the mean embedding of its characters' n-grams. Overlapping
+A word's input is its embedding (hashed word, without signs at its ends) beside the mean embedding of its characters'
+n-grams and of its beginnings of BEGINNINGS bytes. Words and runs that few texts of the sample hold count as none, in training
+and in scoring, and what the others mean decays, so that a text is not known by its rare words. Overlapping
 windows of ``WINDOW`` words, ``STRIDE`` apart, cover each whole text; each window runs through a forward and a
 backward GRU, attention pools the states, and a logistic unit scores the window. A text scores as its highest
 window, as one toxic passage makes a text toxic; so it is trained: texts are labelled, windows are not, and the
@@ -29,11 +31,17 @@ from quirelake.llm.language_id import held_out
 
 WINDOW, STRIDE = 32, 24
 SAMPLE, STEP_WINDOWS = 1400, 8
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
+WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 EMBED, HIDDEN, ATTEND = 8, 8, 8
-CHAR_GRAM = 4
-EPOCHS, RATE, BATCH, DROP = 6, 0.02, 48, 0.3
+CHAR_GRAM, BEGINNINGS = 4, [6, 8]
+ROUNDS, RATE, BATCH, DROP = 600, 0.02, 48, 0.5
 THRESHOLD = 0.7
+#: Texts of the sample that must hold a word or a run of characters for it to count; the scale and the decay of the steps
+#: of what words and runs mean: a run that a few texts share by chance moves little and is forgotten.
+KNOWN, SPARSE = 6, 0.01
+
+#: Printable ASCII that is neither a letter nor a digit.
+SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
 Params = dict[str, np.ndarray]
 
@@ -41,23 +49,37 @@ Params = dict[str, np.ndarray]
 def new_params(seed: int = 3) -> Params:
     rng = np.random.default_rng(seed)
     d = 2 * EMBED
-    p = {"word": rng.normal(0, 0.1, (WORD_BUCKETS, EMBED)), "char": rng.normal(0, 0.3, (CHAR_BUCKETS, EMBED))}
+    p = {"word": rng.normal(0, 0.02, (WORD_BUCKETS, EMBED)), "char": rng.normal(0, 0.02, (CHAR_BUCKETS, EMBED))}
     for way in "fb":
         p |= {f"w{way}": rng.normal(0, d**-0.5, (d, 3 * HIDDEN)), f"u{way}": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), f"b{way}": np.zeros(3 * HIDDEN)}
     p |= {"a": rng.normal(0, 0.3, (2 * HIDDEN, ATTEND)), "ab": np.zeros(ATTEND), "av": rng.normal(0, 0.3, ATTEND), "o": rng.normal(0, 0.3, 2 * HIDDEN), "ob": np.array([-1.0])}
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words without up to three ASCII signs at each end; a word of signs keeps one."""
+    s, e = words.starts.copy(), words.ends.copy()
+    for _ in range(3):
+        e -= (e - s > 1) & SIGN[words.data[e - 1]] if len(e) else 0
+        s += (e - s > 1) & SIGN[words.data[s]] if len(s) else 0
+    return s, e
+
+
 def word_inputs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word buckets, character n-gram buckets in a row, offsets of the words in these)."""
-    s, e = words.starts, words.ends
-    word = (words.hashes() & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
-    counts = np.maximum(e - s - CHAR_GRAM + 1, 1)
+    s, e = cores(words)
+    word = (words.span_hash(s, e) & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+    plain = np.maximum(e - s - CHAR_GRAM + 1, 1)
+    counts = plain + sum(e - s >= n for n in BEGINNINGS)
     upto = np.concatenate([[0], np.cumsum(counts)])
-    at = np.repeat(s - upto[:-1], counts) + np.arange(upto[-1])
-    grams = words.span_hash(at, np.minimum(at + CHAR_GRAM, np.repeat(e, counts)))
-    # a word's first n-gram is told from the same inside a word
-    grams[upto[:-1]] = mix(grams[upto[:-1]] + np.uint64(1))
+    number = np.arange(upto[-1]) - np.repeat(upto[:-1], counts)
+    extra = number - np.repeat(plain, counts)  # from 0 on: the word's beginnings
+    start = np.repeat(s, counts) + np.where(extra < 0, number, 0)
+    size = np.where(extra < 0, CHAR_GRAM, np.array(BEGINNINGS)[np.maximum(extra, 0)])
+    grams = words.span_hash(start, np.minimum(start + size, np.repeat(e, counts)))
+    # a word's first n-gram and its beginnings are told from the same inside a word
+    first = (number == 0) | (extra >= 0)
+    grams[first] = mix(grams[first] + np.uint64(1))
     return word, (grams & np.uint64(CHAR_BUCKETS - 1)).astype(np.int64), upto
 
 
@@ -262,6 +284,15 @@ def sample_logits(p: Params, bounds: np.ndarray, word: np.ndarray, grams: np.nda
     return out
 
 
+def known_buckets(bounds: np.ndarray, word: np.ndarray, grams: np.ndarray, upto: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """The buckets of words and of n-grams that at least ``least`` texts of the sample hold."""
+    seen = {"word": np.zeros(WORD_BUCKETS, np.int64), "char": np.zeros(CHAR_BUCKETS, np.int64)}
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        seen["word"][np.unique(word[a:b])] += 1
+        seen["char"][np.unique(grams[upto[a] : upto[b]])] += 1
+    return {k: n >= least for k, n in seen.items()}
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
     """Adam on the loss of texts; a text's logit is a smooth maximum over its windows."""
     y = np.array(labels, np.float32)
@@ -274,6 +305,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
         return None
     of = np.searchsorted(text, np.arange(len(texts) + 1))
     p = new_params()
+    known = known_buckets(bounds, word, grams, upto, min(KNOWN, max(1, int((y == 1).sum()) // 20)))
+    for k, live in known.items():
+        p[k][~live] = 0
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
     usable = np.flatnonzero(np.diff(of) > 0)
@@ -285,10 +319,11 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
     if not len(ones) or not len(zeros):
         return None
     step = 0
-    rounds = max(EPOCHS * (len(ones) + len(zeros)) // BATCH, 120)
+    # the fewer the toxic texts, the more of what words seem to mean is chance
+    decay = min(0.03, 3400 / len(ones) ** 2)
     rank = np.zeros(len(first))
-    for turn in range(rounds):
-        if turn and turn % (rounds // 6) == 0:
+    for turn in range(ROUNDS):
+        if turn and turn % (ROUNDS // 6) == 0:
             # the windows that score highest are those that decide: they take half of each text's places from here on
             rank = sample_logits(p, bounds, word, grams, upto, first, length, of)
         chosen = np.concatenate([rng.choice(ones, BATCH // 2), rng.choice(zeros, BATCH // 2)])
@@ -327,11 +362,17 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Params | None:
         each = np.repeat(d_x[:, EMBED:] / sizes[:, None], sizes, axis=0)
         g["word"] = np.stack([np.bincount(word[ids], d_x[:, c], WORD_BUCKETS) for c in range(EMBED)], axis=1)
         g["char"] = np.stack([np.bincount(own, each[:, c], CHAR_BUCKETS) for c in range(EMBED)], axis=1)
+        for k, some in known.items():
+            g[k][~some] = 0
         step += 1
         for k in p:
             m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] * g[k] - v[k])
-            p[k] -= (RATE * min(1.0, 2 - 2 * turn / rounds) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            if k in known:  # one scale for the whole table: a rare word's steps stay as small as its gradients
+                v[k] += 0.01 * (SPARSE * float((g[k] * g[k]).sum()) / max(np.count_nonzero(g[k]), 1) - v[k])
+                p[k] *= 1 - decay
+            else:
+                v[k] += 0.01 * (g[k] * g[k] - v[k])
+            p[k] -= (RATE * min(1.0, 2 - 2 * turn / ROUNDS) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     p["scale"] = np.array([1.0, 0.0])
     if len(kept):
         logit = sample_logits(p, bounds, word, grams, upto, first, length, of)

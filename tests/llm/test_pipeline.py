@@ -79,6 +79,16 @@ def test_toxicity_tells_held_out_texts(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in scored.collect())
 
 
+def test_toxicity_of_few_labels(spark):
+    """Some 300 toxic texts, a third of them without any of the words that mark the others."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert len(toxic) > 100 and np.mean(toxic) > 0.75 and np.mean(clean) < 0.03
+
+
 def test_toxicity_stage_and_query_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, SF).select("doc_id").collect()}
