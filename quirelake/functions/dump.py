@@ -58,16 +58,21 @@ NAME_RULES = [
 ONE_SCHOOL = ("桃園市", "桃園市桃園國中")
 #: Subjects as names spell them; the first in this order that a name holds counts.
 SUBJECTS = [
-    *["自然與生活科技", "社會學習領域", "綜合活動", "資訊科技", "地球科學", "地科學", "地科", "健康與體育", "健康教育", "英聽", "英語聽力"],
-    *["生物科", "自然科", "數非選", "英文科", "國文科", "數學科", "歷史科", "地理科", "公民科", "生科", "自科", "數科", "社科", "英科", "國科", "歷科"],
-    *["全科", "英語科", "社會科", "理化科", "生活科技", "作文", "寫作", "國文", "英語", "英文", "數學", "自然", "社會", "理化", "生物", "歷史"],
-    *["地理", "公民", "健康", "健體", "體育", "音樂", "美術", "家政", "生活", "綜合", "資訊", "科技", "閱讀"],
+    "自然與生活科技", "社會學習領域", "綜合活動", "資訊科技", "地球科學", "地科學", "地科", "健康與體育", "健康教育", "英聽", "英語聽力", "生物科", "自然科", "數非選", "英文科", "國文科", "數學科", "歷史科", "地理科",
+    "公民科", "生科", "自科", "數科", "社科", "英科", "國科", "歷科", "全科", "英語科", "社會科", "理化科", "生活科技", "作文", "寫作", "國文", "英語", "英文", "數學", "自然", "社會", "理化", "生物",
+    "歷史", "地理", "公民", "健康", "健體", "體育", "音樂", "美術", "家政", "生活", "綜合", "資訊", "科技", "閱讀",
 ]
 #: Subjects of one character.
 SHORT_SUBJECTS = {"公": "公民", "國": "國文", "英": "英語", "數": "數學", "自": "自然", "社": "社會", "理": "理化", "化": "理化", "生": "生物", "歷": "歷史", "地": "地理", "健": "健康教育", "體": "體育", "音": "音樂", "美": "美術", "作": "作文", "聽": "英語"}
-_NTH = [[f"第{n}{what}" for n in ns] for what in ("次段考", "次定期考", "次定期評量") for ns in ("一二三", "123")]
 #: Exams as names spell them; the first in this order counts.
-EXAMS = [*sum(_NTH, []), *[f"第{n}階段評量" for n in "123"], *[f"第{n}階段評量" for n in "一二三"], "期末考", "期中考", "模擬考", "月考", "複習考", "段考", "定期考", "定期評量", "評量"]
+EXAMS = [
+    "第一次段考", "第二次段考", "第三次段考", "第1次段考", "第2次段考", "第3次段考", "第一次定期考", "第二次定期考", "第三次定期考", "第1次定期考", "第2次定期考", "第3次定期考", "第一次定期評量", "第二次定期評量",
+    "第三次定期評量", "第1次定期評量", "第2次定期評量", "第3次定期評量", "第1階段評量", "第2階段評量", "第3階段評量", "第一階段評量", "第二階段評量", "第三階段評量", "期末考", "期中考", "模擬考", "月考", "複習考", "段考",
+    "定期考", "定期評量", "評量",
+]
+#: Signs of the terms, and exams by number.
+TERM_SIGNS = {"上": "上學期", "1": "上學期", "一": "上學期", "下": "下學期", "2": "下學期", "二": "下學期"}
+NUMBERED = {"1": "第一次段考", "2": "第二次段考", "3": "第三次段考"}
 #: Years that a dump can have.
 _YEAR = "(?:10[0-9]|11[0-5])"
 UNSORTED, UNKNOWN = "未分類", "未註明"
@@ -136,14 +141,14 @@ def dump_term(name: Column, county: Column, school: Column) -> Column:
     base = stem(name)
     forms = [r"第([12])\s*學期", r"第([一二])\s*學期", r"([上下])(?:學期|半)", rf"(?<![0-9]){_YEAR}([上下])(?![學期半0-9])", rf"(?<![0-9]){_YEAR}-([12])(?![0-9])", rf"(?<![0-9]){_YEAR}([12])(?=-)"]
     one = F.when(_is_one_school(county, school), found(base, "^[0-9]{3}0([12])"))
-    return lookup(F.coalesce(one, *[found(base, f) for f in forms]), {x: t for t, xs in (("上學期", "上1一"), ("下學期", "下2二")) for x in xs})
+    return lookup(F.coalesce(one, *[found(base, f) for f in forms]), TERM_SIGNS)
 
 
 def dump_exam(name: Column) -> Column:
     """An exam's name in the file's name, else the number behind year, term and a dash."""
     base = stem(name)
     number = found(base, rf"{_YEAR}[12]-([123])(?![0-9])")
-    return F.coalesce(first_that(EXAMS, lambda w: F.contains(base, w)), lookup(number, {n: f"第{c}次段考" for n, c in zip("123", "一二三", strict=True)}))
+    return F.coalesce(first_that(EXAMS, lambda w: F.contains(base, w)), lookup(number, NUMBERED))
 
 
 def confidence(level: Column, subject: Column) -> Column:

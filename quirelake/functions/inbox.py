@@ -23,9 +23,23 @@ SUBJECTS = ["國文", "國語", "英文", "英語", "數學", "自然", "社會"
 OTHER_NAMES = {"國語文": "國文", "英語": "英文", "國語": "國文"}
 SIGNS = {"國": "國文", "社": "社會", "自": "自然", "英": "英文", "數": "數學", "理": "理化"}
 #: Exams and the words that mean them, in order.
-_NTH = [(f"第{c}次{long}", [f"第{c}次{long}", f"第{c}次{short}", f"{c}{short}", f"第{d}次{long}", *([f"第{d}次{short}"] if long == "段考" else [])]) for long, short in (("段考", "段"), ("定期考", "定期"), ("月考", "月")) for c, d in zip("一二三", "123", strict=True)]
-_NTH = [(name, [w.replace("定期", "定") if len(w) == 3 and w[1:] == "定期" else w for w in words]) for name, words in _NTH]
-EXAMS = [*_NTH, ("期中考", ["期中"]), ("期末考", ["期末"]), *[(f"第{c}次評量", [f"第{c}次評", f"{c}評", f"第{d}次評量"]) for c, d in zip("一二三", "123", strict=True)], ("階段評量", ["階段評量", *[f"第{x}階段" for x in "123一二三"]])]
+EXAMS = [
+    ("第一次段考", ["第一次段考", "第一次段", "一段", "第1次段考", "第1次段"]),
+    ("第二次段考", ["第二次段考", "第二次段", "二段", "第2次段考", "第2次段"]),
+    ("第三次段考", ["第三次段考", "第三次段", "三段", "第3次段考", "第3次段"]),
+    ("第一次定期考", ["第一次定期考", "第一次定期", "一定", "第1次定期考"]),
+    ("第二次定期考", ["第二次定期考", "第二次定期", "二定", "第2次定期考"]),
+    ("第三次定期考", ["第三次定期考", "第三次定期", "三定", "第3次定期考"]),
+    ("第一次月考", ["第一次月考", "第一次月", "一月", "第1次月考"]),
+    ("第二次月考", ["第二次月考", "第二次月", "二月", "第2次月考"]),
+    ("第三次月考", ["第三次月考", "第三次月", "三月", "第3次月考"]),
+    ("期中考", ["期中"]),
+    ("期末考", ["期末"]),
+    ("第一次評量", ["第一次評", "一評", "第1次評量"]),
+    ("第二次評量", ["第二次評", "二評", "第2次評量"]),
+    ("第三次評量", ["第三次評", "三評", "第3次評量"]),
+    ("階段評量", ["階段評量", "第1階段", "第2階段", "第3階段", "第一階段", "第二階段", "第三階段"]),
+]
 #: Endings of answer sheets' names.
 ANSWERS = ["解答", "答案", "正解", "解答卷", "答案卷", "正解卷"]
 

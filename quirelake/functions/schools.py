@@ -18,9 +18,9 @@ SEARCH_PREFIXES = [*COUNTIES, "台北市", "台中市", "台南市", "台東縣"
 SUFFIXES = ["國民中學", "高級中學", "國民小學", "國中", "國小", "高中", "高職"]
 #: Beginnings of schools' names that tell a county where its name is not said, in order.
 SHORT_NAMES = {
-    **{"台北": "台北市", "北市": "台北市", "新北": "新北市", "桃園": "桃園市", "新竹": "新竹市", "台中": "台中市", "中市": "台中市", "彰化": "彰化縣", "嘉義": "嘉義市"},
-    **{"台南": "台南市", "南市": "台南市", "高雄": "高雄市", "屏東": "屏東縣", "宜蘭": "宜蘭縣", "花蓮": "花蓮縣", "台東": "台東縣", "基隆": "基隆市", "南投": "南投縣"},
-    **{"建中": "台北市", "北一女": "台北市", "雄中": "高雄市", "金門": "金門縣", "興大附": "台中市", "蘭陽女": "宜蘭縣", "竹女": "新竹市", "竹男": "新竹市", "武陵": "桃園市", "彰中": "彰化縣"},
+    "台北": "台北市", "北市": "台北市", "新北": "新北市", "桃園": "桃園市", "新竹": "新竹市", "台中": "台中市", "中市": "台中市", "彰化": "彰化縣", "嘉義": "嘉義市", "台南": "台南市", "南市": "台南市",
+    "高雄": "高雄市", "屏東": "屏東縣", "宜蘭": "宜蘭縣", "花蓮": "花蓮縣", "台東": "台東縣", "基隆": "基隆市", "南投": "南投縣", "建中": "台北市", "北一女": "台北市", "雄中": "高雄市", "金門": "金門縣",
+    "興大附": "台中市", "蘭陽女": "宜蘭縣", "竹女": "新竹市", "竹男": "新竹市", "武陵": "桃園市", "彰中": "彰化縣",
 }
 #: Words of a county that a school's name may hold, beside the county itself and its 立.
 MORE_WORDS = {"臺北市": ["台北市", "臺北縣(舊)", "臺北"], "新北市": ["新北", "臺北縣(舊)"], "新竹市": ["新竹市私立"], "新竹縣": ["新竹"], "嘉義市": ["嘉義市私立"], "嘉義縣": ["嘉義"], "臺中市": ["台中市", "臺中", "台中"], "臺南市": ["台南市", "臺南", "台南"], "臺東縣": ["台東縣", "臺東", "台東"], "連江縣": ["連江", "馬祖"]}

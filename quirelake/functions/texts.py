@@ -17,8 +17,8 @@ TITLE_COUNTIES = ["臺北市", "台北市", "北市", "新北市", "桃園市",
 SPOKEN = {"高一": "十年級", "高二": "十一年級", "高三": "十二年級"}
 #: Subjects in the order in which a cover is searched for them.
 COVER_SUBJECTS = [
-    *["自然與生活科技", "健康與體育", "綜合活動領域", "語文學習領域", "健康教育", "資訊科技", "生活科技", "國文", "國語", "英語", "英文", "數學", "自然"],
-    *["社會", "理化", "生物", "歷史", "地理", "公民", "健康", "健體", "體育", "音樂", "美術", "家政", "生活", "綜合", "資訊", "科技", "作文", "閱讀", "童軍"],
+    "自然與生活科技", "健康與體育", "綜合活動領域", "語文學習領域", "健康教育", "資訊科技", "生活科技", "國文", "國語", "英語", "英文", "數學", "自然", "社會", "理化", "生物", "歷史", "地理", "公民", "健康",
+    "健體", "體育", "音樂", "美術", "家政", "生活", "綜合", "資訊", "科技", "作文", "閱讀", "童軍",
 ]
 #: Exams of a cover, in order: pattern, and what it is called around the captured number.
 COVER_EXAMS = [
@@ -32,6 +32,8 @@ COVER_EXAMS = [
     (r"(定期)(?:評量|考)", "", "評量"),
     ("(階段評量)", "", ""),
 ]
+#: Terms by number.
+COVER_TERMS = {"1": "上學期", "一": "上學期", "2": "下學期", "二": "下學期", "3": "第3學期", "三": "第三學期"}
 #: Words of which a usable cover has two.
 COVER_WORDS = ["學年度", "學年", "學期", "段考", "考試", "年級", "考", "學校", "國民", "縣立", "市立", "附設"]
 #: Words of a message that a limit was hit.
@@ -60,8 +62,7 @@ def _cover_fields(text: Column, compact: Column) -> Column:
     school = blank_to_null(strip_placeholders(F.coalesce(found(compact, named), found(text, named), found(text, bare))))
     year = full_year(F.coalesce(found(text, r"(\d{2,3})\s*學年"), found(compact, r"(\d{2,3})\s*學年")))
     number = lambda t: found(t, r"第\s*([1-3一二三])\s*學期")
-    terms = {x: n for n, xs in (("上學期", "1一"), ("下學期", "2二"), ("第3學期", "3"), ("第三學期", "三")) for x in xs}
-    half = lambda t: F.coalesce(lookup(number(t), terms), found(t, "([上下]學期)"), F.concat(found(t, r"([上下])半\s*年"), F.lit("學期")))
+    half = lambda t: F.coalesce(lookup(number(t), COVER_TERMS), found(t, "([上下]學期)"), F.concat(found(t, r"([上下])半\s*年"), F.lit("學期")))
     term = F.coalesce(half(text), half(compact), F.concat(found(text, r"[(（]\s*([上下])\s*[)）]"), F.lit("學期")))
     seen = lambda w: F.contains(text, w) | F.contains(compact, w)
     grade = F.coalesce(lookup(first_that(list(SPOKEN), seen), SPOKEN), first_that(GRADES, seen))

@@ -28,15 +28,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+#: Where the catalogue of a source was written, by the source's fingerprint, and the rows as they are read.
+_WRITTEN: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of the listing, built and written once in a session and read by every search, as an index is."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _WRITTEN:
-        _WRITTEN[at] = store.write_catalog(jobs.build_catalog(seed.listing(spark, sf_dir)), store.new_path(spark, "catalog"))
-    return _WRITTEN[at]
+def catalog(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
+    """The catalogue of the listing, built and written once and read by every search, as an index is. It is built again
+    where the source's files have changed or the written table is gone."""
+    source = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = (spark.sparkContext.applicationId, store.fingerprint(source))
+    known = _WRITTEN.get(at)
+    if anew or known is None or not store.is_there(spark, known[0]):
+        path = store.new_path(spark, "catalog")
+        _WRITTEN[at] = (path, store.write_catalog(jobs.build_catalog(seed.listing(spark, sf_dir)), path))
+    return _WRITTEN[at][1]
 
 
 #: The catalogue in DuckDB's SQL, by what the forms of the seed's paths mean; no name is parsed. ``lost``: the 第N學期 form
@@ -75,8 +80,7 @@ _KEYS = "school_name, school_year, school_term, exam_type, grade, subject, versi
 @query(CATALOG_SQL + "SELECT paper_id, rel_path, county, level, grade, subject, school_year, school_term, exam_type, fileid, school_name, version, paper_or_daan, size_kb, mtime FROM catalog")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P3 to P8, P11, IO3, W2: listing to catalogue, built and written anew."""
-    _WRITTEN.pop((spark.sparkContext.applicationId, sf_dir), None)
-    return catalog(spark, sf_dir).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
+    return catalog(spark, sf_dir, anew=True).select("paper_id", "rel_path", "county", "level", "grade", "subject", "school_year", "school_term", "exam_type", "fileid", "school_name", "version", "paper_or_daan", "size_kb", "mtime")
 
 
 @query(
@@ -184,14 +188,15 @@ def cascading_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_cube.cascade(cells, "高雄市", indexed(spark, sf_dir).names("楠梓"))
 
 
-_INDEXED: dict[tuple[str, str, DataFrame], name_index.NameIndex] = {}
+_INDEXED: dict[str, name_index.NameIndex] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> name_index.NameIndex:
-    """The catalogue by names, written once for each catalogue."""
-    at = (spark.sparkContext.applicationId, sf_dir, catalog(spark, sf_dir))
-    if at not in _INDEXED:
-        _INDEXED[at] = name_index.NameIndex(spark, store.new_path(spark, "names")).write(at[2])
+    """The catalogue by names, written once for each written catalogue."""
+    rows = catalog(spark, sf_dir)
+    at = next(path for path, known in _WRITTEN.values() if known is rows)
+    if at not in _INDEXED or not store.is_there(spark, f"{_INDEXED[at].root}/pairs"):
+        _INDEXED[at] = name_index.NameIndex(spark, store.new_path(spark, "names")).write(rows)
     return _INDEXED[at]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -23,6 +24,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fingerprint(source: DataFrame) -> str:
+    """What tells a table's files from changed ones: their names, sizes and times of change. Names come from the plan, sizes
+    and times from the file system; contents are not read."""
+    spark, told = source.sparkSession, []
+    for name in sorted(source.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is whole."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def write_catalog(rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """IO3: the catalogue as Parquet, each file in the order of county and school, so that a search for one county skips
     the row groups of the others by their least and greatest values. Returns the rows as they are read back."""

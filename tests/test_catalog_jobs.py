@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quirelake.operators import catalog as jobs
 from quirelake.operators.catalog import FACETS
 from quirelake.operators.facet_cube import cascade, changed_cells, facet_cells
 from quirelake.operators.name_index import NameIndex
+from quirelake.plans import catalog_queries
 
 
 def replayed(old, batch):
@@ -105,3 +107,17 @@ def test_status_counts(spark):
     rows = spark.createDataFrame([("a.pdf", "國小", "paper"), ("b.pdf", "國中", "daan"), ("c.doc", "國小", "paper"), ("d.pdf", "", None), ("e.PDF", "高中", "paper")], "filename string, level string, paper_or_daan string")
     national = spark.createDataFrame([("cap_exam/a.pdf",), ("cap_exam/_generic/b.pdf",), ("ceec/_generic/c.pdf",), ("ceec/x/_generic/y/d.pdf",), ("ceec/e.pdf",), ("ceec/f.zip",), ("x/g.pdf",)], "rel_path string")
     assert jobs.status_counts(rows, national).first().asDict() == {"pdf_count": 6, "cap_count": 2, "ceec_count": 1, "primary_count": 1, "junior_count": 1, "senior_count": 0, "primary_papers": 1, "junior_papers": 0, "senior_papers": 0}
+
+
+def test_a_changed_source_is_noticed(spark, tmp_path):
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    items.limit(40).write.parquet(f"{tmp_path}/lineitem.parquet")
+    first = catalog_queries.catalog(spark, str(tmp_path))
+    n = first.count()
+    assert catalog_queries.catalog(spark, str(tmp_path)) is first
+    items.filter("l_orderkey > 100").limit(40).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    second = catalog_queries.catalog(spark, str(tmp_path))
+    assert second.count() > n
+    path = next(p for p, known in catalog_queries._WRITTEN.values() if known is second)
+    shutil.rmtree(path)  # a cleared folder
+    assert catalog_queries.catalog(spark, str(tmp_path)).count() > n
