@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import names, schools
 from quirelake.operators import catalog as jobs
-from quirelake.operators import facet_cube, name_index
+from quirelake.operators import facet_cube, name_index, school_merge
 from quirelake.plans import seed
 from quirelake.sources import store
 
@@ -153,6 +153,34 @@ def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.archive_counts(catalog(spark, sf_dir))
 
 
+#: Files told of twice: first, of every third order, under a placeholder that its school's county does not appear in, then in
+#: full. The placeholder's files go to the name of the first of the later calls.
+_CALLS = f"""SELECT l_linenumber * 2 + k * 20 + CASE WHEN told = 2 THEN 1000000000 ELSE 0 END AS seq, k AS fileid, filetype, CASE WHEN told = 1 AND k % 3 = 0 THEN concat(core, level, ' (from filename)') WHEN k % 17 = 0 THEN '' ELSE school END AS school_name, concat(grade, CASE WHEN told = 2 THEN '!' ELSE '' END) AS grade
+FROM ({seed._NAMED}) named, (SELECT 1 AS told UNION ALL SELECT 2) t"""
+_MERGED = f"""WITH calls AS ({_CALLS}),
+told AS (SELECT seq, concat(fileid, '_', filetype) AS file, grade, CASE WHEN school_name = '' THEN '未註明' ELSE school_name END AS name, school_name <> '' AS named FROM calls),
+placed AS (SELECT DISTINCT file, name FROM told WHERE suffix(name, '(from filename)')),
+changes AS (SELECT p.name, arg_min({{'to': t.name, 'grade': t.grade}}, t.seq) AS c, min(t.seq) AS moved_at FROM placed p JOIN told t ON t.file = p.file AND t.named AND t.seq >= 1000000000 GROUP BY p.name),
+whole AS (SELECT name, file, seq, grade, NULL AS moved_at, NULL AS given FROM told WHERE NOT suffix(name, '(from filename)') UNION ALL SELECT c['to'], file, NULL, NULL, moved_at, c['grade'] FROM placed JOIN changes USING (name)
+  UNION ALL SELECT name, file, seq, grade, NULL, NULL FROM told WHERE suffix(name, '(from filename)') AND name NOT IN (SELECT name FROM changes))
+SELECT school_name AS school, {_COUNTY_SQL} AS county, short_name, coalesce(given, first_grade) AS grade, total_files
+FROM (SELECT name AS school_name, CASE WHEN ({_COUNTY_SQL.replace("school_name", "name")}) = '其他縣市' THEN name ELSE substr(name, 4) END AS short_name, count(DISTINCT file) AS total_files, arg_min(grade, seq) AS first_grade, arg_max(given, moved_at) AS given FROM whole GROUP BY name)"""
+
+
+@query(_MERGED)
+def merged_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: schools with distinct files and grade, placeholders given up for full names."""
+    calls = spark.sql(_CALLS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
+    return school_merge.merged_schools(calls)
+
+
+@query(f"SELECT county, school, count(*) AS calls FROM (SELECT school_name AS school, {_COUNTY_SQL} AS county FROM (SELECT CASE WHEN school_name = '' THEN '未註明' ELSE school_name END AS school_name FROM ({_CALLS}) c) n) x GROUP BY ROLLUP (county, school)")
+def school_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: calls by county and school, by county and in all."""
+    calls = spark.sql(_CALLS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
+    return school_merge.counted_calls(calls)
+
+
 #: National exams' files: in their folders, generic, and of other kinds.
 _NATIONAL = "SELECT CASE p_partkey % 5 WHEN 0 THEN concat('cap_exam/', 100 + p_partkey % 16, '/', p_partkey, '.pdf') WHEN 1 THEN concat('ceec/gsat/', p_partkey, '.pdf') WHEN 2 THEN concat('ceec/_generic/', p_partkey % 7, '/', p_partkey, '.pdf') WHEN 3 THEN concat('cap_exam/110/', p_partkey, '.zip') ELSE concat('ceec/', p_partkey, '.PDF') END AS rel_path FROM part"
 _STATUS = ", ".join(f"count(*) FILTER (level = '{v}' AND pdf) AS {k}_count, count(*) FILTER (level = '{v}' AND pdf AND paper_or_daan = 'paper') AS {k}_papers" for k, v in (("primary", "國小"), ("junior", "國中"), ("senior", "高中")))

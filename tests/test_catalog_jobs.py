@@ -8,6 +8,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from quirelake.operators import catalog as jobs
+from quirelake.operators import school_merge
 from quirelake.operators.catalog import FACETS
 from quirelake.operators.facet_cube import cascade, changed_cells, facet_cells
 from quirelake.operators.name_index import NameIndex
@@ -121,3 +122,39 @@ def test_a_changed_source_is_noticed(spark, tmp_path):
     path = next(p for p, known in catalog_queries._WRITTEN.values() if known is second)
     shutil.rmtree(path)  # a cleared folder
     assert catalog_queries.catalog(spark, str(tmp_path)).count() > n
+
+
+def merged(calls):
+    """The rule, call after call: {school: (files, grade)}; a placeholder's files join those that its new name has."""
+    schools, first = {}, {}
+    for _, fileid, filetype, name, grade in sorted(calls):
+        file, key = f"{fileid}_{filetype}", name or "未註明"
+        held = first.setdefault(file, key)
+        if school_merge.MARK in held and file in schools.get(held, (set(),))[0] and name and name != held:
+            files, _ = schools.pop(held)
+            schools[name] = (schools.get(name, (set(), None))[0] | files, grade)
+            first[file] = name
+            for other in files:
+                first[other] = name
+        schools.setdefault(key, (set(), grade))[0].add(file)
+    return {(k, len(files), grade) for k, (files, grade) in schools.items()}
+
+
+def test_merged_schools_equal_a_replay(spark):
+    rng = random.Random(9)
+    for _ in range(6):
+        calls, first = [], {}
+        for seq in range(150):
+            fileid = rng.randrange(40)
+            marked = [f"楠梓國中{i} {school_merge.MARK}" for i in range(3)]
+            if fileid not in first:
+                first[fileid] = rng.choice([*marked, *marked, "高雄市立楠梓國中", ""])
+                name = first[fileid]
+            else:  # a file keeps its placeholder or is told of in full
+                name = rng.choice([first[fileid], f"高雄市立楠梓國中{rng.randrange(4)}", "臺南市立大同國小"])
+            calls.append((seq, fileid, "paper", name, f"g{seq}"))
+        df = spark.createDataFrame(calls, "seq long, fileid long, filetype string, school_name string, grade string")
+        assert {(r["school"], r["total_files"], r["grade"]) for r in school_merge.merged_schools(df).collect()} == merged(calls)
+    counted = {(r["county"], r["school"]): r["calls"] for r in school_merge.counted_calls(df).collect()}
+    assert counted[None, None] == 150 and counted["臺南市", None] == counted["臺南市", "臺南市立大同國小"] == sum(c[3] == "臺南市立大同國小" for c in calls)
+    assert school_merge.merged_schools(df.limit(0)).count() == 0
