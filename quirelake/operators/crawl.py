@@ -61,7 +61,6 @@ def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages
 
     One join a step; visited pages are written, so a lost executor repeats one step. A start that has its pages goes no
     further, which bounds each step by ``max_pages`` pages of a start."""
-    spark = starts.sparkSession
     seen = starts.select(F.col("page").alias("start"), "page", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
         counted = seen.groupBy("start").agg(F.count("*").alias("n"))
@@ -69,9 +68,7 @@ def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages
         new = front.join(edges, front["page"] == edges["src"]).select("start", F.col("dst").alias("page")).distinct().join(seen.select("start", "page"), ["start", "page"], "left_anti")
         ranked = new.withColumn("r", F.row_number().over(W.partitionBy("start").orderBy("page"))).join(counted, "start")
         kept = ranked.filter(F.col("r") + F.col("n") <= max_pages).select("start", "page", F.lit(depth).alias("depth"))
-        path = store.new_path(spark, "reached")
-        seen.unionByName(kept).write.parquet(path)
-        seen = spark.read.schema(seen.schema).parquet(path)
+        seen = store.kept(seen.unionByName(kept), "reached")
     return seen
 
 

@@ -35,12 +35,6 @@ def sliding_counts(events: DataFrame, limits: list[tuple[str, list[str], int, in
     return counted.join(before, keys, "left").select("rule", "most", "user", "event_id", (F.col("own") + F.coalesce("before", F.lit(0))).alias("n"))
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    path = store.new_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def cache_outcomes(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     """(event_id, key, outcome): hit or miss of each request; a miss fills the cache for ``seconds``, a hit does not extend it.
 
@@ -53,7 +47,7 @@ def cache_outcomes(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     its moments, go to different tasks."""
     span = seconds * MICROS
     rows = requests.filter("key is not null").select("event_id", "key", F.unix_micros("ts").alias("at"))
-    moments = _kept(rows.groupBy("key", "at").agg(F.min("event_id").alias("first")).withColumn("part", F.floor(F.col("at") / F.lit(span)).cast("long")), "moments")
+    moments = store.kept(rows.groupBy("key", "at").agg(F.min("event_id").alias("first")).withColumn("part", F.floor(F.col("at") / F.lit(span)).cast("long")), "moments")
     opens = moments.groupBy("key", "part").agg(F.min("at").alias("at"))
     asks = moments.select("key", (F.col("part") + 1).alias("part"), (F.col("at") + span).alias("due"), F.col("at").alias("asks"))
     both = asks.unionByName(moments.select("key", "part", F.col("at").alias("due"), F.lit(None).cast("long").alias("asks")))
@@ -62,13 +56,13 @@ def cache_outcomes(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     follow = opens.select("key", (F.col("part") + 1).alias("part"))  # of these parts the one before holds requests
     after = opens.join(follow, ["key", "part"], "left_semi").select("key", (F.col("part") - 1).alias("part"), F.col("at").alias("opens"))
     jumps = found.join(after, ["key", "part"], "left").select("key", F.col("asks").alias("at"), F.coalesce("to", "opens").alias("to")).filter("to is not null")
-    jumps = _kept(jumps, "jumps")
-    misses = new = _kept(opens.join(follow, ["key", "part"], "left_anti").select("key", "at"), "misses")
+    jumps = store.kept(jumps, "jumps")
+    misses = new = store.kept(opens.join(follow, ["key", "part"], "left_anti").select("key", "at"), "misses")
     while not new.isEmpty():
-        new = _kept(misses.join(jumps, ["key", "at"]).select("key", F.col("to").alias("at")), "misses")
+        new = store.kept(misses.join(jumps, ["key", "at"]).select("key", F.col("to").alias("at")), "misses")
         misses = misses.unionByName(new)
         onward = jumps.select("key", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jumps = _kept(jumps.join(onward, ["key", "to"]).select("key", "at", F.col("beyond").alias("to")), "jumps")
+        jumps = store.kept(jumps.join(onward, ["key", "to"]).select("key", "at", F.col("beyond").alias("to")), "jumps")
     filled = misses.join(moments.select("key", "at", "first"), ["key", "at"])
     missed = F.coalesce(F.col("event_id") == F.col("first"), F.lit(False))
     return rows.join(filled, ["key", "at"], "left").select("event_id", "key", F.when(missed, "miss").otherwise("hit").alias("outcome"))

@@ -20,12 +20,6 @@ from quirelake.sources import store
 MARK, UNNAMED = "(from filename)", "未註明"
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    path = store.new_path(rows.sparkSession, "told")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _told(calls: DataFrame) -> DataFrame:
     """Calls with the name they count under and the file as one value."""
     name = F.coalesce(F.nullif("school_name", F.lit("")), F.lit(UNNAMED))
@@ -35,7 +29,7 @@ def _told(calls: DataFrame) -> DataFrame:
 def merged_schools(calls: DataFrame) -> DataFrame:
     """Calls (seq, fileid, filetype, school_name, grade) to (school, county, short_name, grade, total_files). A school's
     grade is that of the call that last gave it a placeholder's files, or else of its first call."""
-    told = _kept(_told(calls))
+    told = store.kept(_told(calls), "told")
     mark = F.contains("name", F.lit(MARK))
     # a file gives its placeholder up at its next call under another name, if its first call of all was under it
     first = told.groupBy("file").agg(F.min_by(F.struct("name", "seq"), "seq").alias("f")).select("file", F.col("f.name").alias("name"), F.col("f.seq").alias("seq")).filter(mark)
@@ -44,8 +38,8 @@ def merged_schools(calls: DataFrame) -> DataFrame:
     left = told.filter(mark).join(later, ["file", "name", "seq"], "left")
     gone = None
     while True:
-        left = _kept(left)
-        change = _kept(left.filter("change is not null").groupBy("name").agg(F.min("change").alias("c")))
+        left = store.kept(left, "told-left")
+        change = store.kept(left.filter("change is not null").groupBy("name").agg(F.min("change").alias("c")), "told-changes")
         if change.isEmpty():
             break
         moved = left.join(change, "name").filter(F.col("seq") < F.col("c.at"))

@@ -41,6 +41,13 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written in the shared folder and read again: what came before is not computed twice, nor lost with an executor."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_catalog(rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """IO3: the catalogue as Parquet, each file in the order of county and school, so that a search for one county skips
     the row groups of the others by their least and greatest values. Returns the rows as they are read back."""
