@@ -200,10 +200,11 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = " UNION ALL ".join(f"SELECT county, school_name, '{c}' AS field, {c} AS value FROM catalog WHERE {c} <> ''" for c in jobs.FACETS)
 
 
-@query(CATALOG_SQL + f"SELECT county, school_name, field, CASE field WHEN 'school_year' THEN list_reverse_sort(list(DISTINCT value)) ELSE list_sort(list(DISTINCT value)) END AS values FROM ({_LONG}) GROUP BY county, school_name, field")
+@query(CATALOG_SQL + f"SELECT county, school_name, field, array_to_string(CASE field WHEN 'school_year' THEN list_reverse_sort(list(DISTINCT value)) ELSE list_sort(list(DISTINCT value)) END, '|') AS listed FROM ({_LONG}) GROUP BY county, school_name, field")
 def school_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: the six lists of every school, from the cube's cells."""
-    return facet_cube.school_lists(facet_cube.facet_cells(catalog(spark, sf_dir)))
+    lists = facet_cube.school_lists(facet_cube.facet_cells(catalog(spark, sf_dir)))
+    return lists.select("county", "school_name", "field", F.array_join("values", "|").alias("listed"))
 
 
 @query(CATALOG_SQL + f"SELECT field, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE WHEN field = 'school_year' THEN value END DESC, value) AS INT) AS place FROM ({_LONG}) WHERE county = '高雄市' AND contains(school_name, '楠梓') GROUP BY field, value")
