@@ -104,10 +104,12 @@ def cache_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.cache_outcomes(activity_queries.audit(spark, sf_dir).filter("action = 'search'"))
 
 
-@query(f"{_CACHE} WHERE {_PASSED.format('r')}")
+@query(_CACHE)
 def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5 as a stream with state and timers: requests that the watermark has passed."""
-    return jobs.drained(ordered.cache_outcomes_stream(audit_stream(spark, sf_dir).filter("action = 'search'")), "cache", state_store=ordered.STORE)
+    """ST5 as a stream with state and timers: all requests, those at the end of the log and those of files out of order, up to
+    sixty days late, too."""
+    log, end = jobs.ending(audit_stream(spark, sf_dir).filter("action = 'search'"), "key")
+    return jobs.drained(ordered.cache_outcomes_stream(log, watermark="60 days"), "cache", state_store=ordered.STORE, end=end)
 
 
 @query(

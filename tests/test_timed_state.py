@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import limits
+from quirelake.plans import stream_queries
 from quirelake.streaming import jobs, ordered
 
 START = dt.datetime(2024, 1, 1)
@@ -116,3 +117,12 @@ def test_cooldown_stream_over_midnight(spark, tmp_path):
         found, state = streamed(spark, tmp_path, order, last, files, lambda s: ordered.cooldown_stream(s, "30 days"), f"cool{files}")
         assert sorted(found) == [(2, 1), (6, 1), (10, 2)]
         assert state[-1] <= 2
+
+
+def test_cache_stream_gives_out_every_request(spark, tmp_path):
+    rows = moments(random.Random(7), 200, 12, 0.5)
+    events = spark.createDataFrame([(i, ts, 1, "view", 0.0, f'{{"k": "{key}"}}') for i, key, ts in rows[::-1]], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    for n in range(10):  # more files than a batch reads, the latest first
+        events.offset(20 * n).limit(20).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in stream_queries.cache_stream(spark, str(tmp_path)).collect()]
+    assert len(found) == len(rows) and set(found) == outcomes(rows)
