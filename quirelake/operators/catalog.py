@@ -21,13 +21,14 @@ NEWEST = ["mtime", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
 
 def newest_paths(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:
     """The newest row of each catalogued path, with paper_id and the path it was found at (``found_at``). A maximum by
-    the order columns, combined before the one shuffle; nothing is parsed for rows that go."""
+    the order columns, combined before the one shuffle; nothing is parsed for rows that go. The catalogued path, which
+    follows from the one found, is made again behind the shuffle."""
     rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP)).withColumnRenamed("rel_path", "found_at")
-    rows = names.computed(rows, rel_path=names.canonical_path(F.col("found_at"), faithful_dump_path))
+    path = names.canonical_path(F.col("found_at"), faithful_dump_path)
     order = [c for c in order or NEWEST if c in listing.columns]
     rest = [c for c in rows.columns if c not in order]
-    kept = rows.groupBy(names.paper_id(F.col("rel_path")).alias("paper_id")).agg(F.max(F.struct(*order, *rest)).alias("x"))
-    return kept.select("paper_id", "x.*")
+    kept = names.computed(rows, paper_id=names.paper_id(path)).groupBy("paper_id").agg(F.max(F.struct(*order, *rest)).alias("x"))
+    return names.computed(kept.select("paper_id", "x.*"), rel_path=path)
 
 
 def build_catalog(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:

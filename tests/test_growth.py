@@ -7,8 +7,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import upkeep
+from quirelake.operators import catalog, upkeep
+from quirelake.plans import dump_queries, seed
 
+SMALL = "/root/testdata/sf0.001"
 START = dt.datetime(2024, 1, 1)
 
 
@@ -40,3 +42,19 @@ def test_next_account_meets_each_limit_once(spark):
     got, most = most_rows(upkeep.next_account(accounts, spark.createDataFrame([*limits, (None, START, START)], "account long, ts timestamp, until timestamp")))
     assert sorted(tuple(r) for r in got) == want
     assert most <= 4 * len(asked) + len(limits) + 1  # not each moment with each limit of its day
+
+
+def test_parts_of_the_line_items_follow_their_size_and_keep_orders_together(spark, monkeypatch):
+    monkeypatch.setattr(seed, "PART", 4096, raising=False)
+    items = seed.line_items(spark, SMALL)
+    assert items.rdd.getNumPartitions() > 8  # one for each core before, whatever the size
+    of_part = items.select("l_orderkey", F.spark_partition_id().alias("part")).distinct()
+    assert of_part.count() == of_part.select("l_orderkey").distinct().count()
+    plan = dump_queries.files(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # the line items' own; names are not dealt again
+
+
+def test_newest_paths_deal_one_path_a_row(spark):
+    rows = catalog.newest_paths(seed.listing(spark, SMALL))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Aggregate" in x and "max(" in x and "rel_path" not in x.replace("AS rel_path", "")]
