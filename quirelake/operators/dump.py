@@ -106,6 +106,15 @@ def config_and_index(configured: DataFrame, indexed: DataFrame) -> DataFrame:
     return left.join(right, SCHOOL, "full").select(*SCHOOL, F.coalesce("configured", no).alias("configured"), F.col("n").isNotNull().alias("indexed"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def school_sets(configured: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(what, county, school_name): schools that are configured only, indexed only or both, nulls being alike. One aggregate over
+    both sides, combined before its shuffle: a school may hold any share of the files."""
+    side = lambda rows, config: rows.select(*SCHOOL, F.lit(config).alias("config"))
+    sides = side(configured, True).unionByName(side(indexed, False)).groupBy(*SCHOOL).agg(F.count_if("config").alias("config"), F.count_if(~F.col("config")).alias("index"))
+    what = F.when(F.col("index") == 0, "config_minus_index").when(F.col("config") == 0, "index_minus_config").otherwise("both")
+    return sides.select(what.alias("what"), *SCHOOL)
+
+
 def apply_reasons(classified: DataFrame, include_medium: bool = False, school: str | None = None) -> DataFrame:
     """Adds reason: apply, or why a file is left out: a system's file, its confidence, another school."""
     levels = ["HIGH", "MEDIUM"] if include_medium else ["HIGH"]

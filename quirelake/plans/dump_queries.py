@@ -210,9 +210,7 @@ SELECT 'config_minus_index' AS what, * FROM (SELECT * FROM config EXCEPT SELECT
 )
 def school_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools configured, indexed or both, as sets."""
-    config, index = configured(spark, sf_dir), classified(spark, sf_dir).select(*jobs.SCHOOL)
-    what = lambda name, rows: rows.select(F.lit(name).alias("what"), *jobs.SCHOOL)
-    return what("config_minus_index", config.subtract(index)).unionByName(what("index_minus_config", index.subtract(config))).unionByName(what("both", index.intersect(config)))
+    return jobs.school_sets(configured(spark, sf_dir), files(spark, sf_dir))
 
 
 _REASON = "CASE WHEN starts_with(filename, '._') THEN 'system_file' WHEN confidence = 'LOW' THEN 'low' WHEN school_name <> '桃園市桃園國中' THEN 'other_school' ELSE 'apply' END"

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import catalog, upkeep
+from quirelake.operators import catalog, dump, upkeep
 from quirelake.plans import dump_queries, seed
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +58,13 @@ def test_newest_paths_deal_one_path_a_row(spark):
     rows = catalog.newest_paths(seed.listing(spark, SMALL))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "Aggregate" in x and "max(" in x and "rel_path" not in x.replace("AS rel_path", "")]
+
+
+def test_school_sets_read_the_files_once(spark):
+    kinds = "county string, school_name string"
+    configured = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), (None, "z")], kinds)
+    indexed = spark.createDataFrame([("a", "y")] * 50 + [(None, "z"), ("b", None)], kinds)
+    got = [tuple(r) for r in dump.school_sets(configured, indexed).collect()]
+    assert len(got) == 4 and set(got) == {("config_minus_index", "a", "x"), ("both", "a", "y"), ("both", None, "z"), ("index_minus_config", "b", None)}
+    plan = dump_queries.school_sets(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
