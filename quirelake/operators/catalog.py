@@ -89,6 +89,12 @@ def last_by_either_key(rows: DataFrame, order: list[str], keys: tuple[str, str]
     return last[0].select(*rows.columns).unionByName(gone.select(*rows.columns))
 
 
+def last_by_key(rows: DataFrame, order: list[str], key: str = "paper_id") -> DataFrame:
+    """The last row of each key, from one maximum."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("x")).select(key, "x.*").select(*rows.columns)
+
+
 def upsert(current: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Batch rows put into the current ones in ascending ``order`` of these columns, each in place of all rows, old or of
     the batch, that share its paper_id or its rel_path."""

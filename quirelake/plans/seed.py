@@ -17,6 +17,10 @@ from quirelake.sources import store
 
 #: Bytes of the line items' files that go to one task: some 200,000 rows, of which it makes about 100 MB.
 PART = 4 << 20
+#: Bytes of a generated method that the JVM still compiles; Spark's own limit keeps longer ones, which are then interpreted.
+COMPILED = 8000
+#: Columns of a listing.
+LISTED = ["k", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "rel_path", "size_kb", "mtime"]
 #: Fixed values of the made-up catalogue.
 CORES = ["楠梓", "建國", "大同", "中山", "仁愛", "三民", "崇林", "獅甲", "英明", "苓雅", "土城", "左營", "丹鳳", "新泰", "錦和", "永和", "福興", "溪湖", "埔心", "文昌"]
 SUBJECTS = ["國文", "英語", "數學", "自然", "社會", "理化", "生物", "歷史", "地理", "公民", "健康", "體育", "音樂", "美術", "資訊"]
@@ -66,19 +70,30 @@ FROM (SELECT *, concat(school_year, CASE k % 2 WHEN 0 THEN '上' ELSE '下' END,
 """
 
 
+def read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate")
+
+
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items, those of an order together: their paths and names, many times as long, then meet where they are made.
-    The number of parts follows the table's size, so that what a task makes of its part stays in memory at any size."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate")
+    The number of parts follows the table's size, so that what a task makes of its part stays in memory at any size. The
+    rules' long cases are one method each where a whole stage is one; past ``COMPILED`` bytes expressions get methods of their own."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
+    items = read_items(spark, sf_dir)
     return items.repartition(max(spark.sparkContext.defaultParallelism, -(-store.n_bytes(items) // PART)), "l_orderkey")
 
 
-def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items with their attributes and paths, the path made once."""
-    rows = spark.sql(ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=line_items(spark, sf_dir))
+def attributes_of(items: DataFrame, *more: str) -> DataFrame:
+    """Line items with their attributes and paths, the path made once, and with ``more`` columns of their own."""
+    sql = ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("l_shipdate,", ", ".join(["l_shipdate", *more, ""]).rstrip())
+    rows = items.sparkSession.sql(sql, lineitem=items)
     return computed(rows.withColumnRenamed("rel_path", "_path"), rel_path=F.col("_path")).drop("_path")
 
 
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attributes_of(line_items(spark, sf_dir))
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive listing that the line items stand for: path, size, time, and the columns that break ties."""
-    return attributes(spark, sf_dir).select("k", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "rel_path", "size_kb", "mtime")
+    return attributes(spark, sf_dir).select(*LISTED)

@@ -139,10 +139,11 @@ SELECT paper_id, rel_path, size_kb, mtime, walk FROM walked QUALIFY row_number()
 def catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: a listing that comes in eight walks of the archive, each line item seen by three of them; of a path the row of the
     last walk that saw it counts, whatever the order in which the walks' files are read."""
-    root, rows = store.new_path(spark, "listing"), seed.listing(spark, sf_dir)
+    root, items = store.new_path(spark, "listing"), seed.line_items(spark, sf_dir)
     walks = F.sequence(F.greatest(F.col("l_linenumber") - 2, F.lit(0)), F.least(F.col("l_linenumber"), F.lit(7)))
-    seen = rows.withColumn("walk", F.explode(walks)).withColumn("walk", F.col("walk").cast("int"))
-    seen.repartition("walk").write.partitionBy("walk").parquet(f"{root}/files")
-    listing = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/files")
+    seen = items.withColumn("walk", F.explode(walks)).withColumn("walk", F.col("walk").cast("int"))
+    seen.write.partitionBy("walk").parquet(f"{root}/files")  # line items; the stream makes the paths of what it reads
+    read = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", items.rdd.getNumPartitions()).parquet(f"{root}/files")
+    listing = seed.attributes_of(read, "walk").select(*seed.LISTED, "walk")
     found = jobs.stream_catalog(listing, f"{root}/catalog", ["walk", *catalog.NEWEST], most=3).read()
     return found.select("paper_id", "rel_path", "size_kb", "mtime", "walk")

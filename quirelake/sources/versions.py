@@ -3,8 +3,8 @@
 ``put`` writes a batch's rows as a delta of their own and then a manifest, one small file that names the parts that count
 from now on. What no manifest names is of no account, so a batch that fails before its manifest changes nothing, and
 one that runs again only adds rows that are there already. Readers lay the parts over each other: a row counts unless a newer
-one, by columns of the rows themselves, has its paper_id or its rel_path. Parts keep what is the newest of either key, so
-that a row that was replaced itself still replaces older ones that come late. So neither repeats nor the order in
+one, by columns of the rows themselves, has its paper_id or its rel_path. Deltas keep a batch's rows as they came, folded parts
+what is the newest of either key, so that a row that was replaced itself still replaces older ones that come late. So neither repeats nor the order in
 which batches come make a difference. Two writers at once: the second finds its version taken and fails.
 
 A batch writes its own rows. Once more than ``most`` deltas count they are folded, into one delta while that holds less
@@ -56,7 +56,8 @@ class Versions:
         dealt = rows.withColumn("of_county", F.coalesce("county", F.lit(""))).hint("rebalance", "of_county")
         dealt.sortWithinPartitions("of_county", "school_name").write.partitionBy("of_county").parquet(f"{self.root}/{path}")
         part = {"batch": batch, "kind": kind, "path": path, "schema": rows.schema.json()}
-        n, ids, paths = self._rows(part).agg(F.count("*"), F.count_distinct("paper_id"), F.count_distinct("rel_path")).first()
+        # as many hashes as rows: no key is there twice; hashes that meet by chance only call a clean part unclean
+        n, ids, paths = self._rows(part).agg(F.count("*"), F.count_distinct(F.xxhash64("paper_id")), F.count_distinct(F.xxhash64("rel_path"))).first()
         return part | {"n_rows": n, "clean": n == ids == paths}
 
     def _rows(self, part: dict, counties: list[str] | None = None) -> DataFrame:
@@ -71,17 +72,22 @@ class Versions:
             both = both.unionByName(more, allowMissingColumns=True)
         return both
 
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """The rows that are the last of either key. Where each id goes with one path and each path with one id, as hashes of both
+        tell, one key decides, and whole rows are dealt once."""
+        pairs = rows.select(F.xxhash64("paper_id").alias("i"), F.xxhash64("rel_path").alias("p")).distinct()
+        n, ids, paths = pairs.agg(F.count("*"), F.count_distinct("i"), F.count_distinct("p")).first()
+        return jobs.last_by_key(rows, self.order) if n == ids == paths else jobs.last_by_either_key(rows, self.order)
+
     def put(self, rows: DataFrame, batch: int) -> None:
         """Adds the rows of a batch. A batch whose delta counts already takes its place."""
         version = self._version() + 1
         live = [p for p in self.parts() if (p["kind"], p["batch"]) != ("delta", batch)]
-        rows = rows.persist()  # made once, read for either key; what an executor loses is made again
-        live.append(self._write(jobs.last_by_either_key(rows, self.order), "delta", batch))
-        rows.unpersist()
+        live.append(self._write(rows, "delta", batch))  # as it is: what it holds of older rows goes when deltas are folded
         base, deltas = [p for p in live if p["kind"] == "base"], [p for p in live if p["kind"] != "base"]
         if len(deltas) > self.most:
             small = base and 2 * sum(p["n_rows"] for p in deltas) < base[0]["n_rows"]
-            folded = jobs.last_by_either_key(self._together(deltas if small else live), self.order)
+            folded = self._last(self._together(deltas if small else live))
             live = [*base, self._write(folded, "folded", batch)] if small else [self._write(folded, "base", batch)]
         named = [(i, p["batch"], p["kind"], p["path"], p["n_rows"], p["clean"], p["schema"]) for i, p in enumerate(live)]
         self.spark.createDataFrame(named, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/{version:012d}")

@@ -9,6 +9,7 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
+from quirelake.operators import catalog as jobs
 from quirelake.sources.versions import Versions
 
 SCHEMA = "paper_id string, rel_path string, county string, school_name string, n int"
@@ -85,3 +86,12 @@ def test_bytes_follow_the_batch_and_folding_follows_the_size(spark, tmp_path):
     assert versions.read(["高雄市"]).count() == 100_001
     read_of = versions._together(versions.parts(), ["高雄市"]).select(F.input_file_name().alias("f")).distinct().collect()
     assert read_of and all(unquote(unquote(r["f"])).count("of_county=高雄市") == 1 for r in read_of)
+
+
+def test_whole_rows_are_dealt_once_where_ids_and_paths_go_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "last_by_either_key", None)  # two maxima over whole rows and a join
+    versions = Versions(spark, str(tmp_path / "v"), ["n"], most=1)
+    for number in range(4):
+        versions.put(rows_of(spark, [(f"p{i}", f"r{i}", "高雄市", 10 * number + i) for i in range(number, number + 3)]), number)
+    assert all(p["clean"] for p in versions.parts())
+    assert read(versions) == {("p0", "r0", "高雄市", 0), ("p1", "r1", "高雄市", 11), ("p2", "r2", "高雄市", 22), *((f"p{i}", f"r{i}", "高雄市", 30 + i) for i in (3, 4, 5))}
