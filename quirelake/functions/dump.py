@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,29 +92,45 @@ def _signs(kind: str) -> dict[str, str]:
     return SIGNS[kind] if kind in SIGNS else {d: SIGNS["A"][d] for d in kind}
 
 
-def _hit(text: Column, rule: str, pattern: str, kind: str) -> Column:
-    signs = _signs(kind)
-    return bound(found(text, pattern), lambda sign: F.when(sign.isin(*signs), F.struct(lookup(sign, signs).alias("grade"), F.lit(rule).alias("rule"))))
+def _first_hit(text: Column, rules: list[tuple[str, str, str]], when: Column | None = None) -> list[Column]:
+    """struct(grade, rule) of each rule in turn, null where it does not hit. Rules with one pattern share its search: a sign
+    belongs to the first of them that knows it."""
+    hits = []
+    for pattern, alike in groupby(rules, lambda rule: rule[1]):
+        table: dict[str, Column] = {}
+        for rule, _, kind in alike:
+            table = {s: F.struct(F.lit(g).alias("grade"), F.lit(rule).alias("rule")) for s, g in _signs(kind).items()} | table
+        hit = lookup(F.regexp_extract(text, pattern, 1), table)
+        hits.append(hit if when is None else F.when(when, hit))
+    return hits
 
 
 def dump_grade(path: Column, county: Column, school: Column) -> Column:
     """struct(grade, rule): the first rule that hits, for the folders below the school's in turn, then for the file's
     name; null if none does. ``path``: _未分類/DriveFolder/county/school/.../name."""
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 5, F.greatest(F.size(parts) - 5, F.lit(0)))
-    by_folder = F.get(F.filter(F.transform(folders, lambda c: F.coalesce(*[_hit(c, *rule) for rule in FOLDER_RULES])), lambda x: x.isNotNull()), F.lit(0))
-    one = _is_one_school(county, school)
+    return bound(stem(file_name(path)), lambda base: grade_of(path, base, county, school))
 
-    def by_name(name: Column) -> Column:
-        return F.coalesce(*[F.when(one, _hit(name, rule, pattern, kind)) if only else _hit(name, rule, pattern, kind) for rule, pattern, kind, only in NAME_RULES])
 
-    return F.coalesce(by_folder, bound(stem(file_name(path)), by_name))
+def grade_of(path: Column, base: Column, county: Column, school: Column) -> Column:
+    """``dump_grade`` by the path and the name without its ending."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 5, F.greatest(F.size(parts) - 5, F.lit(0)))
+    by_folder = F.get(F.filter(F.transform(folders, lambda c: F.coalesce(*_first_hit(c, FOLDER_RULES))), lambda x: x.isNotNull()), F.lit(0))
+    one, by_name = _is_one_school(county, school), []
+    for only, rules in groupby(NAME_RULES, lambda rule: rule[3]):
+        by_name += _first_hit(base, [rule[:3] for rule in rules], one if only else None)
+    return F.coalesce(by_folder, *by_name)
 
 
 def dump_subject(name: Column, grade: Column, county: Column, school: Column) -> Column:
     """A subject's name in the file's name, else one of a single character at places that forms of names have."""
-    base, one = stem(name), _is_one_school(county, school)
-    short = lambda pattern: lookup(found(base, pattern), SHORT_SUBJECTS)
+    return bound(stem(name), lambda base: subject_of(base, grade, county, school))
+
+
+def subject_of(base: Column, grade: Column, county: Column, school: Column) -> Column:
+    """``dump_subject`` by the name without its ending."""
+    one = _is_one_school(county, school)
+    short = lambda pattern: lookup(F.regexp_extract(base, pattern, 1), SHORT_SUBJECTS)
     more, rest = "[公國英數自社理化生歷地健體音美聽作]", r"(?:[一-鿿\sA-Z0-9].*)?$"
     return F.coalesce(
         first_that(SUBJECTS, lambda w: F.contains(base, w)),
@@ -126,28 +144,39 @@ def dump_subject(name: Column, grade: Column, county: Column, school: Column) ->
 def dump_year(name: Column, county: Column, school: Column) -> Column:
     """A year from 100 to 115: before 學年度, 學年 or 年度; at the beginning; before 上 or 下. One school has six digits
     or more, of which the first three count whatever they are."""
-    base = stem(name)
-    first = found(base, r"^([0-9]{3})")
+    return bound(stem(name), lambda base: year_of(base, county, school))
+
+
+def year_of(base: Column, county: Column, school: Column) -> Column:
+    """``dump_year`` by the name without its ending."""
     return F.coalesce(
         F.when(_is_one_school(county, school), found(base, r"^([0-9]{3})[0-9]{3}")),
         found(base, rf"({_YEAR})(?:學年度|學年|年度)"),
-        F.when(first.rlike(f"^{_YEAR}$"), first),
+        found(base, rf"^({_YEAR})"),
         found(base, rf"(?<![0-9])({_YEAR})[下上]"),
     )
 
 
 def dump_term(name: Column, county: Column, school: Column) -> Column:
     """上學期 or 下學期 by the first form of term that the name has."""
-    base = stem(name)
+    return bound(stem(name), lambda base: term_of(base, county, school))
+
+
+def term_of(base: Column, county: Column, school: Column) -> Column:
+    """``dump_term`` by the name without its ending."""
     forms = [r"第([12])\s*學期", r"第([一二])\s*學期", r"([上下])(?:學期|半)", rf"(?<![0-9]){_YEAR}([上下])(?![學期半0-9])", rf"(?<![0-9]){_YEAR}-([12])(?![0-9])", rf"(?<![0-9]){_YEAR}([12])(?=-)"]
-    one = F.when(_is_one_school(county, school), found(base, "^[0-9]{3}0([12])"))
-    return lookup(F.coalesce(one, *[found(base, f) for f in forms]), TERM_SIGNS)
+    sign = lambda pattern: lookup(F.regexp_extract(base, pattern, 1), TERM_SIGNS)
+    return F.coalesce(F.when(_is_one_school(county, school), sign("^[0-9]{3}0([12])")), *[sign(f) for f in forms])
 
 
 def dump_exam(name: Column) -> Column:
     """An exam's name in the file's name, else the number behind year, term and a dash."""
-    base = stem(name)
-    number = found(base, rf"{_YEAR}[12]-([123])(?![0-9])")
+    return bound(stem(name), exam_of)
+
+
+def exam_of(base: Column) -> Column:
+    """``dump_exam`` by the name without its ending."""
+    number = F.regexp_extract(base, rf"{_YEAR}[12]-([123])(?![0-9])", 1)
     return F.coalesce(first_that(EXAMS, lambda w: F.contains(base, w)), lookup(number, NUMBERED))
 
 

@@ -25,8 +25,10 @@ UNSAFE, SAFE = '/\\:*?"<>|', "／＼：＊？＂＜＞｜"
 
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     """``rows`` with more columns, each computed once however often it is read: a generator of one row keeps the
-    optimiser from writing a long expression out again at every use, or into a filter."""
-    return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")).select(*rows.columns, "_made.*")
+    optimiser from writing a long expression out again at every use, or into a filter. It is given values only: a
+    projection, which Spark compiles, makes them; a generator's own expressions may be interpreted row by row."""
+    values = rows.select("*", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_value"))
+    return values.select(*rows.columns, F.explode(F.array("_value")).alias("_made")).select(*rows.columns, "_made.*")
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -20,14 +20,16 @@ def classify(files: DataFrame) -> DataFrame:
     """Files (paper_id, path, county, school_name, size_kb) to fields, confidence and target. A missing exam is 未註明,
     other missing fields are blank; files without a grade go to the review folder."""
     c = F.col
-    rows = names.computed(files, filename=names.file_name(c("path")), hit=dump.dump_grade(c("path"), c("county"), c("school_name")))
+    named = names.computed(files, filename=names.file_name(c("path")))
+    stemmed = names.computed(named, stem=dump.stem(c("filename")))  # once a file, for all that search it
+    rows = names.computed(stemmed, hit=dump.grade_of(c("path"), c("stem"), c("county"), c("school_name")))
     parsed = names.computed(
         rows,
         grade=c("hit.grade"),
-        subject=dump.dump_subject(c("filename"), c("hit.grade"), c("county"), c("school_name")),
-        school_year=dump.dump_year(c("filename"), c("county"), c("school_name")),
-        school_term=dump.dump_term(c("filename"), c("county"), c("school_name")),
-        exam_type=F.coalesce(dump.dump_exam(c("filename")), F.lit(dump.UNKNOWN)),
+        subject=dump.subject_of(c("stem"), c("hit.grade"), c("county"), c("school_name")),
+        school_year=dump.year_of(c("stem"), c("county"), c("school_name")),
+        school_term=dump.term_of(c("stem"), c("county"), c("school_name")),
+        exam_type=F.coalesce(dump.exam_of(c("stem")), F.lit(dump.UNKNOWN)),
         level=names.level_of(c("hit.grade")),
         filetype=names.guess_filetype(c("filename")),
     )

@@ -65,8 +65,9 @@ def _form(column: int) -> str:
     return "CASE k % 33 " + " ".join(f"WHEN {i} THEN {f[column]}" for i, f in enumerate(FORMS)) + " END"
 
 
+_GROUPED, _SIZE = " GROUP BY k, filetype, county, school, subject, exam_type, school_year, term", "CAST(FLOOR(l_extendedprice) AS BIGINT)"
 _SIGNS = f"""
-SELECT k, filetype, county, school, subject, exam_type, max(CAST(FLOOR(l_extendedprice) AS BIGINT)) AS size_kb, school_year AS y,
+SELECT k, filetype, county, school, subject, exam_type, max({_SIZE}) AS size_kb, school_year AS y,
   CASE k % 2 WHEN 0 THEN '上' ELSE '下' END AS t, term, CASE k % 2 WHEN 0 THEN '1' ELSE '2' END AS n,
   {seed._pick("CAST(FLOOR(k / 3.0) AS BIGINT) % 3", ["7", "8", "9"])} AS d,
   {seed._pick("CAST(FLOOR(k / 3.0) AS BIGINT) % 3", ["七", "八", "九"])} AS c,
@@ -74,7 +75,7 @@ SELECT k, filetype, county, school, subject, exam_type, max(CAST(FLOOR(l_extende
   {seed._pick("CAST(FLOOR(k / 5.0) AS BIGINT) % 3", ["1", "2", "3"])} AS e,
   {seed._pick("CAST(FLOOR(k / 7.0) AS BIGINT) % 8", list("公國英數社理歷地"))} AS s,
   {seed._pick("CAST(FLOOR(k / 7.0) AS BIGINT) % 8", ["公民", "國文", "英語", "數學", "社會", "理化", "歷史", "地理"])} AS whole
-FROM ({seed._NAMED}) named GROUP BY k, filetype, county, school, subject, exam_type, school_year, term
+FROM ({seed._NAMED}) named{_GROUPED}
 """
 #: Files of the dump with what their names stand for.
 FILES_SQL = f"""
@@ -130,7 +131,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump's listing: paper_id, path, county and school_name by folder, size_kb."""
-    rows = spark.sql(FILES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
+    # the sheets of an order by numbers, before texts are made of them
+    sheet = F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(2).alias("l_linenumber")
+    sheets = seed.line_items(spark, sf_dir).groupBy("l_orderkey", sheet).agg(F.max("l_extendedprice").alias("l_extendedprice"))
+    unread = [F.lit(None).alias(c) for c in ("l_partkey", "l_suppkey", "l_shipdate")]
+    one = FILES_SQL.replace(_GROUPED, "").replace(f"max({_SIZE})", _SIZE).replace("FROM lineitem", "FROM {lineitem}")
+    rows = spark.sql(one, lineitem=sheets.select("*", *unread))
     return names.computed(rows.select("k", "filetype", "size_kb", "paper_id", F.col("path").alias("_path")), path=F.col("_path"), county=F.get(F.split("_path", "/"), F.lit(2)), school_name=F.get(F.split("_path", "/"), F.lit(3))).select("paper_id", "path", "county", "school_name", "size_kb")
 
 

@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quirelake.functions import names
 from quirelake.operators import catalog, dump, upkeep
 from quirelake.plans import dump_queries, seed
 
@@ -68,3 +69,21 @@ def test_school_sets_read_the_files_once(spark):
     assert len(got) == 4 and set(got) == {("config_minus_index", "a", "x"), ("both", "a", "y"), ("both", None, "z"), ("index_minus_config", "b", None)}
     plan = dump_queries.school_sets(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_a_projection_makes_computed_values(spark):
+    made = names.computed(spark.range(3), x=F.regexp_replace(F.col("id").cast("string"), "1", "y"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    generators = [x for x in plan.splitlines() if "Generate " in x]
+    assert generators and not [x for x in generators if "regexp_replace" in x]  # a generator would interpret it
+    assert [r["x"] for r in made.collect()] == ["0", "y", "2"]
+
+
+def test_a_dumps_sheets_are_numbers_until_they_are_one_row_each(spark):
+    plan = dump_queries.files(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "county" not in next(x for x in plan.splitlines() if "Aggregate [" in x).split("], [")[0]
+
+
+def test_a_files_stem_is_made_once(spark):
+    plan = dump_queries.classified(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)\\.pdf$") == 1
