@@ -54,15 +54,14 @@ def is_answer_name(name: Column) -> Column:
 def _grade(name: Column) -> Column:
     digit = lambda p: lookup(found(name, p), _CN)
     chinese = lambda p: F.concat(found(name, p), F.lit("年級"))
-    number = found(name, r"(\d+)年(?!級)")
+    by_number = lambda n: F.coalesce(lookup(n, _CN), F.when(n.isin("10", "11", "12"), F.concat(n, F.lit("年級"))))
     return F.coalesce(
         lookup(first_that(list(SPELLED_GRADES), lambda w: F.contains(name, w)), SPELLED_GRADES),
         chinese(f"([{_N}])[國社自英數理]"),
         digit(r"(\d)[國社自英數理]"),
         digit("([1-9])年級"),
         F.concat(first_that(["七", "八", "九"], lambda w: F.contains(name, w)), F.lit("年級")),
-        lookup(number, _CN),
-        F.when(number.isin("10", "11", "12"), F.concat(number, F.lit("年級"))),
+        bound(found(name, r"(\d+)年(?!級)"), by_number),
     )
 
 
@@ -107,14 +106,18 @@ def name_fields(name: Column) -> Column:
 def path_fields(path: Column) -> Column:
     """struct(grade, subject, filetype, school_name) of _inbox/county/level/grade/subject/kind/file, or of
     _inbox/place/school/...; fields that are not there are null."""
-    part = lambda i: F.get(F.split(path, "/"), F.lit(i))
-    sorted_ = (F.size(F.split(path, "/")) >= 6) & part(2).isin("國小", "國中", "高中")
-    kind = F.when(part(5).isin("daan", "paper"), part(5))
-    subject = F.when(~part(4).isin("daan", "paper"), plain_subject(part(4)))
     none = F.lit(None).cast("string")
-    return F.when(sorted_, F.struct(part(3).alias("grade"), subject.alias("subject"), kind.alias("filetype"), none.alias("school_name"))).when(
-        F.size(F.split(path, "/")) >= 4, F.struct(none.alias("grade"), none.alias("subject"), none.alias("filetype"), blank_to_null(part(2)).alias("school_name"))
-    )
+
+    def of(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i))
+        sorted_ = (F.size(parts) >= 6) & part(2).isin("國小", "國中", "高中")
+        kind = F.when(part(5).isin("daan", "paper"), part(5))
+        subject = F.when(~part(4).isin("daan", "paper"), plain_subject(part(4)))
+        return F.when(sorted_, F.struct(part(3).alias("grade"), subject.alias("subject"), kind.alias("filetype"), none.alias("school_name"))).when(
+            F.size(parts) >= 4, F.struct(none.alias("grade"), none.alias("subject"), none.alias("filetype"), blank_to_null(part(2)).alias("school_name"))
+        )
+
+    return bound(F.split(path, "/"), of)
 
 
 def exam_folder(name: Column) -> Column:
@@ -146,16 +149,36 @@ def merged(name: Column, side: Column, path: Column, county: Column) -> Column:
     """struct of a file's fields: those of its name first, then of its side file (subject, school_name, grade), then of its
     path; 社會 is told closer by the name; missing lists the required fields that are blank, and action says whether the
     file can be kept."""
-    of, at = name_fields(name), path_fields(path)
-    subject = F.coalesce(of["subject"], plain_subject(blank_to_null(side["subject"])), at["subject"])
+    return bound(read_name(name), lambda of: merged_with(of, side, path, county))
+
+
+def read_name(name: Column) -> Column:
+    """struct of all that a merge takes from a file's name: its fields, the subject that tells 社會 closer, and whether it is
+    an answer sheet's."""
     closer = first_that(["公民", "地理", "歷史"], lambda w: F.contains(name, w))
-    subject = F.when(subject == "社會", F.coalesce(closer, subject)).otherwise(subject)
+    return F.struct(name_fields(name).alias("fields"), closer.alias("closer"), is_answer_name(name).alias("answer"))
+
+
+def merged_with(of: Column, side: Column, path: Column, county: Column) -> Column:
+    """``merged``, given what was read from the name. Each step's values are bound, so each is made once a file."""
+    fields = bound(path_fields(path), lambda at: _joined(of, side, county, at))
+
+    def judged(x: Column) -> Column:
+        missing = F.array_join(F.array_compact(F.array(*[F.when(x[n].isNull(), n) for n in ("county", "grade", "subject", "school_year")])), ",")
+        kept = [x[n].alias(n) for n in ("county", "school_name", "grade", "level", "subject", "school_year", "school_term", "exam_type", "filetype")]
+        return bound(missing, lambda m: F.struct(*kept, m.alias("missing"), F.when(m == "", "keep").otherwise("skip_low_quality").alias("action")))
+
+    return bound(fields, judged)
+
+
+def _joined(read: Column, side: Column, county: Column, at: Column) -> Column:
+    of = read["fields"]
+    subject = F.coalesce(of["subject"], plain_subject(blank_to_null(side["subject"])), at["subject"])
+    subject = F.when(subject == "社會", F.coalesce(read["closer"], subject)).otherwise(subject)
     grade = F.coalesce(of["grade"], blank_to_null(side["grade"]), at["grade"])
     where = F.coalesce(blank_to_null(county), F.lit("_未分類"))
     school = F.coalesce(blank_to_null(side["school_name"]), at["school_name"])
     school = F.when(where != "_未分類", archive_name(school, where)).otherwise(school)
-    kind = F.coalesce(at["filetype"], F.when(is_answer_name(name), "daan").otherwise("paper"))
-    required = {"county": where, "grade": grade, "subject": subject, "school_year": of["school_year"]}
-    missing = F.array_join(F.array_compact(F.array(*[F.when(c.isNull(), n) for n, c in required.items()])), ",")
-    fields = {"county": where, "school_name": school, "grade": grade, "level": level_of(grade), "subject": subject, "school_year": of["school_year"], "school_term": of["school_term"], "exam_type": of["exam_type"], "filetype": kind, "missing": missing}
-    return F.struct(*[c.alias(n) for n, c in fields.items()], F.when(missing == "", "keep").otherwise("skip_low_quality").alias("action"))
+    kind = F.coalesce(at["filetype"], F.when(read["answer"], "daan").otherwise("paper"))
+    fields = {"county": where, "school_name": school, "grade": grade, "level": level_of(grade), "subject": subject, "school_year": of["school_year"], "school_term": of["school_term"], "exam_type": of["exam_type"], "filetype": kind}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])

@@ -1,5 +1,5 @@
 """Expressions over paths and file names: ids, layout, file-name fields, display titles. Column to Column, but for
-``computed``.
+``computed`` and ``computed_once``.
 
 Blank and null mean the same on input; a field that is not found is null unless said otherwise.
 """
@@ -31,6 +31,13 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return values.select(*rows.columns, F.explode(F.array("_value")).alias("_made")).select(*rows.columns, "_made.*")
 
 
+def computed_once(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that follow from ``key`` alone, made once for each of its values. Good where many rows share
+    a value; few values are sent to the rows, many are joined."""
+    each = computed(rows.select(key).distinct(), **columns).withColumnRenamed(key, "_key")
+    return rows.join(each, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with the value computed once: it is bound to the variable of a function over an array of one element."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -41,8 +48,14 @@ def blank_to_null(c: Column) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
-    """The group's text, or null if the pattern does not match or the group is empty."""
-    return blank_to_null(F.regexp_extract(c, pattern, group))
+    """The group's text, or null if the pattern does not match or the group is empty. The text is searched once: a nullif
+    would read the match twice."""
+    return F.get(F.filter(F.array(F.regexp_extract(c, pattern, group)), lambda t: t != ""), F.lit(0))
+
+
+def found_with(c: Column, word: str, pattern: str, group: int = 1) -> Column:
+    """``found`` by a pattern that needs ``word``: a text without the word, which costs little to see, is not searched."""
+    return F.when(F.contains(c, F.lit(word)), found(c, pattern, group))
 
 
 def first_of(c: Column, words: list[str]) -> Column:

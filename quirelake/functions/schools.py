@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirelake.functions.names import blank_to_null, lookup
+from quirelake.functions.names import blank_to_null, bound, lookup
 
 #: The 22 counties.
 COUNTIES = ["臺北市", "新北市", "桃園市", "臺中市", "臺南市", "高雄市", "基隆市", "新竹市", "嘉義市", "新竹縣", "苗栗縣", "彰化縣", "南投縣", "雲林縣", "嘉義縣", "屏東縣", "宜蘭縣", "花蓮縣", "臺東縣", "澎湖縣", "金門縣", "連江縣"]
@@ -92,13 +92,16 @@ def school_matches(query: Column, candidate: Column) -> Column:
 def archive_name(school: Column, county: Column) -> Column:
     """A school's name as the archive keeps it: without 國立, and without the longest beginning that names its county
     (with 立, 國立, 縣立 or 市立), as long as something is left."""
-    plain = F.regexp_replace(school, "^國立", "")
-    bare = F.regexp_replace(county, "[市縣]", "")
+    bare = F.translate(county, "市縣", "")
     public = F.when(F.endswith(county, F.lit("縣")), "縣立").otherwise("市立")
     given = F.array(*[F.concat(county, F.lit(x)) for x in ("立", "國立", "")], *[F.concat(bare, F.lit(x)) for x in ("縣立", "市立", "縣", "市")], public)
-    fits = F.filter(given, lambda p: F.startswith(plain, p) & (F.length(plain) > F.length(p)))
-    longest = F.coalesce(F.array_max(F.transform(fits, lambda p: F.length(p))), F.lit(0))
-    return F.when(F.coalesce(county, F.lit("")) == "", plain).otherwise(F.substring(plain, longest + 1, F.length(plain)))
+
+    def of(plain: Column) -> Column:
+        fits = F.filter(given, lambda p: F.startswith(plain, p) & (F.length(plain) > F.length(p)))
+        longest = F.coalesce(F.array_max(F.transform(fits, lambda p: F.length(p))), F.lit(0))
+        return F.when(F.coalesce(county, F.lit("")) == "", plain).otherwise(F.substring(plain, longest + 1, F.length(plain)))
+
+    return bound(F.regexp_replace(school, "^國立", ""), of)
 
 
 def strip_placeholders(name: Column, county: Column | None = None) -> Column:

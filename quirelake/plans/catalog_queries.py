@@ -170,14 +170,14 @@ FROM (SELECT name AS school_name, CASE WHEN ({_COUNTY_SQL.replace("school_name",
 @query(_MERGED)
 def merged_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: schools with distinct files and grade, placeholders given up for full names."""
-    calls = spark.sql(_CALLS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
+    calls = spark.sql(seed.whole(_CALLS).replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
     return school_merge.merged_schools(calls)
 
 
 @query(f"SELECT county, school, count(*) AS calls FROM (SELECT school_name AS school, {_COUNTY_SQL} AS county FROM (SELECT CASE WHEN school_name = '' THEN '未註明' ELSE school_name END AS school_name FROM ({_CALLS}) c) n) x GROUP BY ROLLUP (county, school)")
 def school_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: calls by county and school, by county and in all."""
-    calls = spark.sql(_CALLS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
+    calls = spark.sql(seed.whole(_CALLS).replace("FROM lineitem", "FROM {lineitem}"), lineitem=seed.line_items(spark, sf_dir))
     return school_merge.counted_calls(calls)
 
 

@@ -136,7 +136,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = seed.line_items(spark, sf_dir).groupBy("l_orderkey", sheet).agg(F.max("l_extendedprice").alias("l_extendedprice"))
     unread = [F.lit(None).alias(c) for c in ("l_partkey", "l_suppkey", "l_shipdate")]
     one = FILES_SQL.replace(_GROUPED, "").replace(f"max({_SIZE})", _SIZE).replace("FROM lineitem", "FROM {lineitem}")
-    rows = spark.sql(one, lineitem=sheets.select("*", *unread))
+    rows = spark.sql(seed.whole(one), lineitem=sheets.select("*", *unread))
     return names.computed(rows.select("k", "filetype", "size_kb", "paper_id", F.col("path").alias("_path")), path=F.col("_path"), county=F.get(F.split("_path", "/"), F.lit(2)), school_name=F.get(F.split("_path", "/"), F.lit(3))).select("paper_id", "path", "county", "school_name", "size_kb")
 
 

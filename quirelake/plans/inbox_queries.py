@@ -38,10 +38,11 @@ SELECT k, name, county, CASE WHEN form IN (0, 1, 2, 3) AND k % 5 = 0 THEN 'S' EL
 def inbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of inbox files from names, side files (every fifth has one) and folders."""
     c = F.col
-    rows = derived(spark, sf_dir, INBOX_SQL, "lineitem").select("k", "name", "folder", "county")
+    rows = derived(spark, sf_dir, INBOX_SQL, "lineitem", seed.sheets(spark, sf_dir)).select("k", "name", "folder", "county")
     side = lambda v: F.when(c("k") % 5 == 0, v)
     rows = rows.withColumn("side", F.struct(side("自然").alias("subject"), side("S").alias("school_name"), side("六年級").alias("grade")))
-    made = names.computed(rows, of=inbox.merged(c("name"), c("side"), F.concat("folder", "name"), c("county")))
+    rows = names.computed_once(rows, "name", read=inbox.read_name(c("name")))  # many folders hold files of one name
+    made = names.computed(rows, of=inbox.merged_with(c("read"), c("side"), F.concat("folder", "name"), c("county")))
     return made.select("k", "name", *[f"of.{f}" for f in ("county", "school_name", "grade", "subject", "school_year", "school_term", "exam_type", "filetype", "missing", "action")])
 
 

@@ -8,7 +8,9 @@ left out (9, 39), legacy folders (19), a school's folder with a free name (29).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions.names import GRADES, PUBLISHERS, computed
@@ -70,6 +72,11 @@ FROM (SELECT *, concat(school_year, CASE k % 2 WHEN 0 THEN '上' ELSE '下' END,
 """
 
 
+def whole(sql: str) -> str:
+    """A seed's SQL with a rounded down quotient by whole numbers, which are exact too, in place of one by decimals."""
+    return re.sub(r"CAST\(FLOOR\((\w+) / (\d+)\.0\) AS BIGINT\)", r"(\1 DIV \2 - CASE WHEN \1 % \2 < 0 THEN 1 ELSE 0 END)", sql)
+
+
 def read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate")
 
@@ -83,10 +90,27 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.repartition(max(spark.sparkContext.defaultParallelism, -(-store.n_bytes(items) // PART)), "l_orderkey")
 
 
+def one_each(items: DataFrame, *told: Column) -> DataFrame:
+    """One line item of each order, or of each order and value of ``told``: the least of each column. Numbers are compared
+    where the order's items lie, before any text is made of them."""
+    keys = [c.alias(f"_{i}") for i, c in enumerate(told)]
+    return items.groupBy("l_orderkey", *keys).agg(*[F.min(c).alias(c) for c in items.columns if c != "l_orderkey"]).select(*items.columns)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line item of each order."""
+    return one_each(line_items(spark, sf_dir))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line item of each order's question sheet and of its answer sheet."""
+    return one_each(line_items(spark, sf_dir), F.coalesce(F.col("l_linenumber") % 2 == 1, F.lit(False)))
+
+
 def attributes_of(items: DataFrame, *more: str) -> DataFrame:
     """Line items with their attributes and paths, the path made once, and with ``more`` columns of their own."""
     sql = ATTRIBUTES_SQL.replace("FROM lineitem", "FROM {lineitem}").replace("l_shipdate,", ", ".join(["l_shipdate", *more, ""]).rstrip())
-    rows = items.sparkSession.sql(sql, lineitem=items)
+    rows = items.sparkSession.sql(whole(sql), lineitem=items)
     return computed(rows.withColumnRenamed("rel_path", "_path"), rel_path=F.col("_path")).drop("_path")
 
 

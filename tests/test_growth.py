@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import names
 from quirelake.operators import catalog, dump, upkeep
-from quirelake.plans import dump_queries, seed
+from quirelake.plans import dump_queries, inbox_queries, seed
 
 SMALL = "/root/testdata/sf0.001"
 START = dt.datetime(2024, 1, 1)
@@ -87,3 +87,21 @@ def test_a_dumps_sheets_are_numbers_until_they_are_one_row_each(spark):
 def test_a_files_stem_is_made_once(spark):
     plan = dump_queries.classified(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?i)\\.pdf$") == 1
+
+
+def optimized(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_name_in_the_inbox_is_read_once_for_all_its_files(spark):
+    plan = optimized(inbox_queries.inbox_files(spark, SMALL))
+    assert plan.count("_(?:daan|paper)$") == plan.count("解答(\\d)") == plan.count("^國立") == 1  # once for each use before
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "")], "i long, x string")
+    made = names.computed_once(rows, "x", y=F.concat(F.coalesce("x", F.lit("none")), F.lit("!")))
+    assert sorted(tuple(r) for r in made.select("i", "x", "y").collect()) == [(1, "a", "a!"), (2, None, "none!"), (3, "a", "a!"), (4, "", "!")]
+
+
+def test_whole_numbers_stand_for_quotients_rounded_down(spark):
+    text = "SELECT CAST(FLOOR(id / 3.0) AS BIGINT) AS q, id FROM {t}"
+    assert "FLOOR" not in seed.whole(text)  # decimals were divided for each branch of each rule
+    assert [(r["q"], r["id"]) for r in spark.sql(seed.whole(text), t=spark.range(-7, 8)).collect()] == [(i // 3, i) for i in range(-7, 8)]
