@@ -88,23 +88,27 @@ def title_school(text: Column) -> Column:
     """struct(county, school_name, school_short, title) by the first ten lines: the first county within a hundred
     characters, and what follows it up to a school's ending within fifty, else twelve characters."""
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 10)
-    whole = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)\s+", "")
-    spelled = first_that(TITLE_COUNTIES, lambda c: F.contains(F.substring(whole, 1, 100), c))
+    read = lambda x: F.struct(F.regexp_replace(F.array_join(x, "\n"), r"(?U)\s+", "").alias("whole"), F.get(x, F.lit(0)).alias("first"))
+    spelled = lambda whole: bound(F.substring(whole, 1, 100), lambda start: first_that(TITLE_COUNTIES, lambda c: F.contains(start, c)))
+    title = lambda first: F.when(F.coalesce(text, F.lit("")) != "", F.trim(first))
+    return bound(bound(lines, read), lambda x: bound(spelled(x["whole"]), lambda s: _title_school(x["whole"], s, title(x["first"]))))
+
+
+def _title_school(whole: Column, spelled: Column, title: Column) -> Column:
     county = F.coalesce(lookup(spelled, {c: c for c in COUNTIES} | ALIASES), F.lit(OTHER))
     after = F.substring(whole, F.instr(whole, spelled) + F.length(spelled), F.lit(50))
     endings = "國民中學|國民小學|國中|國小|高中|高商|高工|高職|完全中學|附屬中學|附設國中|附設國小|實驗國中|實驗國小|高級中學|高級職業|高級商業|高級工業"
-    name = F.coalesce(found(after, f"^((?:市立|縣立|私立|國立|鄉立|鎮立)?[^0-9]+?(?:{endings}))"), F.substring(after, 1, 12))
-    school = F.when(spelled.isNull(), "未註明").otherwise(F.concat(county, name))
-    short = F.when(spelled.isNull(), school).otherwise(name)
-    return F.struct(county.alias("county"), school.alias("school_name"), short.alias("school_short"), F.when(F.coalesce(text, F.lit("")) != "", F.trim(F.get(lines, F.lit(0)))).alias("title"))
+    name = bound(after, lambda rest: F.coalesce(found(rest, f"^((?:市立|縣立|私立|國立|鄉立|鎮立)?[^0-9]+?(?:{endings}))"), F.substring(rest, 1, 12)))
+    if_named = lambda c: F.when(spelled.isNull(), "未註明").otherwise(c)
+    return bound(name, lambda n: F.struct(county.alias("county"), if_named(F.concat(county, n)).alias("school_name"), if_named(n).alias("school_short"), title.alias("title")))
 
 
 def accepted_school(text: Column, scanned: Column) -> Column:
     """title_school of the text where that knows the county, else of the scanned text, whose title is marked."""
-    first, second = title_school(text), title_school(scanned)
-    marked = second.withField("title", F.concat(F.lit("[OCR] "), F.coalesce(second["title"], F.lit(""))))
+    marked = lambda x: F.struct(*[x[n].alias(n) for n in ("county", "school_name", "school_short")], F.concat(F.lit("[OCR] "), F.coalesce(x["title"], F.lit(""))).alias("title"))
     none = F.struct(F.lit(OTHER).alias("county"), F.lit("未註明").alias("school_name"), F.lit("未註明").alias("school_short"), F.lit(None).cast("string").alias("title"))
-    return F.when(first["county"] != OTHER, first).when(F.coalesce(scanned, F.lit("")) != "", marked).otherwise(none)
+    other = F.when(F.coalesce(scanned, F.lit("")) != "", bound(title_school(scanned), marked)).otherwise(none)
+    return bound(title_school(text), lambda first: F.when(first["county"] != OTHER, first).otherwise(other))
 
 
 def usable_cover(text: Column) -> Column:

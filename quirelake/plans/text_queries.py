@@ -42,7 +42,9 @@ _LEVEL = f"CASE WHEN level <> '高中' THEN level WHEN {_FOUND_GRADE} = '十年
 
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.computed(derived(spark, sf_dir, COVER_SQL.format(vertical="regexp_replace(plain, '([^\\n])', '$1\\n')"), "lineitem").withColumnRenamed("text", "_text"), text=F.col("_text")).select("k", "text")
+    """Each order's cover, with the county it is of."""
+    rows = derived(spark, sf_dir, COVER_SQL.format(vertical="regexp_replace(plain, '([^\\n])', '$1\\n')"), "lineitem", seed.orders(spark, sf_dir))
+    return names.computed(rows.withColumnRenamed("text", "_text"), text=F.col("_text")).select("k", "county", "text")
 
 
 _COVERS = "WITH covers AS (" + COVER_SQL.format(vertical="regexp_replace(plain, '([^\\n])', '\\1' || chr(10), 'g')") + ")"
@@ -82,13 +84,12 @@ FROM covers WHERE form <> 5 AND county <> '新北市'"""
 def accepted_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text decides where it knows a county, else the scanned text, which here is that of forms with one; covers
     that are long enough and have the words."""
-    rows = covers(spark, sf_dir).filter("k % 6 <> 5")
+    rows = covers(spark, sf_dir).filter("k % 6 <> 5 and county <> '新北市'")
     text = F.when(F.col("k") % 6 == 1, "無縣市").otherwise(F.col("text"))
     scanned = F.when(F.col("k") % 6 == 4, "").otherwise(F.lit("高雄市立楠梓國中"))
     made = names.computed(rows, of=texts.accepted_school(text, scanned), usable=texts.usable_cover(F.col("text")))
     taken = F.when(F.startswith("of.title", F.lit("[OCR] ")), "scanned").when(F.col("of.county") == "其他縣市", "none").otherwise("text")
-    real = seed.attributes(spark, sf_dir).select("k", "county").distinct()
-    return made.join(real, "k").filter("county <> '新北市' and county <> '其他X'").select("k", taken.alias("taken"), "usable")
+    return made.select("k", taken.alias("taken"), "usable")
 
 
 # messages and home pages

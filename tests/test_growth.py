@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import names
 from quirelake.operators import catalog, dump, upkeep
-from quirelake.plans import dump_queries, inbox_queries, seed
+from quirelake.plans import dump_queries, inbox_queries, seed, text_queries
 
 SMALL = "/root/testdata/sf0.001"
 START = dt.datetime(2024, 1, 1)
@@ -105,3 +105,9 @@ def test_whole_numbers_stand_for_quotients_rounded_down(spark):
     text = "SELECT CAST(FLOOR(id / 3.0) AS BIGINT) AS q, id FROM {t}"
     assert "FLOOR" not in seed.whole(text)  # decimals were divided for each branch of each rule
     assert [(r["q"], r["id"]) for r in spark.sql(seed.whole(text), t=spark.range(-7, 8)).collect()] == [(i // 3, i) for i in range(-7, 8)]
+
+
+def test_a_title_is_read_once(spark):
+    plan = optimized(text_queries.accepted_schools(spark, SMALL))
+    assert plan.count("(?U)\\s+") == 2  # the text's and the scanned one's; once for each county and each use before
+    assert plan.count("Relation [") == 1  # joined with the line items again before
