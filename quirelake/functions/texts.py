@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirelake.functions.links import any_word
-from quirelake.functions.names import GRADES, LEVELS, blank_to_null, bound, found, level_of, lookup
+from quirelake.functions.names import GRADES, LEVELS, blank_to_null, bound, found, found_with, level_of, lookup
 from quirelake.functions.schools import ALIASES, COUNTIES, OTHER, first_that, full_year, strip_placeholders
 
 #: Counties as covers spell them.
@@ -20,17 +20,17 @@ COVER_SUBJECTS = [
     "自然與生活科技", "健康與體育", "綜合活動領域", "語文學習領域", "健康教育", "資訊科技", "生活科技", "國文", "國語", "英語", "英文", "數學", "自然", "社會", "理化", "生物", "歷史", "地理", "公民", "健康",
     "健體", "體育", "音樂", "美術", "家政", "生活", "綜合", "資訊", "科技", "作文", "閱讀", "童軍",
 ]
-#: Exams of a cover, in order: pattern, and what it is called around the captured number.
+#: Exams of a cover, in order: a word that the pattern needs, the pattern, what it is called around the captured number.
 COVER_EXAMS = [
-    (r"第\s*([1-3一二三])\s*次\s*階段\s*評量", "第", "次階段評量"),
-    (r"第\s*([1-3一二三])\s*階段\s*評量", "第", "階段評量"),
-    (r"第\s*([1-3一二三])\s*次\s*定期\s*(?:考|評量)", "第", "次定期考"),
-    (r"第\s*([1-3一二三])\s*次\s*段考", "第", "次段考"),
-    (r"第\s*([1-3一二三])\s*次\s*模擬考", "第", "次模擬考"),
-    (r"第\s*([1-3一二三])\s*次\s*月考", "第", "次月考"),
-    *[(f"({w})", "", "") for w in ("期中考", "期末考", "模擬考", "月考", "複習考")],
-    (r"(定期)(?:評量|考)", "", "評量"),
-    ("(階段評量)", "", ""),
+    ("階段", r"第\s*([1-3一二三])\s*次\s*階段\s*評量", "第", "次階段評量"),
+    ("階段", r"第\s*([1-3一二三])\s*階段\s*評量", "第", "階段評量"),
+    ("定期", r"第\s*([1-3一二三])\s*次\s*定期\s*(?:考|評量)", "第", "次定期考"),
+    ("段考", r"第\s*([1-3一二三])\s*次\s*段考", "第", "次段考"),
+    ("模擬考", r"第\s*([1-3一二三])\s*次\s*模擬考", "第", "次模擬考"),
+    ("月考", r"第\s*([1-3一二三])\s*次\s*月考", "第", "次月考"),
+    *[(w, f"({w})", "", "") for w in ("期中考", "期末考", "模擬考", "月考", "複習考")],
+    ("定期", r"(定期)(?:評量|考)", "", "評量"),
+    ("階段評量", "(階段評量)", "", ""),
 ]
 #: Terms by number.
 COVER_TERMS = {"1": "上學期", "一": "上學期", "2": "下學期", "二": "下學期", "3": "第3學期", "三": "第三學期"}
@@ -40,9 +40,9 @@ COVER_WORDS = ["學年度", "學年", "學期", "段考", "考試", "年級", "
 LIMIT_WORDS = ["下載太頻繁", "太多次", "明天再試", "稍後再試", "訪問過於頻繁"]
 
 
-def _first_found(patterns: list[tuple[str, str, str]], *texts: Column) -> Column:
+def _first_found(patterns: list[tuple[str, str, str, str]], *texts: Column) -> Column:
     """The first pattern in the first text that has any, its number between the words that go with it."""
-    return F.coalesce(*[F.concat(F.lit(before), found(t, p), F.lit(after)) for t in texts for p, before, after in patterns])
+    return F.coalesce(*[F.concat(F.lit(before), found_with(t, word, p), F.lit(after)) for t in texts for word, p, before, after in patterns])
 
 
 def cover_fields(text: Column) -> Column:
@@ -50,22 +50,28 @@ def cover_fields(text: Column) -> Column:
     a field that is not found is null, and so is all of a missing or empty text. Text set in columns is read once more
     without line ends and blanks."""
     both = F.struct(text.alias("text"), F.translate(text, "\n ", "").alias("compact"))
-    return F.when(F.coalesce(text, F.lit("")) != "", bound(both, lambda x: _cover_fields(x["text"], x["compact"])))
+    fields = lambda x: bound(_school_and_grade(x["text"], x["compact"]), lambda y: _cover_fields(x["text"], x["compact"], y["school"], y["grade"]))
+    return F.when(F.coalesce(text, F.lit("")) != "", bound(both, fields))
 
 
-def _cover_fields(text: Column, compact: Column) -> Column:
-    tw = lambda c: F.regexp_replace(c, "^台", "臺")
-    county_in = lambda t: tw(first_that(COVER_COUNTIES, lambda c: F.contains(F.substring(t, 1, 300), c)))
-    county = F.coalesce(county_in(text), county_in(compact))
+def _school_and_grade(text: Column, compact: Column) -> Column:
+    """struct(school, grade): what the level follows from as well."""
     named = r"([一-鿿]{2,3}[市縣]立?[一-鿿]{2,15}(?:國[民中小]|高中|高工|商職|家商|工商|高商|高職))"
     bare = r"([一-鿿]{2,15}(?:國民中學|國民小學|國中部|國小部|高中部|高級中學|國中|國小|高中|高工|高商|高職|家商|工商))"
-    school = blank_to_null(strip_placeholders(F.coalesce(found(compact, named), found(text, named), found(text, bare))))
-    year = full_year(F.coalesce(found(text, r"(\d{2,3})\s*學年"), found(compact, r"(\d{2,3})\s*學年")))
-    number = lambda t: found(t, r"第\s*([1-3一二三])\s*學期")
-    half = lambda t: F.coalesce(lookup(number(t), COVER_TERMS), found(t, "([上下]學期)"), F.concat(found(t, r"([上下])半\s*年"), F.lit("學期")))
-    term = F.coalesce(half(text), half(compact), F.concat(found(text, r"[(（]\s*([上下])\s*[)）]"), F.lit("學期")))
+    school = bound(F.coalesce(found(compact, named), found(text, named), found(text, bare)), lambda s: F.when(F.contains(s, F.lit("_")), blank_to_null(strip_placeholders(s))).otherwise(s))
     seen = lambda w: F.contains(text, w) | F.contains(compact, w)
     grade = F.coalesce(lookup(first_that(list(SPOKEN), seen), SPOKEN), first_that(GRADES, seen))
+    return F.struct(school.alias("school"), grade.alias("grade"))
+
+
+def _cover_fields(text: Column, compact: Column, school: Column, grade: Column) -> Column:
+    tw = lambda c: F.translate(c, "台", "臺")
+    county_in = lambda t: tw(bound(F.substring(t, 1, 300), lambda start: first_that(COVER_COUNTIES, lambda c: F.contains(start, c))))
+    county = F.coalesce(county_in(text), county_in(compact))
+    year = bound(F.coalesce(found_with(text, "學年", r"(\d{2,3})\s*學年"), found_with(compact, "學年", r"(\d{2,3})\s*學年")), full_year)
+    number = lambda t: found_with(t, "學期", r"第\s*([1-3一二三])\s*學期")
+    half = lambda t: F.coalesce(lookup(number(t), COVER_TERMS), found_with(t, "學期", "([上下]學期)"), F.concat(found_with(t, "半", r"([上下])半\s*年"), F.lit("學期")))
+    term = F.coalesce(half(text), half(compact), F.concat(found(text, r"[(（]\s*([上下])\s*[)）]"), F.lit("學期")))
     by_name = F.when(F.contains(school, F.lit("高級中學")) | F.endswith(school, F.lit("高中部")), LEVELS[2])
     by_name = by_name.when(any_word(school, ["國民中學", "國中部"]) | F.endswith(school, F.lit("國中")), LEVELS[1])
     by_name = by_name.when(any_word(school, ["國民小學", "國小部"]) | F.endswith(school, F.lit("國小")), LEVELS[0])

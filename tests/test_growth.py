@@ -111,3 +111,9 @@ def test_a_title_is_read_once(spark):
     plan = optimized(text_queries.accepted_schools(spark, SMALL))
     assert plan.count("(?U)\\s+") == 2  # the text's and the scanned one's; once for each county and each use before
     assert plan.count("Relation [") == 1  # joined with the line items again before
+
+
+def test_a_covers_school_is_read_once(spark):
+    plan = optimized(text_queries.cover_fields(spark, SMALL))
+    assert plan.count("國[民中小]") == 2  # the text and the text without blanks; once for each use before
+    assert plan.count("次\\s*段考") == 2
