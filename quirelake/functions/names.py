@@ -109,7 +109,10 @@ def layout(path: Column) -> Column:
     ``legacy``: county/level/grade/subject/.../name, a question sheet; ``school``: county/.../name with two folders or
     more, of which only the county is known.
     """
-    parts = F.split(path, "/")
+    return bound(F.split(path, "/"), lambda parts: _layout(path, parts))
+
+
+def _layout(path: Column, parts: Column) -> Column:
     part = lambda i: F.get(parts, F.lit(i))
     dirs = F.size(parts) - 1
     dump = (dirs >= 4) & (part(0) == "_未分類") & (part(1) == "DriveFolder")
@@ -123,7 +126,7 @@ def layout(path: Column) -> Column:
 
     return (
         F.when(dump & (extension(path) != ".pdf"), None)
-        .when(dump, made("dump", part(2), none, none, none, guess_filetype(file_name(path))))
+        .when(dump, made("dump", part(2), none, none, none, guess_filetype(F.element_at(parts, -1))))
         .when(full, made("full", *[part(i) for i in range(5)]))
         .when(legacy, made("legacy", *[part(i) for i in range(4)], F.lit("paper")))
         .when((dirs >= 2) & (part(0) != ""), made("school", part(0), none, none, none, none))

@@ -19,23 +19,30 @@ FACETS = ["school_year", "grade", "subject", "exam_type", "school_term", "versio
 NEWEST = ["mtime", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
 
 
-def newest_paths(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:
+def newest_paths(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """The newest row of each catalogued path, with paper_id and the path it was found at (``found_at``). A maximum by
     the order columns, combined before the one shuffle; nothing is parsed for rows that go. The catalogued path, which
-    follows from the one found, is made again behind the shuffle."""
+    follows from the one found, is made again behind the shuffle. ``parts``: to how many tasks the paths are dealt, which the
+    names are then read in; without it to as many as any shuffle has, whatever the listing's size."""
     rows = listing.filter(~names.pruned(F.col("rel_path"), SKIP)).withColumnRenamed("rel_path", "found_at")
     path = names.canonical_path(F.col("found_at"), faithful_dump_path)
     order = [c for c in order or NEWEST if c in listing.columns]
     rest = [c for c in rows.columns if c not in order]
-    kept = names.computed(rows, paper_id=names.paper_id(path)).groupBy("paper_id").agg(F.max(F.struct(*order, *rest)).alias("x"))
+    known = names.computed(rows, paper_id=names.paper_id(path))
+    kept = (known.repartition(parts, "paper_id") if parts else known).groupBy("paper_id").agg(F.max(F.struct(*order, *rest)).alias("x"))
     return names.computed(kept.select("paper_id", "x.*"), rel_path=path)
 
 
-def build_catalog(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None) -> DataFrame:
+def placed(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """The newest row of each path that is an archive file's, with its layout (``at``); no name is parsed."""
+    return names.computed(newest_paths(listing, faithful_dump_path, order, parts), at=names.layout(F.col("found_at"))).filter("at is not null")
+
+
+def build_catalog(listing: DataFrame, faithful_dump_path: bool = False, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Listing rows (rel_path, size_kb, mtime, ...) to catalogue rows with ids, parsed fields, title and flags, one for
     each path."""
-    rows = names.computed(newest_paths(listing, faithful_dump_path, order), at=names.layout(F.col("found_at")), filename=names.file_name(F.col("found_at")))
-    rows = names.computed(rows.filter("at is not null"), of=names.parse_file_name(F.col("filename"), F.col("at.county")))
+    rows = names.computed(placed(listing, faithful_dump_path, order, parts), filename=names.file_name(F.col("found_at")))
+    rows = names.computed(rows, of=names.parse_file_name(F.col("filename"), F.col("at.county")))
     blank = names.blank_to_null
     folder = F.when(F.col("at.layout") == "dump", F.get(F.split("found_at", "/"), F.lit(3)))
     rows = names.computed(rows, school=F.coalesce(folder, F.col("of.school_name"), names.fallback_school(F.col("rel_path"), F.col("filename"))))
@@ -74,7 +81,8 @@ def last_by_both_keys(rows: DataFrame, order: list[str], keys: tuple[str, str] =
     rest = [c for c in rows.columns if c not in (one, other, *order)]
     last = rows.groupBy(one).agg(F.max(F.struct(*order, other, *rest)).alias("x")).select(one, "x.*")
     by_other = rows.groupBy(other).agg(F.max(F.struct(*order, one)).alias("last_here"))
-    kept = last.join(by_other, other).filter(F.struct(*order, one).eqNullSafe(F.col("last_here")))
+    # no row is later than its group's last; said this way, rows meet by the key alone and not by all that orders them
+    kept = last.join(by_other, other).filter(F.struct(*order, one) >= F.col("last_here"))
     return kept.select(*rows.columns)
 
 

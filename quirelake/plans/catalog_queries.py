@@ -40,7 +40,7 @@ def catalog(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
     known = _WRITTEN.get(at)
     if anew or known is None or not store.is_there(spark, known[0]):
         path = store.new_path(spark, "catalog")
-        _WRITTEN[at] = (path, store.write_catalog(jobs.build_catalog(seed.listing(spark, sf_dir)), path))
+        _WRITTEN[at] = (path, store.write_catalog(jobs.build_catalog(seed.newest_listing(spark, sf_dir), parts=seed.parts(seed.read_items(spark, sf_dir))), path))
     return _WRITTEN[at][1]
 
 
@@ -301,10 +301,10 @@ QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY turn DESC) = 1 AND row
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: a batch of later line items over a catalogue of earlier ones; a batch row replaces what has its id or its
     path, old rows and rows of the same batch that came before it."""
-    rows = seed.listing(spark, sf_dir)
+    parts = seed.parts(seed.read_items(spark, sf_dir))
     # built once and written, as both keys' maxima read them; the result has these columns and what orders them
     needed = ["paper_id", "rel_path", "size_kb", *jobs.NEWEST, "k"]
-    old, new = (store.kept(jobs.build_catalog(rows.filter(f"l_linenumber {some}")).select(needed), "upsert") for some in ("<= 4", ">= 3"))
+    old, new = (store.kept(jobs.placed(seed.newest_listing(spark, sf_dir, f"l_linenumber {some}"), parts=parts).select(needed), "upsert") for some in ("<= 4", ">= 3"))
     turns = [
         F.when(F.expr(when), F.struct((F.concat(F.lit(letter), F.substring("paper_id", 2, 15)) if letter else F.col("paper_id")).alias("paper_id"), F.concat(F.lit(folder), "rel_path").alias("rel_path"), F.lit(n + 1).alias("turn")))
         for n, (when, letter, folder) in enumerate(_TURNS)

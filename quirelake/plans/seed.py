@@ -87,7 +87,12 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules' long cases are one method each where a whole stage is one; past ``COMPILED`` bytes expressions get methods of their own."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
     items = read_items(spark, sf_dir)
-    return items.repartition(max(spark.sparkContext.defaultParallelism, -(-store.n_bytes(items) // PART)), "l_orderkey")
+    return items.repartition(parts(items), "l_orderkey")
+
+
+def parts(items: DataFrame) -> int:
+    """How many tasks line items are dealt to, and the catalogue that is made of them."""
+    return max(items.sparkSession.sparkContext.defaultParallelism, -(-store.n_bytes(items) // PART))
 
 
 def one_each(items: DataFrame, *told: Column) -> DataFrame:
@@ -102,9 +107,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_each(line_items(spark, sf_dir))
 
 
+def sheet() -> Column:
+    """Whether a line item is of its order's question sheet; all others are of the answer sheet."""
+    return F.coalesce(F.col("l_linenumber") % 2 == 1, F.lit(False))
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item of each order's question sheet and of its answer sheet."""
-    return one_each(line_items(spark, sf_dir), F.coalesce(F.col("l_linenumber") % 2 == 1, F.lit(False)))
+    return one_each(line_items(spark, sf_dir), sheet())
 
 
 def attributes_of(items: DataFrame, *more: str) -> DataFrame:
@@ -118,6 +128,15 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes_of(line_items(spark, sf_dir))
 
 
+def newest_listing(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """The listing of those line items that ``where`` holds for, without those that a newer one of the same order and sheet,
+    and so of the same path, replaces: they are told apart by numbers, before paths are made."""
+    items = line_items(spark, sf_dir).filter(where)
+    order = [F.col("l_shipdate").cast("date").alias("l_shipdate"), "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"]
+    newest = items.groupBy("l_orderkey", sheet().alias("_sheet")).agg(F.max(F.struct(*order)).alias("x")).select("l_orderkey", "x.*")
+    return attributes_of(newest.select(*items.columns)).select(*LISTED)
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive listing that the line items stand for: path, size, time, and the columns that break ties."""
     return attributes(spark, sf_dir).select(*LISTED)

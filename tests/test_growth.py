@@ -117,3 +117,19 @@ def test_a_covers_school_is_read_once(spark):
     plan = optimized(text_queries.cover_fields(spark, SMALL))
     assert plan.count("國[民中小]") == 2  # the text and the text without blanks; once for each use before
     assert plan.count("次\\s*段考") == 2
+
+
+def test_rows_of_an_upsert_meet_by_a_key_alone(spark):
+    rows = spark.createDataFrame([("a", "p", 1), ("a", "q", 2), ("b", "q", 3), ("c", "r", None)], "paper_id string, rel_path string, n int")
+    kept = catalog.last_by_both_keys(rows, ["n"])
+    assert sorted(r["paper_id"] for r in kept.collect()) == ["b", "c"]
+    joins = [x for x in optimized(kept).splitlines() if "Join Inner" in x]
+    assert joins and not [x for x in joins if "<=>" in x]  # all that orders them was a key of the join, dealt and sorted by
+
+
+def test_placed_files_are_those_of_the_catalogue_and_parse_no_name(spark):
+    placed = catalog.placed(seed.newest_listing(spark, SMALL))
+    assert "第\\\\d學期" not in optimized(placed) and "第\\d學期" not in optimized(placed)
+    built = catalog.build_catalog(seed.listing(spark, SMALL))
+    columns = ["paper_id", "rel_path", "size_kb", *catalog.NEWEST, "k"]
+    assert sorted(map(tuple, placed.select(columns).collect())) == sorted(map(tuple, built.select(columns).collect()))
