@@ -133,3 +133,10 @@ def test_placed_files_are_those_of_the_catalogue_and_parse_no_name(spark):
     built = catalog.build_catalog(seed.listing(spark, SMALL))
     columns = ["paper_id", "rel_path", "size_kb", *catalog.NEWEST, "k"]
     assert sorted(map(tuple, placed.select(columns).collect())) == sorted(map(tuple, built.select(columns).collect()))
+
+
+def test_paths_are_read_in_as_many_parts_as_the_line_items_have(spark, monkeypatch):
+    monkeypatch.setattr(seed, "PART", 4096, raising=False)
+    parts = seed.parts(seed.read_items(spark, SMALL))
+    rows = catalog.build_catalog(seed.newest_listing(spark, SMALL), parts=parts)
+    assert parts > 8 and rows.rdd.getNumPartitions() == parts  # as many as any shuffle has before, whatever the size
