@@ -11,7 +11,10 @@ are read once for all its anchors, and only folders that hold a wanted block are
 
 Positives are one search (own label, all scores), negatives another (other labels, a window for each positive). Anchors
 meet zones, which are ``BLOCK`` times fewer than rows, and then the blocks they need; equal vectors, whatever their number,
-fill blocks of their own. A task keeps the best ``k`` rows of each window it meets, never all scores.
+fill blocks of their own. What is wanted is kept as pairs of names with a bit for each anchor; vectors and windows are not
+repeated in it but dealt once for each tile, a part of the groups by a part of the blocks. A task holds a tile's groups and takes
+its blocks one by one; it keeps the best ``k`` rows of each window it meets, never all scores. Tables that grow with the rows are
+joined by sorting, as the size of their files says little of their rows: nothing that grows goes through the driver.
 
 Defined results: rows with a null id, label or vector, an empty vector or a null component take no part; repeated rows and ids are rows of their own, but no
 row with the anchor's id is its positive; vectors of different lengths never meet; ties go to the smaller id; a positive
@@ -34,6 +37,8 @@ from quirelake.llm._spark import new_folder, written
 
 #: Vectors of a block, anchors of a group, zones that a group meets at a time, blocks read first for each of them.
 BLOCK, GROUP, ZONES, SEEDS = 256, 64, 256, 2
+#: Groups of a tile, blocks at most, and tiles for each core where there are blocks enough.
+TILE_GROUPS, TILE_BLOCKS, TILES = 64, 256, 8
 #: Bits of the curve for each dimension, over the mean and SPREAD deviations to both sides; what lies outside counts as the edge.
 BITS, SPREAD = 4, 3.0
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -138,15 +143,24 @@ def _packed(rows: DataFrame, size: int, width: str) -> DataFrame:
 WINDOW = "array<struct<a:int,w:int,low:long,high:long,upto:long>>"
 
 
-def _wanted(groups: DataFrame, windows: DataFrame, zones: DataFrame, same: bool, width: str, seeds: int | None) -> DataFrame:
-    """(block, shelf, group, label, members, ids, body, windows) of each block that a window of the group's anchors can need: of all
-    such blocks, or the ``seeds`` with the highest bounds among the zones that a group meets at a time."""
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the rows; neither is sent to the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _asking(groups: DataFrame, windows: DataFrame) -> DataFrame:
+    """(group, own, own_dim, n, ids, body, windows) of each group whose anchors have windows."""
     of_group = windows.groupBy("group").agg(F.collect_list(F.struct("a", "w", "low", "high", "upto")).alias("windows"))
-    own = groups.select(F.col("block").alias("group"), F.col("label").alias("own"), F.col("dim").alias("own_dim"), "n", "ids", "body").join(of_group, "group")
+    return _met(groups.select(F.col("block").alias("group"), F.col("label").alias("own"), F.col("dim").alias("own_dim"), "n", "ids", "body"), of_group, "group")
+
+
+def _wanted(own: DataFrame, zones: DataFrame, same: bool, width: str, seeds: int | None) -> DataFrame:
+    """(block, shelf, group, members) of each block that a window of the group's anchors can need, with a bit for each anchor: of all
+    such blocks, or the ``seeds`` with the highest bounds among the zones that a group meets at a time."""
     parts = -(-zones.count() // ZONES) or 1
     zone = F.struct("block", "shelf", "dim", "label", "first", "lo", "hi")
     laid = zones.select(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), zone.alias("zone")).groupBy("part").agg(F.collect_list("zone").alias("zones"))
-    met = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(laid, "part")
+    met = _met(own.drop("ids").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), laid, "part")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _single(batches):
@@ -174,17 +188,33 @@ def _wanted(groups: DataFrame, windows: DataFrame, zones: DataFrame, same: bool,
                 chosen = np.zeros_like(needed)
                 np.put_along_axis(chosen, top, True, axis=1)
                 needed &= chosen
-            ids = batch.column("ids").flatten().to_numpy()
-            for z in np.flatnonzero(needed.any(axis=0)).tolist():
-                members = np.flatnonzero(needed[:, z])
-                which = np.flatnonzero(needed[a, z])
-                lists = [pa.array([members.tolist()], pa.list_(pa.int32())), pa.array([ids[members].tolist()], pa.list_(pa.int64())), pa.array([anchors[members].tobytes()], pa.binary())]
-                chosen_windows = pa.ListArray.from_arrays(pa.array([0, len(which)], pa.int32()), asked.take(pa.array(which)))
-                yield pa.RecordBatch.from_arrays(
-                    [zone.field("block").slice(z, 1), zone.field("shelf").slice(z, 1), batch.column("group"), *lists, chosen_windows], names=["block", "shelf", "group", "members", "anchor_ids", "anchors", "windows"]
-                )
-
-    return written(met.mapInArrow(reach, f"block long, shelf int, group long, members array<int>, anchor_ids array<long>, anchors binary, windows {WINDOW}"), "wanted-blocks")
+            used = np.flatnonzero(needed.any(axis=0))
+            if len(used):
+                of_zone = zone.take(pa.array(used))
+                members = pa.array([x.tobytes() for x in np.packbits(needed[:, used].T, axis=1)], pa.binary())
+                group = pa.array(np.full(len(used), batch.column("group")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([of_zone.field("block"), of_zone.field("shelf"), group, members], names=["block", "shelf", "group", "members"])
+
+    return written(met.mapInArrow(reach, "block long, shelf int, group long, members binary"), "wanted-blocks")
+
+
+def _tiled(wanted: DataFrame, blocks: DataFrame, own: DataFrame) -> DataFrame:
+    """The wanted pairs dealt by tile, each tile's groups first (kind 0: key, ids, body, windows), then the pairs (1: key, other, body: the
+    bits), then its blocks (2: key, ids, body), each once."""
+    cores = wanted.sparkSession.sparkContext.defaultParallelism
+    n_groups, n_blocks = wanted.agg(F.approx_count_distinct("group"), F.approx_count_distinct("block")).first()
+    across = -(-n_groups // TILE_GROUPS) or 1
+    down = max(-(-n_blocks // TILE_BLOCKS), min(-(-TILES * cores // across), n_blocks), 1)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    pairs = wanted.select(part("group", across).alias("g"), part("block", down).alias("z"), "block", "group", "members")
+    null = lambda kind: F.lit(None).cast(kind)
+    held = _met(pairs.select("g", "z", "group").distinct(), own.select("group", "ids", "body", "windows"), "group")
+    taken = _met(pairs.select("g", "z", "block").distinct(), blocks.select("block", "ids", "body"), "block")
+    laid = held.select("g", "z", F.lit(0).alias("kind"), F.col("group").alias("key"), null("long").alias("other"), "ids", "body", "windows")
+    laid = laid.union(pairs.select("g", "z", F.lit(1), "block", "group", null("array<long>"), "members", null(WINDOW)))
+    laid = laid.union(taken.select("g", "z", F.lit(2), "block", null("long"), "ids", "body", null(WINDOW)))
+    n_parts = min(across * down, max(TILES * cores, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return laid.repartition(n_parts, "g", "z").sortWithinPartitions("g", "z", "kind", "key")
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +232,19 @@ def _largest(*arrays: np.ndarray) -> int:
     return max((max(int(x.max()), -int(x.min())) for x in arrays if x.size), default=0)
 
 
+def _exact(x: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Vectors as they are, their largest component, and the same as floats."""
+    return x, _largest(x), x.astype(float)
+
+
+def _scores(anchors: tuple, members: np.ndarray, block: tuple) -> np.ndarray:
+    """Inner products of some of the anchors with all rows of a block: of floats where their sums stay exact."""
+    size = max(anchors[1], block[1])
+    if size * size * block[0].shape[1] < 1 << 53:
+        return anchors[2][members] @ block[2].T
+    return _numbers(anchors[0][members], size) @ _numbers(block[0], size).T
+
+
 def bounds(anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest and least inner products of each anchor with any vector inside each zone."""
     size = _largest(anchors, lo, hi)
@@ -210,41 +253,58 @@ def bounds(anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
 
 
-def _best(wanted: DataFrame, blocks: DataFrame, k: int, same: bool, width: str) -> DataFrame:
+def _best(wanted: DataFrame, blocks: DataFrame, own: DataFrame, k: int, same: bool, width: str) -> DataFrame:
     """(group, a, w, score, id, rank): the best ``k`` rows of each window in the wanted blocks, by score, then id."""
     shelves = [r["shelf"] for r in wanted.select("shelf").distinct().collect()]  # at most one for each range
-    bodies = blocks.filter(F.col("shelf").isin(shelves)).select("block", "ids", "body")
+    bodies = blocks.filter(F.col("shelf").isin(shelves))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        tile, groups, asking = None, {}, {}
         for batch in _single(batches):
-            ids, members = batch.column("ids").flatten().to_numpy(), batch.column("members").flatten().to_numpy()
-            anchor_ids = batch.column("anchor_ids").flatten().to_numpy()
-            a = np.frombuffer(batch.column("anchors")[0].as_buffer(), width).reshape(len(members), -1)
-            b = np.frombuffer(batch.column("body")[0].as_buffer(), width).reshape(len(ids), -1)
-            size = _largest(a, b)
-            scores = _numbers(a, size) @ _numbers(b, size).T
-            asked, group = batch.column("windows").flatten(), batch.column("group")[0].as_py()
-            of = np.searchsorted(members, asked.field("a").to_numpy())
-            low, high, w = asked.field("low").to_numpy().copy(), asked.field("high").to_numpy(), asked.field("w").to_numpy()
-            keys = [(group, int(members[o]), int(x)) for o, x in zip(of, w, strict=True)]
-            for i, key in enumerate(keys):
-                if len(have := best.get(key, [])) == k:
-                    low[i] = max(low[i], -have[-1][0])
-            inside = (scores[of] >= low[:, None]) & (scores[of] <= high[:, None])
-            if same:
-                inside &= anchor_ids[of][:, None] != ids[None, :]
-            row, column = np.nonzero(inside)
-            if not len(row):
+            g, z, kind, key, other = (batch.column(i)[0].as_py() for i in range(5))
+            if (g, z) != tile:
+                tile, groups, asking = (g, z), {}, {}
+            if kind == 1:
+                asking.setdefault(key, []).append((other, batch.column("body")[0].as_py()))
+                continue
+            ids = batch.column("ids").flatten().to_numpy()
+            vectors = np.frombuffer(batch.column("body")[0].as_buffer(), width).reshape(len(ids), -1)
+            if kind == 0:
+                asked = batch.column("windows").flatten()
+                a, w, low, high = (asked.field(x).to_numpy().copy() for x in ("a", "w", "low", "high"))
+                keys = [(key, *x) for x in zip(a.tolist(), w.tolist(), strict=True)]
+                for i, x in enumerate(keys):
+                    if len(have := best.get(x, [])) == k:
+                        low[i] = max(low[i], -have[-1][0])
+                groups[key] = (ids, _exact(vectors), a, keys, low, high)
                 continue
-            got = scores[of[row], column].astype(np.int64)
-            order = np.lexsort((ids[column], -got, row))
-            row, column, got = row[order], column[order], got[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            for i, s, v in zip(row[keep].tolist(), got[keep].tolist(), ids[column[keep]].tolist(), strict=True):
-                best.setdefault(keys[i], []).append((-s, v))
-            for i in np.unique(row).tolist():
-                best[keys[i]] = sorted(best[keys[i]])[:k]
+            block = _exact(vectors)
+            for group, bits in asking[key]:
+                anchor_ids, anchors, a, keys, low, high = groups[group]
+                members = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(anchor_ids)))
+                scores = _scores(anchors, members, block)
+                place = np.full(len(anchor_ids), -1)
+                place[members] = np.arange(len(members))
+                at = np.flatnonzero(place[a] >= 0)
+                at = at[scores.max(axis=1)[place[a[at]]] >= low[at]]
+                of = place[a[at]]
+                inside = (scores[of] >= low[at, None]) & (scores[of] <= high[at, None])
+                if same:
+                    inside &= anchor_ids[a[at], None] != ids[None, :]
+                row, column = np.nonzero(inside)
+                if not len(row):
+                    continue
+                got = scores[of[row], column].astype(np.int64)
+                order = np.lexsort((ids[column], -got, row))
+                row, column, got = row[order], column[order], got[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                for i, s, v in zip(at[row[keep]].tolist(), got[keep].tolist(), ids[column[keep]].tolist(), strict=True):
+                    best.setdefault(keys[i], []).append((-s, v))
+                for i in at[np.unique(row)].tolist():
+                    have = best[keys[i]] = sorted(best[keys[i]])[:k]
+                    if len(have) == k:
+                        low[i] = max(low[i], -have[-1][0])
             if len(best) > KEPT:
                 yield from handed(best)
                 best = {}
@@ -256,7 +316,7 @@ def _best(wanted: DataFrame, blocks: DataFrame, k: int, same: bool, width: str)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["group", "a", "w", "score", "id"])
 
-    found = wanted.drop("shelf").join(bodies, "block").mapInArrow(score, "group long, a int, w int, score long, id long")
+    found = _tiled(wanted, bodies, own).mapInArrow(score, "group long, a int, w int, score long, id long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("group", "a", "w").orderBy(F.desc("score"), "id")))
     return written(ranked.filter(F.col("rank") <= k), "best-rows")
 
@@ -264,10 +324,12 @@ def _best(wanted: DataFrame, blocks: DataFrame, k: int, same: bool, width: str)
 def _search(groups: DataFrame, windows: DataFrame, zones: DataFrame, blocks: DataFrame, k: int, same: bool, width: str) -> DataFrame:
     """The best ``k`` rows of each window: seeds first, then all blocks that may hold a better row than theirs."""
     windows = written(windows.withColumn("upto", F.lit(MOST)), "windows")
-    seen = _best(_wanted(groups, windows, zones, same, width, SEEDS), blocks, k, same, width)
+    own = written(_asking(groups, windows), "asking-groups")
+    seen = _best(_wanted(own, zones, same, width, SEEDS), blocks, own, k, same, width)
     worst = seen.filter(F.col("rank") == k).select("group", "a", "w", "score", "id")
-    tight = windows.join(worst, ["group", "a", "w"], "left").select("group", "a", "w", F.coalesce("score", "low").alias("low"), "high", F.coalesce("id", "upto").alias("upto"))
-    return _best(_wanted(groups, written(tight, "windows"), zones, same, width, None), blocks, k, same, width)
+    tight = _met(windows, worst, ["group", "a", "w"], "left").select("group", "a", "w", F.coalesce("score", "low").alias("low"), "high", F.coalesce("id", "upto").alias("upto"))
+    own = written(_asking(groups, tight), "asking-groups")
+    return _best(_wanted(own, zones, same, width, None), blocks, own, k, same, width)
 
 
 def hard_negatives(
@@ -298,5 +360,5 @@ def hard_negatives(
     asked = positives.filter("positive_score >= 0").select("group", "a", "w", edge(low_percent, F.ceil).alias("low"), edge(high_percent, F.floor).alias("high"))
     negatives = _search(groups, asked, zones, blocks, n_negatives, False, width).select("group", "a", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     anchors = groups.select(F.col("block").alias("group"), F.posexplode("ids").alias("a", "anchor_id"))
-    found = negatives.join(positives, ["group", "a", "w"]).join(anchors, ["group", "a"])
+    found = _met(_met(negatives, positives, ["group", "a", "w"]), anchors, ["group", "a"])
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -243,6 +243,35 @@ def test_zones_of_clusters_spare_blocks(spark):
     assert all(wanted < 0.5 * blocks * 20 for wanted, blocks in read)
 
 
+def test_wanted_pairs_hold_no_vectors_and_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, rng.integers(-99, 99, 16).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<long>")
+    widths, real = [], hard_negatives._best
+
+    def spied(wanted, *rest):
+        widths.append(wanted.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0])
+        return real(wanted, *rest)
+
+    monkeypatch.setattr(hard_negatives, "_best", spied)
+    found = hard_negatives.hard_negatives(df, F.col("id") % 10 == 0, block=8)
+    assert mined(found) == brute_negatives(rows, lambda i: i % 10 == 0)
+    assert max(widths) < 150  # the vectors and windows of up to 64 anchors before, for each block that any of them wants
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 2_000_000_000])
+def test_tiles_of_any_size_and_vectors_beyond_floats(spark, monkeypatch, size):
+    monkeypatch.setattr(hard_negatives, "TILE_GROUPS", 1)
+    monkeypatch.setattr(hard_negatives, "TILES", 3)
+    monkeypatch.setattr(hard_negatives, "KEPT", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, [int(x) * size // 9 for x in rng.integers(-9, 10, 2)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<long>")
+    found = hard_negatives.hard_negatives(df, F.col("id") % 5 == 0, block=16)
+    assert mined(found) == brute_negatives(rows, lambda i: i % 5 == 0)
+
+
 def test_odd_vectors(spark):
     rows = [(0, 1, [0.5, 0.25]), (1, 1, [0.5, 0.25]), (1, 1, [0.5, 0.25]), (2, 2, [0.5, 0.25]), (3, None, [0.5, 0.25]), (4, 2, None), (5, 2, [None, 1.0]), (6, 2, [float("nan"), 1.0]), (7, 2, [float("inf"), 1.0])]
     rows += [(None, 2, [0.5, 0.25]), (8, 2, []), (100, 1, [-0.5, 0.1]), (9, 2, [0.4, 0.3]), (10, 2, [3.0e9, 1.0]), (200, 7, [1.0, 2.0, 3.0])]
