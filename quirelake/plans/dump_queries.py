@@ -145,7 +145,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.find_conflicts(classified(spark, sf_dir), catalog_queries.catalog(spark, sf_dir))
+    return jobs.classify_and_find(files(spark, sf_dir), catalog_queries.catalog(spark, sf_dir))
 
 
 @query(WITH + "SELECT paper_id, rel_path, filename, county, school_name, school_year, school_term, exam_type, level, grade, grade_parse_pattern, subject, filetype, confidence, target_rel, target_filename, skip_reason, size_kb FROM classified")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from quirelake.functions import names
 from quirelake.operators import catalog, dump, upkeep
-from quirelake.plans import dump_queries, inbox_queries, seed, text_queries
+from quirelake.plans import catalog_queries, dump_queries, inbox_queries, seed, text_queries
+from quirelake.sources import files, store
 
 SMALL = "/root/testdata/sf0.001"
 START = dt.datetime(2024, 1, 1)
@@ -140,3 +143,50 @@ def test_paths_are_read_in_as_many_parts_as_the_line_items_have(spark, monkeypat
     parts = seed.parts(seed.read_items(spark, SMALL))
     rows = catalog.build_catalog(seed.newest_listing(spark, SMALL), parts=parts)
     assert parts > 8 and rows.rdd.getNumPartitions() == parts  # as many as any shuffle has before, whatever the size
+
+
+def shuffle_files(spark):
+    return {f for _, _, names_ in os.walk(spark.sparkContext.getConf().get("spark.local.dir")) for f in names_ if f.startswith("shuffle_")}
+
+
+def test_what_writes_a_table_leaves_no_shuffle_files(spark, tmp_path):
+    before, set_before = shuffle_files(spark), spark.conf.get(store.CLEANUP)
+    rows = spark.range(5000).selectExpr("id", "string(id % 22) county", "string(id % 7) school_name").repartition(5, "id")
+    held = store.write_catalog(rows, str(tmp_path / "catalog"))
+    assert spark.conf.get(store.CLEANUP) == set_before
+    for _ in range(50):  # they go beside the run
+        left = {f for f in shuffle_files(spark) - before if f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert held.count() == 5000
+
+
+def test_a_report_takes_little_room(spark, tmp_path):
+    rows = dump_queries.with_conflicts(spark, SMALL).select(*dump.REPORT)
+    want = sorted(map(tuple, rows.collect()))
+    files.write_report(rows, str(tmp_path / "report"))
+    assert sorted(map(tuple, files.read_report(spark, str(tmp_path / "report")).collect())) == want
+    room = sum(os.path.getsize(f"{d}/{f}") for d, _, found in os.walk(tmp_path) for f in found if not f.endswith(".crc"))
+    assert room < sum(len(",".join(map(str, r)).encode()) for r in want) / 4  # as much as the text before
+
+
+def test_conflicts_are_those_of_the_classified_files_and_deal_only_what_names_tell(spark):
+    archive = catalog_queries.catalog(spark, SMALL)
+    whole = dump.classify(dump_queries.files(spark, SMALL))
+    hit = whole.filter("confidence = 'HIGH'").orderBy("paper_id").limit(40).select("target_rel", "level")
+    more = archive.limit(0).unionByName(hit.select(F.col("target_rel").alias("rel_path"), "level"), allowMissingColumns=True)
+    archive = archive.unionByName(more.select(archive.columns))  # files on target paths
+    at_once = dump.classify_and_find(dump_queries.files(spark, SMALL), archive)
+    got = sorted(map(tuple, at_once.collect()))
+    assert got == sorted(map(tuple, dump.find_conflicts(whole, archive).collect()))
+    by_path = sum(r["conflict_target"] == r["target_rel"] for r in at_once.collect())
+    assert by_path >= 40 and sum(r["conflict_target"] != "" for r in at_once.collect()) > by_path
+    todo, dealt = [at_once._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        step = todo.pop()
+        todo += [step.children().apply(i) for i in range(step.children().size())]
+        if step.nodeName().endswith("Join"):
+            dealt.append(step.left().output().mkString(","))
+    assert dealt and not any(c in x for x in dealt for c in ("target_filename", "skip_reason", "confidence"))
