@@ -142,7 +142,8 @@ def catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, items = store.new_path(spark, "listing"), seed.line_items(spark, sf_dir)
     walks = F.sequence(F.greatest(F.col("l_linenumber") - 2, F.lit(0)), F.least(F.col("l_linenumber"), F.lit(7)))
     seen = items.withColumn("walk", F.explode(walks)).withColumn("walk", F.col("walk").cast("int"))
-    seen.write.partitionBy("walk").parquet(f"{root}/files")  # line items; the stream makes the paths of what it reads
+    with store.shuffles_dropped(spark):  # line items; the stream makes the paths of what it reads
+        seen.sortWithinPartitions("walk", "l_orderkey", "l_linenumber").write.partitionBy("walk").option("compression", "zstd").parquet(f"{root}/files")
     read = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", items.rdd.getNumPartitions()).parquet(f"{root}/files")
     listing = seed.attributes_of(read, "walk").select(*seed.LISTED, "walk")
     found = jobs.stream_catalog(listing, f"{root}/catalog", ["walk", *catalog.NEWEST], most=3).read()

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import catalog as jobs
+from quirelake.sources import versions as parts_of
 from quirelake.sources.versions import Versions
 
 SCHEMA = "paper_id string, rel_path string, county string, school_name string, n int"
@@ -95,3 +96,27 @@ def test_whole_rows_are_dealt_once_where_ids_and_paths_go_together(spark, tmp_pa
         versions.put(rows_of(spark, [(f"p{i}", f"r{i}", "高雄市", 10 * number + i) for i in range(number, number + 3)]), number)
     assert all(p["clean"] for p in versions.parts())
     assert read(versions) == {("p0", "r0", "高雄市", 0), ("p1", "r1", "高雄市", 11), ("p2", "r2", "高雄市", 22), *((f"p{i}", f"r{i}", "高雄市", 30 + i) for i in (3, 4, 5))}
+
+
+def test_a_fold_deals_some_counties_at_a_time_and_leaves_nothing_it_replaced(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parts_of, "FOLD_ROWS", 6, raising=False)
+    dealt, real = [], jobs.last_by_key
+    monkeypatch.setattr(jobs, "last_by_key", lambda rows, order: (dealt.append({r["county"] for r in rows.select("county").distinct().collect()}), real(rows, order))[1])
+    versions, want = Versions(spark, str(tmp_path / "v"), ["n"], most=2), {}
+    for number in range(7):
+        rows = [(f"p{i}", f"r{i}", ["高雄市", "臺南市", "臺北市", None][i % 4], 100 * number + i) for i in range(number, number + 8)]
+        want |= {r[0]: r for r in rows}
+        versions.put(rows_of(spark, rows), number)
+        there = {str(x.relative_to(tmp_path / "v")) for kind in ("base", "folded", "delta") for x in (tmp_path / "v" / kind).glob("*")}
+        assert there == {p["path"] for p in versions.parts()}  # all parts ever written before
+    assert read(versions) == set(want.values())
+    assert len(dealt) > 4 and not any(len(counties) == 4 for counties in dealt)  # whole catalogues before
+
+
+def test_keys_of_two_counties_are_folded_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parts_of, "FOLD_ROWS", 1, raising=False)
+    batches = [[("p1", "r1", "高雄市", 1), ("p2", "r2", "臺南市", 2)], [("p1", "r1", "臺南市", 3)], [("p3", "r2", "高雄市", 4), ("p2", "r4", "高雄市", 3)], [("p1", "r5", "臺北市", 5)]]
+    versions = Versions(spark, str(tmp_path / "v"), ["n"], most=1)
+    for number in (0, 1, 3, 2, 1):
+        versions.put(rows_of(spark, batches[number]), number)
+    assert read(versions) == live_of([r for b in batches for r in b])
